@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import exact_dedup, language_id, quality, toxicity, warc
+from quillgraph.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, quality, toxicity, warc
 from quillgraph.llm.common import table
 
 
+def op2_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,6 +30,10 @@ def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,9 +42,11 @@ def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_cnn, op5_toxicity_viterbi, op6_warc_writer, op9_exact_dedup, op10_language_ftrl)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_diagonals, op3_line_dedup, op4_quality_cnn, op5_toxicity_viterbi, op6_warc_writer, op7_decontaminate, op9_exact_dedup, op10_language_ftrl)}
 
 ORACLES: dict[str, str] = {
+    "op2_license_diagonals": license_scan.oracle(),
+    "op3_line_dedup": line_dedup.oracle(),
     "op6_warc_writer": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
