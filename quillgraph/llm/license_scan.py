@@ -83,7 +83,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     spans = merged.groupBy(*doc, "k", "label", "base", "n_pairs", "island").agg(F.bit_or("mask").alias("mask"), F.min(first).alias("first"), F.max(last).alias("last"), F.sum("rows").alias("rows"))
     share = F.bit_count("mask") / F.col("n_pairs")
     whole = F.col("base") & (share == 1)
-    ok = ~F.col("base") & (share >= SHARE) & (F.col("last") - F.col("first") < 1.5 * F.col("n_pairs"))
+    ok = ~F.col("base") & (F.col("k") != DOCUMENT) & (share >= SHARE) & (F.col("last") - F.col("first") < 1.5 * F.col("n_pairs"))
     labels = lambda when: F.array_join(F.sort_array(F.collect_set(F.when(when, F.col("label")))), ",")
     each = spans.groupBy(*doc).agg(
         F.max(F.when(F.col("k") == DOCUMENT, F.col("rows"))).alias("copies"),

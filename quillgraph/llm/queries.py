@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, quality, toxicity, warc
+from quillgraph.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, toxicity, warc
 from quillgraph.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,9 +50,10 @@ def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_license_diagonals, op3_line_dedup, op4_quality_cnn, op5_toxicity_viterbi, op6_warc_writer, op7_decontaminate, op9_exact_dedup, op10_language_ftrl)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_license_diagonals, op3_line_dedup, op4_quality_cnn, op5_toxicity_viterbi, op6_warc_writer, op7_decontaminate, op8_best_fit_packing, op9_exact_dedup, op10_language_ftrl)}
 
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": near_dedup.oracle(),
     "op2_license_diagonals": license_scan.oracle(),
     "op3_line_dedup": line_dedup.oracle(),
     "op6_warc_writer": """
