@@ -28,8 +28,10 @@ SYMBOLS = 27  # a to z, and 0 for the edge of a word
 COST_LOOKS, COST_LETTER, COST_DROP_SIGN, COST_DROP_REPEAT, COST_DROP_DIGIT, COST_EDGE = 0.7, 0.05, 0.2, 0.9, 5.0, 1.5
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Letters with a sign or digit within, a letter three times running, or four and more single letters set apart.
-_ODD = re.compile(r"(?<![^\W_])[a-z](?:[ .\-_*~'·]{1,2}[a-z0-9@$!|+]){3,}(?![^\W_])|\S*[^\W\d_](?=[^\w\s,;:]|[0-9_])(?:[0-9_]|[^\w\s])+[^\W\d_]\S*|[0-9@$!|+(<][^\W\d_]\S*|\S*[a-z][0-9@$+|]+(?=[\s.,;:!?]|$)|\S*([a-z])\1\1\S*")
+#: Four and more single letters set apart; a letter three times running; signs that trail a word.
+_APART = re.compile(r"(?<![^\W_])[a-z](?:[ .\-_*~'·]{1,2}[a-z0-9@$!|+]){3,}(?![^\W_])")
+_THRICE = re.compile(r"([a-z])\1\1")
+_TRAIL = re.compile(r"(?:([^\w\s])\1+)+$")
 _ENDS = ".,;:?\"'`)]}#%&*!"
 
 
@@ -117,15 +119,31 @@ class Restorer:
     seen: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def words(self, text: str) -> set[str]:
+        """Whole words of letters stand for themselves; what else a word may be is restored."""
         low = text.lower()
-        found = set(_WORD.findall(low))
-        for m in _ODD.finditer(low):
-            odd = m.group().rstrip(_ENDS)
-            if odd not in self.seen:
+        raw = set(low.split())
+        found, odd = set(), []
+        stretched = _THRICE.search(low) is not None
+        for t in raw:
+            word = t.strip(_ENDS)
+            if not word.isalpha():
+                word = _TRAIL.sub("", word).strip(_ENDS)
+                if not word.isalpha():
+                    found.update(_WORD.findall(word))
+                    if any(map(str.isalpha, word)):
+                        odd.append(word)
+                    continue
+            found.add(word)
+            if stretched and _THRICE.search(word):
+                odd.append(word)
+        if sum(len(t) == 1 for t in raw) >= 3:
+            odd += [m.group() for m in _APART.finditer(low)]
+        for x in odd:
+            if x not in self.seen:
                 if len(self.seen) > 50_000:
                     self.seen.clear()
-                self.seen[odd] = tuple(restore(odd, self.model).split())
-            found.update(self.seen[odd])
+                self.seen[x] = tuple(restore(x, self.model).split())
+            found.update(self.seen[x])
         return found
 
 
