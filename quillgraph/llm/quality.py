@@ -146,15 +146,13 @@ def train(texts: list[bytes], y: list[int], *, epochs: int = 10, batch: int = 16
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 2000, **how) -> ByteNet:
-    """Fit on at most ``sample_rows`` labelled rows that are not held out, by hash of id and text; half of them rows of label 0, if there are as many."""
-    rows = learnable(docs, labels, "quality", ~held_out())
-    n = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    few = sample_rows // 2
-    part = {q: min(1.0, max(few, sample_rows - sum(min(few, k) for p, k in n.items() if p != q)) / k) for q, k in n.items()}
-    share = F.lit(0)
-    for q, p in part.items():
-        share = F.when(F.col("quality") == q, int((1 << 20) * p)).otherwise(share)
-    got = rows.where(F.pmod("h", F.lit(1 << 20)) < share).orderBy("h", "quality").limit(sample_rows).select(F.col("text").cast("binary").alias("text"), "quality", "h").collect() if n else []
+    """Fit on labelled rows that are not held out: at most half of ``sample_rows`` of either label, by hash of the id.
+
+    The share of each label among all labels that it may learn from sets the level of the scores.
+    """
+    n = {r["quality"]: r["n"] for r in labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    rows = learnable(docs, labels, "quality", {0: sample_rows // 2, 1: sample_rows // 2})
+    got = rows.select(F.col("text").cast("binary").alias("text"), "quality", "h").collect()
     got.sort(key=lambda r: (r["h"], r["quality"]))
     net = train([bytes(r["text"] or b"") for r in got], [r["quality"] for r in got], **how)
     odds = lambda k: (k.get(1, 0) + 1) / (k.get(0, 0) + 1)

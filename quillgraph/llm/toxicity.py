@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import held_out, utf8
+from quillgraph.llm.common import held_out, shared_dir, utf8, written
 from quillgraph.llm.linear import ftrl
 
 #: Letters that signs and digits are written for, and signs that are put between letters.
@@ -158,13 +158,14 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, *, words: int = 512, least_docs: int = 5, sample_rows: int = 20_000) -> ToxicityModel:
+def fit(docs: DataFrame, labelled: DataFrame, *, words: int = 512, least_docs: int = 5) -> ToxicityModel:
     """docs: all rows, for the letter model. labelled: text, toxic, h (for a sample in a fixed order).
 
-    The ``words`` words that tell most by chi-square, counted over all labelled rows, are the features; the regression is
-    fitted on at most ``sample_rows`` of those rows.
+    The ``words`` words that tell most by chi-square, counted over all rows of labelled, are the features of the regression,
+    which is fitted on the same rows. See learnable for their bound.
     """
     letters = letter_model(docs)
+    labelled = written(labelled, f"{shared_dir(docs.sparkSession, 'toxicity')}/labelled")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, reader = Counter(), Restorer(letters)
@@ -199,8 +200,7 @@ def fit(docs: DataFrame, labelled: DataFrame, *, words: int = 512, least_docs: i
             at = [sorted(number[w] for w in number.keys() & reader.words(text or "")) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("h"), pa.array(at, pa.list_(pa.int64()))], ["toxic", "h", "at"])
 
-    rows = labelled.select("text", "toxic", "h").where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.9 * sample_rows / (bad + good)))) if bad + good > sample_rows else labelled.select("text", "toxic", "h")
-    got = sorted(rows.mapInArrow(vectors, "toxic int, h long, at array<long>").orderBy("h").limit(sample_rows).collect(), key=lambda r: (r["h"], r["toxic"]))
+    got = sorted(labelled.select("text", "toxic", "h").mapInArrow(vectors, "toxic int, h long, at array<long>").collect(), key=lambda r: (r["h"], r["toxic"]))
     weights, bias = ftrl([(np.array(r["at"], int), np.ones(len(r["at"])), r["toxic"]) for r in got], len(chosen), 2, l1=3.0, l2=0.1, epochs=3)
     gap = weights[:, 1] - weights[:, 0]
     return ToxicityModel(letters, {w: float(x) for w, x in zip(chosen, gap, strict=True) if x}, float(bias[1] - bias[0]))
@@ -220,16 +220,25 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def learnable(docs: DataFrame, labels: DataFrame, label: str, may: Column) -> DataFrame:
-    """text, label, h of rows that may be learnt from. An id labelled more than once takes its largest label; null labels are left out."""
-    told = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias(label))
-    return docs.where(may).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(told, "_id").select("text", label, F.xxhash64("_id", "text").alias("h"))
+def learnable(docs: DataFrame, labels: DataFrame, label: str, sample: dict[int, int]) -> DataFrame:
+    """text, label, h of labelled rows that are not held out: for each value of the label at most so many ids, by hash.
+
+    An id labelled more than once takes its largest label; null labels and ids are left out. The sample is taken from the labels, so what is
+    broadcast has a bound, and texts do not shuffle to meet them. Rows that repeat an id count once.
+    """
+    told = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias(label))
+    some = None
+    for value, most in sample.items():
+        one = told.where(F.col(label) == value).orderBy(F.xxhash64("_id"), "_id").limit(most)
+        some = one if some is None else some.unionByName(one)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "_id")
+    return rows.groupBy("_id", label).agg(F.max("text").alias("text")).select("text", label, F.xxhash64("_id").alias("h"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """Fit on labelled rows that are not held out, score all rows of docs.
+def toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 10_000, **how) -> DataFrame:
+    """Fit on at most ``rows`` labelled rows of either label that are not held out, score all rows of docs.
 
     Held out: crc32 of doc_id as text is 0 modulo 5 (null id: as the empty text). No labels: all score near 0. Repeated rows count
     as often as they occur. Empty table: no rows. Other columns are not read.
     """
-    return score(docs, fit(docs, learnable(docs, labels, "toxic", ~held_out()), **how))
+    return score(docs, fit(docs, learnable(docs, labels, "toxic", {0: rows, 1: rows}), **how))
