@@ -5,10 +5,11 @@ of leading zeros and ten bits after the first one. Texts with the same set of sh
 An empty bucket borrows the register of the next one that is not empty; runs of six registers are the bands.
 
 Classes that share a band are candidates. Not all pairs of a band are made: each class is compared with the band's
-least class. Two sketches give an estimate of the similarity, less the registers that are expected to agree by chance; pairs
-that are five standard deviations below the threshold go, the rest are confirmed on the full sets. Links join components. In a
-band whose classes are still in several components, the classes outside the largest are then estimated against all the others, in blocks
-of bounded size, so that no link is lost; those candidates are confirmed in the same way.
+least class; those unlike it form a band of their own, three times over. Two sketches give an estimate of the similarity, less the
+registers that are expected to agree by chance. Pairs that are not five standard deviations below the threshold are confirmed on
+the full sets, and links join components. Pairs that are like by a looser measure join crowds. Where a crowd has several components,
+the classes outside the largest are compared with all others by their full sets, in blocks of bounded size whose tasks return
+only links that join components; so no link between different texts is lost, and no list of pairs grows with a crowd's square.
 """
 
 from __future__ import annotations
@@ -31,7 +32,12 @@ BANDS = BUCKETS // BAND
 REST = 64 - BUCKET_BITS
 #: Registers of unlike elements that agree by chance, of all: the leading term for sets of like size (Yu and Weber, HyperMinHash).
 BY_CHANCE = 0.169919487159739 * 2.0 ** (BUCKET_BITS - MANTISSA_BITS)
-BLOCK = 1024
+#: Similarity, less five standard deviations, down to which texts are held like enough to be compared by their full sets.
+LOOSE = 0.6
+#: Rounds in which members of a band that are unlike its least one form a band of their own.
+TURNS = 3
+#: Shingles of a block, on either side.
+BLOCK = 1 << 19
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,35 +162,63 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))], ["id", "keys"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = plausible(_matrix(batch.column("ra")), _matrix(batch.column("rb")), threshold)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+        x, y = _matrix(batch.column("ra")), _matrix(batch.column("rb"))
+        likely, loose = plausible(x, y, threshold), plausible(x, y, LOOSE)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(likely), pa.array(loose)], ["a", "b", "likely", "loose"])
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (in a, in b) of all pairs of sets that are similar enough, counted by products of slices of their incidence matrices."""
+    sizes = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    values, number, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1  # what occurs once is in no intersection
+    shared = times[number] > 1
+    row = np.repeat(np.arange(len(a) + len(b)), np.concatenate(sizes))[shared]
+    column = rank[number[shared]]
+    both, wide = np.zeros((len(a), len(b)), np.float32), 4096
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        at = slice(*np.searchsorted(column, (first, first + wide)))
+        m = np.zeros((len(a) + len(b), wide), np.float32)
+        m[row[at], column[at] - first] = 1
+        both += m[: len(a)] @ m[len(a) :].T
+    both = both.astype(np.int64)
+    return np.nonzero(100 * both >= percent * (sizes[0][:, None] + sizes[1][None] - both))
+
+
+def _block(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows by (crowd, ask, part): each asker's set is compared with the block's sets of other components. A block is bounded; of its links, those that join components come out."""
+    now, sides = None, ([], [])
 
+    def out() -> pa.RecordBatch:
+        a, b, above = [], [], {}
 
-def _block(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows by (key, ask, part): askers first. Each is estimated against the block's rows of other components; a block is bounded."""
-    now, askers, others = None, [], []
+        def top(c: int) -> int:
+            while above.get(c, c) != c:
+                c = above[c]
+            return c
 
-    def out() -> pa.RecordBatch:
-        a, b = [], []
+        others, askers = sides
         if askers and others:
-            ids, comps, regs = np.array([x[0] for x in others]), np.array([x[1] for x in others]), np.stack([x[2] for x in others])
-            for i, c, r in askers:
-                for k in np.flatnonzero((comps != c) & plausible(r[None], regs, threshold)):
-                    a.append(min(i, int(ids[k])))
-                    b.append(max(i, int(ids[k])))
+            for i, k in zip(*linked([x[2] for x in askers], [x[2] for x in others], percent), strict=True):
+                x, y = top(askers[i][1]), top(others[k][1])
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    a.append(min(askers[i][0], others[k][0]))
+                    b.append(max(askers[i][0], others[k][0]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        regs = _matrix(batch.column(batch.schema.names.index("regs")))
-        cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("key", "ask", "part", "asks", "id", "component")]
-        for k, (key, ask, part, asks, i, c) in enumerate(zip(*cols, strict=True)):
-            if (key, ask, part) != now:
+        cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("crowd", "ask", "part", "asks", "id", "component", "s")]
+        for crowd, ask, part, asks, i, c, s in zip(*cols, strict=True):
+            if (crowd, ask, part) != now:
                 if now is not None:
                     yield out()
-                now, askers, others = (key, ask, part), [], []
-            (askers if asks else others).append((i, c, regs[k]))
+                now, sides = (crowd, ask, part), ([], [])
+            sides[asks].append((i, c, np.frombuffer(s, np.uint64)))
     if now is not None:
         yield out()
 
@@ -221,46 +255,51 @@ def near_components(docs: DataFrame, *, width: int = 4, percent: int = 80) -> Da
     classes = written(some.groupBy("sig", "n").agg(F.min(order).alias("o")).select("sig", F.col("n"), F.col("o.row").alias("id"), F.col("o.doc_id").alias("least")), f"{root}/classes")
     reps = written(some.select(F.col("row").alias("id"), "doc_id", "key", "n", "regs").join(classes.select("id"), "id", "left_semi"), f"{root}/reps")
     keys = reps.select("id", "regs").mapInArrow(_bands, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    crowds = written(keys.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1"), f"{root}/crowds")
-    members = written(keys.join(crowds, "key"), f"{root}/members")
+    crowds = written(keys.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").drop("size"), f"{root}/crowds")
+    members = written(keys.join(crowds, "key").where("id <> center"), f"{root}/members0")
     regs = reps.select("id", "regs")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(regs.withColumnsRenamed({"id": "b", "regs": "rb"}), "b").join(regs.withColumnsRenamed({"id": "a", "regs": "ra"}), "a")
-        return one.select("a", "b", "ra", "rb").mapInArrow(lambda it: _likely(it, threshold), "a long, b long")
-
-    stars = members.where("center <> id").groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("_n")).drop("_n")
-    tested = written(likely(stars), f"{root}/likely")
-    # full sets of all that share a band with another
-    who = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    judged = None
+    for turn in range(TURNS):
+        stars = members.groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("_n")).drop("_n")
+        if judged is not None:
+            stars = stars.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        sketched = stars.join(regs.withColumnsRenamed({"id": "b", "regs": "rb"}), "b").join(regs.withColumnsRenamed({"id": "a", "regs": "ra"}), "a")
+        got = written(sketched.select("a", "b", "ra", "rb").mapInArrow(lambda it: _judge(it, threshold), "a long, b long, likely boolean, loose boolean"), f"{root}/judged{turn}")
+        judged = got if judged is None else judged.unionByName(got)
+        # members that are unlike the least one of their band form a smaller band
+        left = members.join(judged.where("loose").select(F.col("a").alias("center"), F.col("b").alias("id")), ["center", "id"], "left_anti").select("key", "id")
+        left = written(left, f"{root}/left{turn}")
+        crowds = left.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").drop("size")
+        members = written(left.join(crowds, "key").where("id <> center"), f"{root}/members{turn + 1}")
+    # in what still remains, all of a band count as like
+    loose = judged.where("loose").select("a", "b").unionByName(members.select(F.col("center").alias("a"), F.col("id").alias("b")))
+    crowd = components(loose, f"{root}/crowd")
+    # full sets of all that are like another
+    who = reps.join(crowd.select("id"), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     whole = rows.join(who, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "text")
     sets = written(whole.mapInArrow(lambda it: _sets(it, width), "id long, s binary"), f"{root}/sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
-        return one.select("a", "b", "sa", "sb").mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
-
-    links = written(confirmed(tested), f"{root}/links")
+    pairs = judged.where("likely").select("a", "b").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
+    links = written(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), f"{root}/links")
     joined = components(links, f"{root}/first")
-    # bands that still have several components: all outside the largest against all others
-    placed = written(members.where("size > 2").join(joined, "id", "left").select("key", "id", "center", F.coalesce("component", "id").alias("component")), f"{root}/placed")
-    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = written(per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"), F.sum("n").alias("size")).where("components > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("asks_in")), f"{root}/split")
-    open_ = placed.join(split, "key")
+    # crowds that still have several components: all outside the largest against all others, by their full sets
+    placed = crowd.withColumnRenamed("component", "crowd").join(joined, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("component"))
+    placed = written(placed.join(reps.select("id", "n"), "id"), f"{root}/placed")
+    per = placed.groupBy("crowd", "component").agg(F.sum("n").alias("n"))
+    split = per.groupBy("crowd").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"), F.sum("n").alias("size")).where("components > 1")
+    split = written(split.select("crowd", F.col("top.component").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("asks_in")), f"{root}/split")
+    open_ = placed.drop("n").join(split, "crowd")
     part, ask = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks_in")).cast("int")
-    others = open_.select("key", "id", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("asks_in") - 1)).alias("ask"), F.lit(0).alias("asks"))
-    askers = open_.where("component <> main").select("key", "id", "component", ask.alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks")).select(*others.columns)
-    blocks = others.unionByName(askers).join(regs, "id").repartition(4 * parts, "key", "ask", "part").sortWithinPartitions("key", "ask", "part")
-    more = blocks.select("key", "ask", "part", "asks", "id", "component", "regs").mapInArrow(lambda it: _block(it, threshold), "a long, b long").distinct()
-    more = written(more.join(tested, ["a", "b"], "left_anti"), f"{root}/more")
+    others = open_.select("crowd", "id", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("asks_in") - 1)).alias("ask"), F.lit(0).alias("asks"))
+    askers = open_.where("component <> main").select("crowd", "id", "component", ask.alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks")).select(*others.columns)
+    blocks = others.unionByName(askers).join(sets, "id").repartition(4 * parts, "crowd", "ask", "part").sortWithinPartitions("crowd", "ask", "part")
+    more = written(blocks.select("crowd", "ask", "part", "asks", "id", "component", "s").mapInArrow(lambda it: _block(it, percent), "a long, b long"), f"{root}/more")
     if more.limit(1).count():
-        links = links.unionByName(written(confirmed(more), f"{root}/more_links"))
-        joined = components(links, f"{root}/second")
+        joined = components(links.unionByName(more), f"{root}/second")
     # the least id of a component, over all rows of its classes
     of = classes.join(joined, "id", "left").select("sig", "n", "least", F.coalesce("component", "id").alias("component"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     of = written(of.join(least, "component").select("sig", "n", "component_id"), f"{root}/of")
-    for old in ("placed", "split", "members", "crowds", "sets"):
+    for old in ("placed", "split", "crowds", "sets"):
         remove(spark, f"{root}/{old}")
     slim = sketches.select("row", "doc_id", "key", "n", "sig")
     alone = slim.where("n = 0").select("row", "doc_id", "key", "n", F.col("doc_id").alias("component_id"))
