@@ -104,4 +104,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8,
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """Rows of docs, with all their columns, that hold no item."""
     bad = matches(docs, benchmark, share, broadcast_rows).where("item_key is not null").select(F.col("doc_id").alias("_leak_id"), F.col("key").alias("_leak_key")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_leak_key")), "left_anti")
+    return docs.join(bad.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_leak_key")), "left_anti")

@@ -121,7 +121,8 @@ def _cleaned(docs: DataFrame, least_words: int) -> DataFrame:
     runs = repeated_lines(docs, least_words)
     runs = runs.select(F.col("doc_id").alias("_run_id"), F.col("key").alias("_run_key"), F.col("runs").alias("_runs"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    both = docs.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_run_id")) & (F.xxhash64(text) == F.col("_run_key")), "left").withColumn("_lines", F.split(text, "\n"))
+    # texts and runs always meet by a shuffle: what is broadcast at a small size would not be at a large one
+    both = docs.join(runs.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_run_id")) & (F.xxhash64(text) == F.col("_run_key")), "left").withColumn("_lines", F.split(text, "\n"))
     return both.withColumn("_text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(_kept("_lines", "_runs"), "\n")))
 
 

@@ -276,7 +276,7 @@ def near_components(docs: DataFrame, *, width: int = 4, percent: int = 80) -> Da
     crowd = components(loose, f"{root}/crowd")
     # full sets of all that are like another
     who = reps.join(crowd.select("id"), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    whole = rows.join(who, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "text")
+    whole = rows.join(who.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "text")
     sets = written(whole.mapInArrow(lambda it: _sets(it, width), "id long, s binary"), f"{root}/sets")
     pairs = judged.where("likely").select("a", "b").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     links = written(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), f"{root}/links")
@@ -321,7 +321,7 @@ def near_dedup(docs: DataFrame, *, width: int = 4, percent: int = 80) -> DataFra
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs, with all their columns: one of each component, that with the smallest doc_id. Rows that repeat its doc_id and text stay together."""
     rows = near_components(docs, width=width, percent=percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_near_id"), F.col("key").alias("_near_key")).distinct()
-    kept = docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_near_key")))
+    kept = docs.join(rows.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_near_key")))
     return kept.select(*docs.columns)
 
 
