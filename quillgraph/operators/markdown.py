@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from quillgraph.functions.text import content_id
 
@@ -20,9 +20,18 @@ LEVELS = 6
 LEAST_LINES = 5
 #: Numbers and marks that a title may begin with and that numbering replaces.
 NUMBERED = r"(?U)^[\d.\-\s)、）]+"
-_DOC = Window.partitionBy("doc_id").orderBy("idx")
-_UP_TO = _DOC.rowsBetween(Window.unboundedPreceding, 0)
-_BEFORE = _DOC.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("idx")
+
+
+def _up_to() -> WindowSpec:
+    return _doc().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _before() -> WindowSpec:
+    return _doc().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -42,7 +51,7 @@ def strip(c: Column) -> Column:
 def fenced(rows: DataFrame) -> DataFrame:
     """With ``fence`` (the line opens or closes one) and ``inside`` (between the two)."""
     mark = F.startswith(strip(F.col("line")), F.lit("```"))
-    opened = F.sum(F.when(F.col("fence"), 1).otherwise(0)).over(_UP_TO)
+    opened = F.sum(F.when(F.col("fence"), 1).otherwise(0)).over(_up_to())
     return rows.withColumn("fence", mark).withColumn("inside", (opened % 2 == 1) & ~F.col("fence"))
 
 
@@ -67,7 +76,7 @@ def numbers(rows: DataFrame, dialect: int = 1) -> DataFrame:
     rows = rows.withColumn("_h", F.when(counted, F.col("level")))
     for k in range(1, LEVELS + 1):
         group = f"_g{k}"
-        rows = rows.withColumn(group, F.sum(F.when(F.col("_h") < k, 1).otherwise(0)).over(_UP_TO))
+        rows = rows.withColumn(group, F.sum(F.when(F.col("_h") < k, 1).otherwise(0)).over(_up_to()))
         rows = rows.withColumn(f"_c{k}", F.sum(F.when(F.col("_h") == k, 1).otherwise(0)).over(Window.partitionBy("doc_id", group).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.filter(F.array(*[F.when((F.col("_h") >= k) & (F.col(f"_c{k}") > 0), F.col(f"_c{k}").cast("string")) for k in range(1, LEVELS + 1)]), lambda x: x.isNotNull())
     return rows.withColumn("number", F.when(F.col("_h").isNotNull(), F.array_join(parts, "."))).drop("_h", *[f"_{x}{k}" for x in "gc" for k in range(1, LEVELS + 1)])
@@ -91,11 +100,11 @@ def sections(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("level", F.when(F.rlike("line", F.lit(r"^#{1,6}(\s|$)")), F.col("level")))
     for k in range(1, LEVELS + 1):
         seen = F.when(F.col("level") == k, F.struct(F.col("title").alias("t"))).when(F.col("level") < k, F.struct(F.lit(None).cast("string").alias("t")))
-        rows = rows.withColumn(f"h{k}", F.last(seen, ignorenulls=True).over(_UP_TO)["t"])
+        rows = rows.withColumn(f"h{k}", F.last(seen, ignorenulls=True).over(_up_to())["t"])
     blank = F.col("level").isNull() & (F.col("line") == "") & ~F.col("inside")
-    rows = rows.withColumn("_b", F.sum(F.when(blank, 1).otherwise(0)).over(_UP_TO)).where(F.col("level").isNull() & ((F.col("line") != "") | F.col("inside")))
+    rows = rows.withColumn("_b", F.sum(F.when(blank, 1).otherwise(0)).over(_up_to())).where(F.col("level").isNull() & ((F.col("line") != "") | F.col("inside")))
     path = F.array(*[f"h{k}" for k in range(1, LEVELS + 1)])
-    rows = rows.withColumn("_path", path).withColumn("section", F.sum(F.when(F.col("_path").eqNullSafe(F.lag("_path").over(_DOC)), 0).otherwise(1)).over(_UP_TO))
+    rows = rows.withColumn("_path", path).withColumn("section", F.sum(F.when(F.col("_path").eqNullSafe(F.lag("_path").over(_doc())), 0).otherwise(1)).over(_up_to()))
     before = F.lag("_b").over(Window.partitionBy("doc_id", "section").orderBy("idx"))
     rows = rows.withColumn("_sep", F.when(before.isNull(), "").when(before == F.col("_b"), "\n").otherwise("  \n"))
     body = rows.groupBy("doc_id", "section", "_path").agg(F.sort_array(F.collect_list(F.struct("idx", "_sep", "line"))).alias("_p"))
@@ -130,7 +139,7 @@ def _blocks(rows: DataFrame, least: int, context: int, prefix: str) -> tuple[Dat
 def code_blocks(rows: DataFrame, context: int = 5) -> tuple[DataFrame, DataFrame]:
     """Of lines (doc_id, idx, line): fenced blocks with five inner lines and more, with lines around them, and the lines that stay."""
     f = fenced(rows)
-    turn = F.sum(F.when(F.col("fence"), 1).otherwise(0)).over(_UP_TO)
+    turn = F.sum(F.when(F.col("fence"), 1).otherwise(0)).over(_up_to())
     f = f.withColumn("_turn", turn).withColumn("_all", F.sum(F.when(F.col("fence"), 1).otherwise(0)).over(Window.partitionBy("doc_id")))
     number = F.when(F.col("fence") | F.col("inside"), F.floor((F.col("_turn") + 1) / 2))
     open_end = (F.col("_all") % 2 == 1) & (number == F.floor((F.col("_all") + 1) / 2))
@@ -140,18 +149,18 @@ def code_blocks(rows: DataFrame, context: int = 5) -> tuple[DataFrame, DataFrame
 
 def tables(rows: DataFrame, context: int = 5) -> tuple[DataFrame, DataFrame]:
     """HTML tables and runs of lines with bars, of five lines and more, with lines around them, and the lines that stay."""
-    rows = rows.withColumn("idx", (F.row_number().over(_DOC) - 1).cast("int"))
+    rows = rows.withColumn("idx", (F.row_number().over(_doc()) - 1).cast("int"))
     low = F.lower(strip(F.col("line")))
     f = rows.withColumn("_start", F.startswith(low, F.lit("<table"))).withColumn("_end", F.contains(F.lower("line"), F.lit("</table>")))
     # a table is open after a start that no end has closed; a start within an open one is a line of it
-    closed = F.sum(F.when(F.col("_end"), 1).otherwise(0)).over(_BEFORE)
+    closed = F.sum(F.when(F.col("_end"), 1).otherwise(0)).over(_before())
     f = f.withColumn("_e", F.coalesce(closed, F.lit(0)))
     first = Window.partitionBy("doc_id", "_e").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     f = f.withColumn("_html", F.max(F.when(F.col("_start"), 1).otherwise(0)).over(first) == 1)
     ends = Window.partitionBy("doc_id", "_e")
     f = f.withColumn("_closed", F.max(F.when(F.col("_end") & F.col("_html"), 1).otherwise(0)).over(ends) == 1)
     bar = ~F.col("_html") & F.contains("line", F.lit("|"))
-    island = F.sum(F.when(bar & F.coalesce(F.lag(bar).over(_DOC), F.lit(False)), 0).otherwise(1)).over(_UP_TO)
+    island = F.sum(F.when(bar & F.coalesce(F.lag(bar).over(_doc()), F.lit(False)), 0).otherwise(1)).over(_up_to())
     f = f.withColumn("_block", F.when(F.col("_html") & F.col("_closed"), F.concat(F.lit("h"), F.col("_e").cast("string"))).when(bar, F.concat(F.lit("b"), island.cast("string"))))
     return _blocks(f, LEAST_LINES, context, "table-")
 
@@ -188,7 +197,7 @@ def _barred(rows: DataFrame) -> DataFrame:
     s = strip(F.col("line"))
     bar = F.startswith(s, F.lit("|")) & F.endswith(s, F.lit("|")) & (s != "")
     f = rows.withColumn("_bar", bar)
-    return f.withColumn("_isle", F.sum(F.when(F.col("_bar") & F.coalesce(F.lag("_bar").over(_DOC), F.lit(False)), 0).otherwise(1)).over(_UP_TO))
+    return f.withColumn("_isle", F.sum(F.when(F.col("_bar") & F.coalesce(F.lag("_bar").over(_doc()), F.lit(False)), 0).otherwise(1)).over(_up_to()))
 
 
 def plain_tables(docs: DataFrame) -> DataFrame:
@@ -212,7 +221,7 @@ def nested_sections(docs: DataFrame) -> DataFrame:
     content is the heading path and the lines up to the next heading; parent is the nearest heading before with a smaller level. A document without a
     heading is one section, 'Main Content'.
     """
-    rows = headings(lines(docs), 2).withColumn("section", F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(_UP_TO))
+    rows = headings(lines(docs), 2).withColumn("section", F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(_up_to()))
     h = rows.where("level is not null").select("doc_id", "idx", "level", "title", "section")
     by = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     for k in range(1, LEVELS):

@@ -1,7 +1,6 @@
 """Readers and writers of corpora, questions, Markdown trees, extraction results and structure files."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +41,12 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of a file or of all .md files below a folder. Bytes that are no UTF-8 are read as GBK."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(path)
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
-    return rows.select("path", F.coalesce(utf8, F.decode("content", "GBK")).alias("content"))
+
+    @F.pandas_udf("string")
+    def gbk(found: pd.Series) -> pd.Series:  # Spark's own decode() does not know this encoding
+        return found.map(lambda b: b.decode("gbk", "replace"), na_action="ignore")
+
+    return rows.select("path", utf8.alias("u"), F.when(utf8.isNull(), F.col("content")).alias("b")).select("path", F.coalesce("u", gbk("b")).alias("content"))
 
 
 def markdown_file(spark: SparkSession, path: str) -> DataFrame:
