@@ -11,36 +11,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import shared_dir, written
+
 #: Units of measure that follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "kilogram", "kilograms", "lb", "lbs", "pound", "pounds", "oz", "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "degrees", "mph", "kmh", "w", "kw", "j", "kj", "v", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "meter", "meters", "metre", "metres")
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
-#: What is cut off a word's ends.
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SPACE = r"[\x20\x09-\x0D]+"
 WIDTH, LEAST_FIXED, MARK = 5, 2, -1
+#: Stand in texts for a unit and before a capital that begins a sentence; what parts words.
+IN_UNIT, BEGIN = "\x02", "\x01"
+GAP = r"[^\p{L}\p{N}\x01\x02]+"
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<core, ends>>: words without marks at their ends, and whether a sentence ends with them."""
-    raw = F.split(text, SPACE)
-    cut = F.transform(raw, lambda r: F.struct(F.btrim(r, F.lit(MARKS)).alias("core"), F.substring(r, -1, 1).isin(".", "!", "?", ":").alias("ends")))
-    return F.filter(cut, lambda x: x["core"] != "")
+def with_words(rows: DataFrame) -> DataFrame:
+    """rows (text) with ``w``, the words as written, BEGIN before a capital that begins a sentence, and ``c``, the canonical words.
 
+    Words are runs of letters and digits. The marks are set and letters made small in the whole text, and both forms are split
+    alike, so that what is left to do for each word is little. A number begins with a digit. A unit is one that follows a number and a
+    space. A name has a capital and small letters and does not begin the text or a sentence.
+    """
+    text = F.translate(F.concat(F.lit(". "), F.replace("text", F.lit("İ"), F.lit("I"))), BEGIN + IN_UNIT, "  ")
+    begun = F.regexp_replace(text, r"(?<=[.!?:]\s{1,3})(?=\p{Lu})", BEGIN)
+    small = F.regexp_replace(F.lower(text), rf"(?<=[0-9] )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", IN_UNIT)
+    words = lambda c: F.array_remove(F.split(c, GAP), "")
 
-def canonical(words: Column) -> Column:
-    """Of tokens(): their canonical words. A name has a capital and small letters and does not begin the text or a sentence."""
+    def one(w: Column, low: Column) -> Column:
+        digit = (low >= F.lit("0")) & (low < F.lit(":"))
+        name = (F.length(w) > 1) & (F.initcap(low) == w)
+        return F.when(w == low, F.when(digit, NUMBER).otherwise(low)).when(low == IN_UNIT, UNIT).when(name, NAME).otherwise(low)
 
-    def number(w: Column) -> Column:
-        return (w >= F.lit("0")) & (w < F.lit(":"))
+    split = rows.withColumn("w", words(begun)).withColumn("low", words(small))
+    return split.withColumn("c", F.zip_with("w", "low", one)).drop("low", "text")
 
-    def one(x: Column, i: Column) -> Column:
-        before = F.get(words, i - 1)
-        low = F.lower(x["core"])
-        unit = low.isin(*UNITS) & (i > 0) & number(before["core"])
-        name = (low != x["core"]) & (i > 0) & ~before["ends"] & (F.length(x["core"]) > 1) & (F.initcap(low) == x["core"])
-        return F.when(number(x["core"]), NUMBER).when(unit, UNIT).when(name, NAME).otherwise(low)
 
-    return F.transform(words, one)
+def plain(words: Column) -> Column:
+    """Words without marks, in small letters."""
+    return F.transform(words, lambda w: F.lower(F.replace(w, F.lit(BEGIN), F.lit(""))))
 
 
 def windows(canon: str) -> Column:
@@ -53,10 +58,10 @@ def windows(canon: str) -> Column:
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, item_key, i, h, part, item_words, total: the windows of the items' distinct texts that hold two fixed words at least."""
     rows = benchmark.where("text is not null").groupBy(F.col("text").cast("string").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    rows = rows.select("item_id", F.xxhash64("text").alias("item_key"), tokens(F.col("text")).alias("w")).withColumn("c", canonical(F.col("w"))).where(F.size("c") >= LEAST_FIXED)
+    rows = with_words(rows.select("item_id", F.xxhash64("text").alias("item_key"), "text")).where(F.size("c") >= LEAST_FIXED)
     each = rows.select("item_id", "item_key", "w", "c", F.posexplode(windows("c")).alias("i", "h"))
     part = F.slice("c", F.col("i") + 1, F.lit(WIDTH))
-    each = each.select("item_id", "item_key", "i", "h", part.alias("part"), F.transform(F.slice("w", F.col("i") + 1, F.lit(WIDTH)), lambda x: F.lower(x["core"])).alias("item_words"))
+    each = each.select("item_id", "item_key", "i", "h", part.alias("part"), plain(F.slice("w", F.col("i") + 1, F.lit(WIDTH))).alias("item_words"))
     each = each.where(F.size(F.filter("part", lambda x: ~x.isin(NUMBER, UNIT, NAME))) >= LEAST_FIXED)
     total = each.groupBy("item_key").agg(F.count("*").alias("total"))
     return each.join(total, "item_key")
@@ -70,21 +75,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float, broadcast_rows:
     items = item_windows(benchmark).select("item_id", "item_key", "i", "h", "part", "item_words", "total")
     few = items.limit(broadcast_rows + 1).count() <= broadcast_rows
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), tokens(text).alias("w")).withColumn("c", canonical(F.col("w")))
-    every = rows.select("doc_id", "key", F.size("w").alias("n"), "w", "c", F.posexplode(F.concat(windows("c"), F.array(F.lit(MARK).cast("long")))).alias("p", "h"))
-    mark = docs.sparkSession.sql(f"SELECT CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS item_key, 0 AS i, {MARK}L AS h, CAST(NULL AS ARRAY<STRING>) AS part, CAST(NULL AS ARRAY<STRING>) AS item_words, CAST(1 AS BIGINT) AS total")
-    items = items.unionByName(mark)
-    found = every.join(F.broadcast(items) if few else items, "h")
-    is_mark = F.col("item_key").isNull()
-    there = F.transform(F.slice("w", F.col("p") + 1, F.lit(WIDTH)), lambda x: F.lower(x["core"]))
-    both = F.zip_with(F.zip_with("item_words", there, lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), "part", lambda v, c: F.when(c.isin(NUMBER, UNIT, NAME), v))
-    hits = found.where(is_mark | (F.slice("c", F.col("p") + 1, F.lit(WIDTH)) == F.col("part"))).select("doc_id", "key", "n", "item_id", "item_key", "total", "i", F.when(is_mark, 0).otherwise(F.col("p") - F.col("i")).alias("diagonal"), F.filter(both, lambda v: v.isNotNull()).alias("slots"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    every = with_words(base).select("doc_id", "key", F.size("w").alias("n"), F.posexplode(F.concat(windows("c"), F.array(F.lit(MARK).cast("long")))).alias("p", "h"))
+    # only hashes go through the join; the words of texts that it finds are read again
+    mark = docs.sparkSession.sql(f"SELECT CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS item_key, 0 AS i, {MARK}L AS h, CAST(1 AS BIGINT) AS total")
+    slim = items.select("item_id", "item_key", "i", "h", "total").unionByName(mark)
+    found = written(every.join(F.broadcast(slim) if few else slim, "h").select("doc_id", "key", "n", "item_id", "item_key", "total", "i", "p"), f"{shared_dir(docs.sparkSession, 'leaks')}/found")
+    real = found.where("item_key is not null").distinct()
+    who = real.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    texts = base.join(who.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi").groupBy("doc_id", "key").agg(F.max("text").alias("text"))
+    words = with_words(texts).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "w", "c")
+    both = real.join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).join(items.select("item_key", "i", "part", "item_words"), ["item_key", "i"])
+    there = plain(F.slice("w", F.col("p") + 1, F.lit(WIDTH)))
+    slots = F.zip_with(F.zip_with("item_words", there, lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), "part", lambda v, c: F.when(c.isin(NUMBER, UNIT, NAME), v))
+    hits = both.where(F.slice("c", F.col("p") + 1, F.lit(WIDTH)) == F.col("part")).select("doc_id", "key", "n", "item_id", "item_key", "total", "i", (F.col("p") - F.col("i")).alias("diagonal"), F.filter(slots, lambda v: v.isNotNull()).alias("slots"))
     group = ["doc_id", "key", "n", "item_id", "item_key", "total"]
-    lines = hits.groupBy(*group, "diagonal").agg(F.collect_set("i").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("filled"), F.count("*").alias("copies"))
-    lines = lines.where(F.col("item_key").isNull() | (F.size(F.array_distinct(F.transform("filled", lambda v: v["item"]))) == F.size("filled")))
+    lines = hits.groupBy(*group, "diagonal").agg(F.collect_set("i").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("filled"))
+    lines = lines.where(F.size(F.array_distinct(F.transform("filled", lambda v: v["item"]))) == F.size("filled"))
     changed = F.exists("filled", lambda v: v["item"] != v["doc"])
-    pairs = lines.groupBy(*group).agg((F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.col("total")).alias("coverage"), F.max(changed).alias("changed"), F.max("copies").alias("copies"))
-    return pairs.where(F.col("item_key").isNull() | (F.col("coverage") >= share)).drop("total")
+    pairs = lines.groupBy(*group).agg((F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.col("total")).alias("coverage"), F.max(changed).alias("changed")).where(F.col("coverage") >= share)
+    alone = found.where("item_key is null").groupBy("doc_id", "key", "n").agg(F.count("*").alias("copies"))
+    return pairs.drop("total").unionByName(alone, allowMissingColumns=True)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
