@@ -271,6 +271,8 @@ def near_components(docs: DataFrame, *, width: int = 4, percent: int = 80) -> Da
         left = written(left, f"{root}/left{turn}")
         crowds = left.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").drop("size")
         members = written(left.join(crowds, "key").where("id <> center"), f"{root}/members{turn + 1}")
+        if not members.limit(1).count():
+            break
     # in what still remains, all of a band count as like
     loose = judged.where("loose").select("a", "b").unionByName(members.select(F.col("center").alias("a"), F.col("id").alias("b")))
     crowd = components(loose, f"{root}/crowd")
@@ -287,13 +289,14 @@ def near_components(docs: DataFrame, *, width: int = 4, percent: int = 80) -> Da
     per = placed.groupBy("crowd", "component").agg(F.sum("n").alias("n"))
     split = per.groupBy("crowd").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"), F.sum("n").alias("size")).where("components > 1")
     split = written(split.select("crowd", F.col("top.component").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("asks_in")), f"{root}/split")
+    several = split.limit(1).count() > 0
     open_ = placed.drop("n").join(split, "crowd")
     part, ask = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks_in")).cast("int")
     others = open_.select("crowd", "id", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("asks_in") - 1)).alias("ask"), F.lit(0).alias("asks"))
     askers = open_.where("component <> main").select("crowd", "id", "component", ask.alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks")).select(*others.columns)
     blocks = others.unionByName(askers).join(sets, "id").repartition(4 * parts, "crowd", "ask", "part").sortWithinPartitions("crowd", "ask", "part")
-    more = written(blocks.select("crowd", "ask", "part", "asks", "id", "component", "s").mapInArrow(lambda it: _block(it, percent), "a long, b long"), f"{root}/more")
-    if more.limit(1).count():
+    more = blocks.select("crowd", "ask", "part", "asks", "id", "component", "s").mapInArrow(lambda it: _block(it, percent), "a long, b long")
+    if several and (more := written(more, f"{root}/more")).limit(1).count():
         joined = components(links.unionByName(more), f"{root}/second")
     # the least id of a component, over all rows of its classes
     of = classes.join(joined, "id", "left").select("sig", "n", "least", F.coalesce("component", "id").alias("component"))
