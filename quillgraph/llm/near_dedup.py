@@ -9,7 +9,8 @@ least class; those unlike it form a band of their own, three times over. Two ske
 registers that are expected to agree by chance. Pairs that are not five standard deviations below the threshold are confirmed on
 the full sets, and links join components. Pairs that are like by a looser measure join crowds. Where a crowd has several components,
 the classes outside the largest are compared with all others by their full sets, in blocks of bounded size whose tasks return
-only links that join components; so no link between different texts is lost, and no list of pairs grows with a crowd's square.
+only links that join components, so no list of pairs grows with a crowd's square. A link is missed if its ends share no band
+(about three in a million at the threshold, for registers that agree independently) or if no band puts them into one crowd.
 """
 
 from __future__ import annotations
