@@ -33,6 +33,8 @@ _APART = re.compile(r"(?<![^\W_])[a-z](?:[ .\-_*~'·]{1,2}[a-z0-9@$!|+]){3,}(?![
 _THRICE = re.compile(r"([a-z])\1\1")
 _TRAIL = re.compile(r"(?:([^\w\s])\1+)+$")
 _ENDS = ".,;:?\"'`)]}#%&*!"
+#: Signs that resemble no letter: at the ends of a word the lattice can only drop them.
+_DROPPED = ".,;:?\"'`)]}#%&*-_=~/\\^{[>"
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -119,25 +121,29 @@ class Restorer:
     seen: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def words(self, text: str) -> set[str]:
-        """Whole words of letters stand for themselves; what else a word may be is restored."""
+        """Whole words of letters stand for themselves; what else a word may be is restored.
+
+        Runs of signs around a word are cut for the plain word only. Signs there may be letters too (a$$, !diot), so what they leave is
+        restored as well: with all signs that resemble letters, and without those that may end a sentence.
+        """
         low = text.lower()
         raw = set(low.split())
-        found, odd = set(), []
+        found, odd = set(), set()
         stretched = _THRICE.search(low) is not None
         for t in raw:
+            if t.isalpha():
+                found.add(t)
+                if stretched and _THRICE.search(t):
+                    odd.add(t)
+                continue
             word = t.strip(_ENDS)
             if not word.isalpha():
                 word = _TRAIL.sub("", word).strip(_ENDS)
-                if not word.isalpha():
-                    found.update(_WORD.findall(word))
-                    if any(map(str.isalpha, word)):
-                        odd.append(word)
-                    continue
-            found.add(word)
-            if stretched and _THRICE.search(word):
-                odd.append(word)
-        if sum(len(t) == 1 for t in raw) >= 3:
-            odd += [m.group() for m in _APART.finditer(low)]
+            found.update(_WORD.findall(word))
+            for x in {word, t.strip(_DROPPED), t.lstrip(_DROPPED).rstrip(_ENDS)}:
+                if (stretched and _THRICE.search(x)) if x.isalpha() else any(map(str.isalpha, x)):
+                    odd.add(x)
+        odd.update(m.group() for m in _APART.finditer(low))
         for x in odd:
             if x not in self.seen:
                 if len(self.seen) > 50_000:

@@ -149,6 +149,14 @@ def test_deobfuscation():
     assert reader.words("thnt$$$ word***") == {"thnt", "word"}
 
 
+def test_signs_at_the_ends_are_read_as_letters():
+    reader = toxicity.Restorer(letters([*CORPUS, *["you ass and you dumbass", "a pile of poop"] * 50]))
+    for written, word in (("a$$", "ass"), ("dumba$$,", "dumbass"), ("a$$!!", "ass"), ("!diot", "idiot"), ("!d!0t.", "idiot"), ("you p o o p", "poop"), ("i. d. i. o. t", "idiot")):
+        assert word in reader.words(written), written
+    # the plain words stay beside them
+    assert {"a", "diot"} <= reader.words("a$$ !diot")
+
+
 def all_paths(text, model):
     """The least cost of all ways through the lattice, tried one by one."""
     best = None
