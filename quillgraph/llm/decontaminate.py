@@ -1,7 +1,9 @@
 """Benchmark decontamination on canonical templates, in DataFrame functions alone.
 
 Words become templates: numbers, units after a number, and names within a sentence turn into typed placeholders.
-Windows of five canonical words of every document are hash-joined with those of the benchmark's items. Matches on a
+Windows of five canonical words of every document are hash-joined with those of the benchmark's items. A capital that
+begins a sentence may begin a name or not, and a copy may be in another case: so a window has up to three forms, which
+all meet all. Matches on a
 diagonal (place in the document less place in the item) must fill the placeholders consistently: one value of
 the item always stands for one value of the document. An item whose windows are covered to 80 % or more is leaked.
 """
@@ -17,30 +19,42 @@ from quillgraph.llm.common import shared_dir, written
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "kilogram", "kilograms", "lb", "lbs", "pound", "pounds", "oz", "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "degrees", "mph", "kmh", "w", "kw", "j", "kj", "v", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "meter", "meters", "metre", "metres")
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 WIDTH, LEAST_FIXED, MARK = 5, 2, -1
+#: Forms of a window: capitals that begin sentences as words, the same as names, and all in small letters without names.
+FORMS = (0, 1, 2)
 #: Stand in texts for a unit and before a capital that begins a sentence; what parts words.
 IN_UNIT, BEGIN = "\x02", "\x01"
 GAP = r"[^\p{L}\p{N}\x01\x02]+"
 
 
 def with_words(rows: DataFrame) -> DataFrame:
-    """rows (text) with ``w``, the words as written, BEGIN before a capital that begins a sentence, and ``c``, the canonical words.
+    """rows (text) with ``w``, the words as written, BEGIN before a capital that begins a sentence, and ``low``, the same in small letters.
 
     Words are runs of letters and digits. The marks are set and letters made small in the whole text, and both forms are split
-    alike, so that what is left to do for each word is little. A number begins with a digit. A unit is one that follows a number and a
-    space. A name has a capital and small letters and does not begin the text or a sentence.
+    alike, so that what is left to do for each word is little. IN_UNIT stands in low for a unit, which follows a number and a space.
     """
-    text = F.translate(F.concat(F.lit(". "), F.replace("text", F.lit("İ"), F.lit("I"))), BEGIN + IN_UNIT, "  ")
+    text = F.translate(F.concat(F.lit(". "), F.replace(F.replace("text", F.lit("İ"), F.lit("I")), F.lit("ß"), F.lit("ss"))), BEGIN + IN_UNIT, "  ")
     begun = F.regexp_replace(text, r"(?<=[.!?:]\s{1,3})(?=\p{Lu})", BEGIN)
     small = F.regexp_replace(F.lower(text), rf"(?<=[0-9] )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", IN_UNIT)
     words = lambda c: F.array_remove(F.split(c, GAP), "")
+    return rows.withColumn("w", words(begun)).withColumn("low", words(small)).drop("text")
 
-    def one(w: Column, low: Column) -> Column:
-        digit = (low >= F.lit("0")) & (low < F.lit(":"))
-        name = (F.length(w) > 1) & (F.initcap(low) == w)
-        return F.when(w == low, F.when(digit, NUMBER).otherwise(low)).when(low == IN_UNIT, UNIT).when(name, NAME).otherwise(low)
 
-    split = rows.withColumn("w", words(begun)).withColumn("low", words(small))
-    return split.withColumn("c", F.zip_with("w", "low", one)).drop("low", "text")
+def blind(low: Column) -> Column:
+    """The word whatever its case: a number begins with a digit."""
+    return F.when((low >= F.lit("0")) & (low < F.lit(":")), NUMBER).when(low == IN_UNIT, UNIT).otherwise(low)
+
+
+def kind(w: Column, low: Column) -> Column:
+    """1: a name, a capital and small letters within a sentence. 2: the same where the text or a sentence begins, so a name or not. 0: neither."""
+    title = F.initcap(low)
+    return F.when((w == low) | (F.length(low) < 2), 0).when(w == title, 1).when(w == F.concat(F.lit(BEGIN), title), 2).otherwise(0)
+
+
+def with_forms(rows: DataFrame) -> DataFrame:
+    """rows of with_words with ``f``, the three forms of the words in the order of FORMS."""
+    each = rows.withColumn("b", F.transform("low", blind)).withColumn("k", F.zip_with("w", "low", kind))
+    named = lambda least, most: F.zip_with("b", "k", lambda b, k: F.when(k.between(least, most), NAME).otherwise(b))
+    return each.withColumn("f", F.array(named(1, 1), named(1, 2), F.col("b"))).drop("b", "k", "low")
 
 
 def plain(words: Column) -> Column:
@@ -48,22 +62,49 @@ def plain(words: Column) -> Column:
     return F.transform(words, lambda w: F.lower(F.replace(w, F.lit(BEGIN), F.lit(""))))
 
 
-def windows(canon: str) -> Column:
-    """Hashes of all runs of WIDTH words of the array column; of a shorter text that has words, the one run of all of them."""
-    n = F.size(canon)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col(canon), i + k) for k in range(WIDTH)]))
+def windows(hashes: str) -> Column:
+    """Hashes of all runs of WIDTH words of the array column of words' hashes; of a shorter text that has words, the one run of all of them."""
+    n = F.size(hashes)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(WIDTH)]))
     return F.when(n > 0, runs).otherwise(F.array().cast("array<long>"))
 
 
+def with_windows(rows: DataFrame) -> DataFrame:
+    """rows of with_words with ``m``, the number of windows, and ``h``, their hashes: those of the first form, then of the others, null where they are the first's.
+
+    A word is one number, its hash with its kind in the last two bits, from which the forms follow.
+    """
+    name = F.xxhash64(F.lit(NAME)).bitwiseAND(-4)
+    one = lambda w, low: F.xxhash64(blind(low)).bitwiseAND(-4).bitwiseOR(kind(w, low).cast("long"))
+    rows = rows.withColumn("v", F.zip_with("w", "low", one))
+    rows = rows.withColumns({
+        "h0": F.transform("v", lambda v: F.when(v.bitwiseAND(3) == 1, name).otherwise(v.bitwiseAND(-4))),
+        "h1": F.transform("v", lambda v: F.when(v.bitwiseAND(3) > 0, name).otherwise(v)),
+        "h2": F.transform("v", lambda v: v.bitwiseAND(-4)),
+    }).drop("v")
+    rows = rows.withColumns({f"h{f}": windows(f"h{f}") for f in FORMS})
+    other = lambda c: F.zip_with("h0", c, lambda a, b: F.when(a != b, b))
+    return rows.withColumn("m", F.size("h0")).withColumn("h", F.concat("h0", other("h1"), other("h2"))).drop("h0", "h1", "h2")
+
+
+def fixed(part: Column) -> Column:
+    return F.size(F.filter(part, lambda x: ~x.isin(NUMBER, UNIT, NAME)))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_key, i, h, part, item_words, total: the windows of the items' distinct texts that hold two fixed words at least."""
+    """item_id, item_key, i, form, h, part, slots, item_words, total: the windows of the items' distinct texts that hold two fixed words at least, in each form that does.
+
+    slots has the placeholders of the form, and for the case-blind form those of the first, whose values the words must be.
+    """
     rows = benchmark.where("text is not null").groupBy(F.col("text").cast("string").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    rows = with_words(rows.select("item_id", F.xxhash64("text").alias("item_key"), "text")).where(F.size("c") >= LEAST_FIXED)
-    each = rows.select("item_id", "item_key", "w", "c", F.posexplode(windows("c")).alias("i", "h"))
-    part = F.slice("c", F.col("i") + 1, F.lit(WIDTH))
-    each = each.select("item_id", "item_key", "i", "h", part.alias("part"), plain(F.slice("w", F.col("i") + 1, F.lit(WIDTH))).alias("item_words"))
-    each = each.where(F.size(F.filter("part", lambda x: ~x.isin(NUMBER, UNIT, NAME))) >= LEAST_FIXED)
-    total = each.groupBy("item_key").agg(F.count("*").alias("total"))
+    rows = with_forms(with_windows(with_words(rows.select("item_id", F.xxhash64("text").alias("item_key"), "text")))).where(F.size("w") >= LEAST_FIXED)
+    each = rows.select("item_id", "item_key", "w", "f", "m", F.posexplode("h").alias("at", "h"))
+    each = each.withColumn("i", (F.col("at") % F.col("m")).cast("int")).withColumn("form", F.floor(F.col("at") / F.col("m")).cast("int"))
+    part = lambda form: F.slice(F.get("f", form), F.col("i") + 1, F.lit(WIDTH))
+    slots = part(F.when(F.col("form") == 1, 1).otherwise(0))
+    each = each.where("h is not null").select("item_id", "item_key", "i", "form", "h", part(F.col("form")).alias("part"), slots.alias("slots"), part(F.lit(0)).alias("first"), plain(F.slice("w", F.col("i") + 1, F.lit(WIDTH))).alias("item_words"))
+    each = each.where((fixed(F.col("first")) >= LEAST_FIXED) & (fixed(F.col("part")) >= LEAST_FIXED)).drop("first")
+    total = each.where("form = 0").groupBy("item_key").agg(F.count("*").alias("total"))
     return each.join(total, "item_key")
 
 
@@ -72,25 +113,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float, broadcast_rows:
 
     The items' windows are broadcast only if counting finds at most ``broadcast_rows``; otherwise both sides shuffle.
     """
-    items = item_windows(benchmark).select("item_id", "item_key", "i", "h", "part", "item_words", "total")
+    items = item_windows(benchmark).select("item_id", "item_key", "i", "form", "h", "part", "slots", "item_words", "total")
     few = items.limit(broadcast_rows + 1).count() <= broadcast_rows
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    every = with_words(base).select("doc_id", "key", F.size("w").alias("n"), F.posexplode(F.concat(windows("c"), F.array(F.lit(MARK).cast("long")))).alias("p", "h"))
+    every = with_windows(with_words(base)).select("doc_id", "key", F.size("w").alias("n"), "m", F.posexplode(F.concat("h", F.array(F.lit(MARK).cast("long")))).alias("at", "h")).where("h is not null")
     # only hashes go through the join; the words of texts that it finds are read again
-    mark = docs.sparkSession.sql(f"SELECT CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS item_key, 0 AS i, {MARK}L AS h, CAST(1 AS BIGINT) AS total")
-    slim = items.select("item_id", "item_key", "i", "h", "total").unionByName(mark)
-    found = written(every.join(F.broadcast(slim) if few else slim, "h").select("doc_id", "key", "n", "item_id", "item_key", "total", "i", "p"), f"{shared_dir(docs.sparkSession, 'leaks')}/found")
+    mark = docs.sparkSession.sql(f"SELECT CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS item_key, 0 AS i, 0 AS form, {MARK}L AS h, CAST(1 AS BIGINT) AS total")
+    slim = items.select("item_id", "item_key", "i", "form", "h", "total").unionByName(mark)
+    m = F.greatest("m", F.lit(1))
+    place = [(F.col("at") % m).alias("p"), F.floor(F.col("at") / m).cast("int").alias("doc_form")]
+    found = written(every.join(F.broadcast(slim) if few else slim, "h").select("doc_id", "key", "n", "item_id", "item_key", "total", "i", "form", *place), f"{shared_dir(docs.sparkSession, 'leaks')}/found")
     real = found.where("item_key is not null").distinct()
     who = real.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     texts = base.join(who.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi").groupBy("doc_id", "key").agg(F.max("text").alias("text"))
-    words = with_words(texts).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "w", "c")
-    both = real.join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).join(items.select("item_key", "i", "part", "item_words"), ["item_key", "i"])
+    words = with_forms(with_words(texts)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "w", "f")
+    both = real.join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).join(items.select("item_key", "i", "form", "part", "slots", "item_words"), ["item_key", "i", "form"])
     there = plain(F.slice("w", F.col("p") + 1, F.lit(WIDTH)))
-    slots = F.zip_with(F.zip_with("item_words", there, lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), "part", lambda v, c: F.when(c.isin(NUMBER, UNIT, NAME), v))
-    hits = both.where(F.slice("c", F.col("p") + 1, F.lit(WIDTH)) == F.col("part")).select("doc_id", "key", "n", "item_id", "item_key", "total", "i", (F.col("p") - F.col("i")).alias("diagonal"), F.filter(slots, lambda v: v.isNotNull()).alias("slots"))
+    slots = F.zip_with(F.zip_with("item_words", there, lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), "slots", lambda v, c: F.when(c.isin(NUMBER, UNIT, NAME), v))
     group = ["doc_id", "key", "n", "item_id", "item_key", "total"]
-    lines = hits.groupBy(*group, "diagonal").agg(F.collect_set("i").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("filled"))
+    sure = (F.col("form") == 0) & (F.col("doc_form") == 0)
+    hits = both.where(F.slice(F.get("f", F.col("doc_form")), F.col("p") + 1, F.lit(WIDTH)) == F.col("part")).select(*group, (F.col("p") - F.col("i")).alias("diagonal"), F.struct("i", sure.alias("sure"), F.filter(slots, lambda v: v.isNotNull()).alias("slots")).alias("hit"))
+    lines = hits.groupBy(*group, "diagonal").agg(F.collect_set("hit").alias("hits"))
+    # a hit in another form counts unless its slots disagree with the diagonal's; those in the first form must agree
+    given = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda x: x["slots"])))
+    lines = lines.withColumn("values", F.transform(given("hits"), lambda v: v["item"]))
+    lines = lines.withColumn("torn", F.filter(F.array_distinct("values"), lambda v: F.size(F.filter("values", lambda x: x == v)) > 1))
+    lines = lines.withColumn("hits", F.filter("hits", lambda x: x["sure"] | ~F.arrays_overlap(F.transform(x["slots"], lambda v: v["item"]), "torn")))
+    lines = lines.withColumn("filled", given("hits")).withColumn("places", F.transform("hits", lambda x: x["i"]))
     lines = lines.where(F.size(F.array_distinct(F.transform("filled", lambda v: v["item"]))) == F.size("filled"))
     changed = F.exists("filled", lambda v: v["item"] != v["doc"])
     pairs = lines.groupBy(*group).agg((F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.col("total")).alias("coverage"), F.max(changed).alias("changed")).where(F.col("coverage") >= share)

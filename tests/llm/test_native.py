@@ -108,6 +108,21 @@ def test_decontaminate_by_hand(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(9) if got[i]["kept"]]
 
 
+def kept(spark, item, texts):
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return [r["kept"] for r in decontaminate.decontaminate(docs(spark, texts), bench).orderBy("doc_id").collect()]
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Maria has 12 apples and gives 5 of them away. Tom buys the rest and eats two. Maria then asks Tom how many there are left in the box."
+    other = item.replace("Maria", "Sofia").replace("Tom", "Peter").replace("12", "30")
+    texts = ["Well: " + other + " So it is.", "one two " + item.replace("Maria has", "he said Maria has"), other.replace("Sofia then", "Laura then"), "She said that Sofia has" + other[9:], item + " x", "nothing like it"]
+    got = kept(spark, item, texts)
+    assert got[:2] == [False, False] and got[3:5] == [False, False] and got[5]
+    # two values for one name: not all of its windows count
+    assert got[2]
+
+
 def test_slots_must_agree(spark):
     """The item's number stands at both places; a document with two different ones asks something else."""
     item = "add the number 12 to the big red box and then take the number 12 out of the small blue box"
