@@ -123,6 +123,15 @@ def test_names_that_begin_sentences(spark):
     assert got[2]
 
 
+def test_copies_in_any_case(spark):
+    for item in (ITEM, "How far does Anna see?", "Anna lives near the old mill in Boston today"):
+        texts = [f"x {f(item)} y" for f in (str, str.upper, str.lower, str.title, str.swapcase)] + [f'He said "{item}"', f"a heading\n{item}"]
+        assert kept(spark, item, texts) == [False] * 7, item
+    rows = [*enumerate(["before " + ITEM.upper() + " after", ITEM.lower()])]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, ITEM)], "item_id long, text string")).collect()
+    assert all(not r["kept"] and r["coverage"] == 1 and not r["changed"] for r in got)
+
+
 def test_slots_must_agree(spark):
     """The item's number stands at both places; a document with two different ones asks something else."""
     item = "add the number 12 to the big red box and then take the number 12 out of the small blue box"
