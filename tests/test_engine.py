@@ -222,3 +222,46 @@ def test_cache_and_nearest(spark):
     made = spark.createDataFrame([(1, "alpha"), (1, "betta")], "q long, t string")
     known = spark.createDataFrame([(1, 0, "alpha"), (1, 1, "beta")], "q long, pos int, candidate string")
     assert rows(qa.nearest(made, known, "q", "t"), "t", "candidate") == [("alpha", "alpha"), ("betta", "beta")]
+
+
+def split_at_headings(content):
+    """Line by line: (headers, content) of each section."""
+    import re
+
+    path, inside, out, gap = {}, False, [], False
+    for line in content.split("\n"):
+        s = re.sub(r"^\s+|\s+$", "", line)
+        head = None if inside else re.match(r"(#{1,6}) (.+)", s)
+        if head and not s.startswith("```"):
+            path = {k: t for k, t in path.items() if k < len(head[1])} | {len(head[1]): head[2].strip()}
+            gap = False
+            continue
+        if s.startswith("```"):
+            inside = not inside
+        elif s == "" and not inside:
+            gap = True
+            continue
+        if not out or out[-1][0] != path:
+            out.append((path, s))
+        else:
+            out[-1] = (path, out[-1][1] + ("  \n" if gap else "\n") + s)
+        gap = False
+    return [({f"h{k}": t for k, t in p.items()}, "".join(f"{'#' * k} {t}  \n" for k, t in p.items()) + body) for p, body in out]
+
+
+def test_sections_by_brute_force(spark):
+    """All sections of the documents behind md_chunks and md_parents, those of the text too."""
+    from quillgraph.plans.queries_docs import docs
+    from tests.conftest import SF
+
+    made = docs(spark, SF).cache()
+    got, parent = {}, {}
+    sections = markdown.sections(made).cache()
+    for r in sections.orderBy("doc_id", "section").collect():
+        got.setdefault(r["doc_id"], []).append((r["headers"], r["content"]))
+    want = {r["doc_id"]: split_at_headings(r["content"]) for r in made.collect()}
+    assert got == want and all(len(x) == 3 for x in got.values())
+    top = {r["doc_id"]: r["chunk_id"] for r in sections.where("depth = 1").collect()}
+    for r in markdown.parents(sections).collect():
+        parent.setdefault(r["doc_id"], []).append(r["parent_id"])
+    assert all(sorted(p, key=str) == sorted([None, top[d], top[d]], key=str) for d, p in parent.items())
