@@ -70,13 +70,22 @@ def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def gold_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a question. Both meet on a window of five words of the question, its first, and only those are compared."""
-    first = lambda c: F.slice(F.split(F.col(c), r"\s+"), 1, 5)
-    q = questions(spark, sf_dir).withColumn("_h", F.xxhash64(first("question")))
-    words = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"), F.size(F.split("text", r"\s+")).alias("n"))
+    """Documents that contain a question. Both meet on five words of the question, from its second, and only those are compared.
+
+    The first and the last word of a question may be parts of words in the text, so neither takes part. Questions of fewer than
+    seven words are compared with all texts, as a query set.
+    """
+    q = questions(spark, sf_dir).withColumn("_w", F.split("question", r"\s+"))
+    few = q.limit(10_001).count() <= 10_000
+    dealt = lambda c: F.broadcast(c) if few else c
+    long = q.where(F.size("_w") >= 7).withColumn("_h", F.xxhash64(F.slice("_w", 2, 5))).drop("_w")
+    short = q.where(F.size("_w") < 7).drop("_w")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w"), F.size(F.split("text", r"\s+")).alias("n"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, F.lit(5))))
     d = words.select("doc_id", "text", F.explode(runs).alias("_h"))
-    return d.join(F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q, "_h").where(F.contains("text", F.col("question"))).select("query_id", "doc_id").distinct()
+    met = d.join(dealt(long), "_h").select("query_id", "doc_id", "text", "question").unionByName(docs.crossJoin(dealt(short)).select("query_id", "doc_id", "text", "question"))
+    return met.where(F.contains("text", F.col("question"))).select("query_id", "doc_id").distinct()
 
 
 @query("SELECT conv_id, list_sort(list_distinct(list(text))) AS gold_answers FROM conversations WHERE role <> 'user' GROUP BY conv_id")
