@@ -99,11 +99,13 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, learn: Column, *, sample_rows: int = 3000, least_rows: int = 50, languages: int = 200) -> LanguageModel:
     """docs: doc_id, text, lang. Learns from rows where ``learn`` holds and text and lang are not null.
 
-    The model is fitted on about ``sample_rows`` rows by hash of id and text, at least ``least_rows`` of each of the ``languages``
-    commonest languages if it has as many. Document frequencies cover all rows that it may learn from.
+    The model is fitted on about ``sample_rows`` rows by hash of id and text, at least ``least_rows`` of each language if
+    it has as many. Document frequencies cover all rows that it may learn from. More than ``languages`` languages in them are an error.
     """
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
+    if len(per) > languages:
+        raise ValueError(f"more than {languages} languages to learn; raise languages to keep them all")
     if not per:
         return LanguageModel([], np.ones(DIMS), np.zeros((DIMS, 0)), np.zeros(0), 1.0)
     total, names = sum(per.values()), sorted(per)

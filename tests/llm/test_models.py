@@ -32,6 +32,14 @@ def test_language_odd(odd, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def test_no_language_is_left_out(spark):
+    rows = [(i, text, lang) for i, (lang, text) in enumerate([("en", "the day is long"), ("de", "der Tag ist lang"), ("fr", "le jour est long")] * 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(d, F.lit(True), languages=3).languages == ["de", "en", "fr"]
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.fit(d, F.lit(True), languages=2)
+
+
 def test_ngram_counts_are_whole():
     text = "Ab c" * 10
     whole = language_id.counts(text)
