@@ -19,13 +19,11 @@ WORD_GAPS = b" \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests, one machine)."""
-    found = None
-    try:
-        found = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # the session has no such setting
-        found = None
+    """The folder that driver and executors share. One of our own is made only where all run in one process; elsewhere it must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,6 +47,17 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have, whatever its own are (upper and lower case count as equal)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

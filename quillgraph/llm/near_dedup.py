@@ -2,15 +2,19 @@
 
 A text's shingles are hashed to 64 bits. The top bits choose one of 256 buckets; of the least rest in a bucket the register keeps the number
 of leading zeros and ten bits after the first one. Texts with the same set of shingles are one class, and only classes go on.
-An empty bucket borrows the register of the next one that is not empty; runs of six registers are the bands.
-
-Classes that share a band are candidates. Not all pairs of a band are made: each class is compared with the band's
-least class; those unlike it form a band of their own, three times over. Two sketches give an estimate of the similarity, less the
-registers that are expected to agree by chance. Pairs that are not five standard deviations below the threshold are confirmed on
-the full sets, and links join components. Pairs that are like by a looser measure join crowds. Where a crowd has several components,
-the classes outside the largest are compared with all others by their full sets, in blocks of bounded size whose tasks return
-only links that join components, so no list of pairs grows with a crowd's square. A link is missed if its ends share no band
-(about three in a million at the threshold, for registers that agree independently) or if no band puts them into one crowd.
+
+Candidates come from bands, runs of six registers. An empty bucket takes, in the bands alone, the register of the first bucket that is not
+empty in an order of its own; so registers agree independently with a chance of the similarity, however small the sets are.
+
+1. Each class of a band is paired with the band's least class. Two sketches give an estimate of the similarity, less the registers that are
+   expected to agree by chance. Pairs that are not five standard deviations below the threshold are confirmed on the full sets; links
+   join components.
+2. Bands that still hold several components are open. Their classes meet again on the rarest shingles of their sets: of n shingles,
+   sets with a share t in common must share one of the n - ceil(t n) + 1 that are rarest. Classes that meet with the same least class are a crowd. Within a
+   crowd, sketches are compared across components, and likely pairs are counted on the full sets; a crowd is dealt out in blocks
+   bounded in rows and shingles, and a block returns only links that join components. No list of pairs grows with a group's square.
+
+A link is missed if its ends share neither a band nor, as members of open bands, a rarest shingle: at the threshold about three in a million.
 """
 
 from __future__ import annotations
@@ -19,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillgraph.llm.common import parts_for, remove, shared_dir, utf8, written
+from quillgraph.llm.common import parts_for, remove, shared_dir, unused, utf8, written
 from quillgraph.llm.components import components
 
 BUCKET_BITS, MANTISSA_BITS, BAND = 8, 10, 6
@@ -33,20 +39,14 @@ BANDS = BUCKETS // BAND
 REST = 64 - BUCKET_BITS
 #: Registers of unlike elements that agree by chance, of all: the leading term for sets of like size (Yu and Weber, HyperMinHash).
 BY_CHANCE = 0.169919487159739 * 2.0 ** (BUCKET_BITS - MANTISSA_BITS)
-#: Similarity, less five standard deviations, down to which texts are held like enough to be compared by their full sets.
-LOOSE = 0.6
-#: Rounds in which members of a band that are unlike its least one form a band of their own.
-TURNS = 3
-#: Shingles of a block, on either side.
-BLOCK = 1 << 19
+#: Classes and shingles of a block of a crowd.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _PLACE = _RANDOM.integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: [i, j]: the place of bucket j in the order in which the empty bucket i looks for a register.
+_ORDER = np.argsort(_RANDOM.random((BUCKETS, BUCKETS)), axis=1).astype(np.uint8)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -57,22 +57,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some texts, and how many each text has."""
-    at = np.flatnonzero(~_SPACE[data])
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    starts = np.ones(len(at), bool)
-    starts[1:] = at[1:] != at[:-1] + 1
-    cut = np.searchsorted(at, offsets[1:-1])
-    starts[cut[cut < len(at)]] = True
-    first = np.flatnonzero(starts)
-    length = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, length)
-    power = np.ones(int(length.max()), np.uint64)
-    power[1:] = _BASE
-    power = np.cumprod(power, dtype=np.uint64)
-    h = np.add.reduceat(_BYTE[data[at]] * power[place], first)
-    return mixed(h + length.astype(np.uint64)), np.diff(np.searchsorted(at[first], offsets))
+    """xxh3 hashes of all words of some texts, A-Z as a-z, and how many each text has. Each different word is hashed once."""
+    texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    found = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    number = coded.indices.to_numpy(zero_copy_only=False)
+    real = np.array([w != b"" for w in found], bool)[number] if len(found) else np.zeros(0, bool)  # gaps at the ends of a text leave an empty word
+    ends = np.concatenate([[0], np.cumsum(real)])[split.offsets.to_numpy()]
+    return hashes[number[real]] if len(found) else np.zeros(0, np.uint64), np.diff(ends)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -109,13 +103,13 @@ def registers(s: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """[n, 256] registers to [n, 42] hashes; empty buckets borrow from the next one that is not."""
-    empty = regs == 0
-    twice = np.concatenate([regs, regs], axis=1)
-    at = np.where(twice > 0, np.arange(2 * BUCKETS), 2 * BUCKETS)
-    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS]
-    full = np.where(empty, np.take_along_axis(twice, np.minimum(at, 2 * BUCKETS - 1), 1), regs).astype(np.uint64)
-    bands = full[:, : BANDS * BAND].reshape(len(regs), BANDS, BAND)
+    """[n, 256] registers to [n, 42] hashes of six registers each, with the buckets that they come from."""
+    source = np.tile(np.arange(BUCKETS), (len(regs), 1))
+    for k in np.flatnonzero((regs == 0).any(axis=1) & (regs > 0).any(axis=1)):
+        empty, full = np.flatnonzero(regs[k] == 0), np.flatnonzero(regs[k])
+        source[k, empty] = full[_ORDER[np.ix_(empty, full)].argmin(axis=1)]
+    filled = np.take_along_axis(regs, source, 1).astype(np.uint64) + (source.astype(np.uint64) << np.uint64(32))
+    bands = mixed(filled)[:, : BANDS * BAND].reshape(len(regs), BANDS, BAND)
     return mixed((bands * _PLACE[:BAND]).sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE).view(np.int64)
 
 
@@ -154,160 +148,182 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 def _matrix(column: pa.Array) -> np.ndarray:
     data, _ = utf8(column)
-    return data.view(np.uint16).reshape(len(column), BUCKETS) if data.flags.aligned else np.frombuffer(data.tobytes(), np.uint16).reshape(len(column), BUCKETS)
+    return np.frombuffer(data.tobytes(), np.uint16).reshape(len(column), BUCKETS)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """Arrays of 64-bit numbers as one column of lists."""
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]), pa.int32()), pa.array(flat.view(np.int64)))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = band_keys(_matrix(batch.column("regs")))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))], ["id", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "doc_id", "key", "n", "regs")] + [_lists(list(keys))], ["id", "doc_id", "key", "n", "regs", "bands"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = _matrix(batch.column("ra")), _matrix(batch.column("rb"))
-        likely, loose = plausible(x, y, threshold), plausible(x, y, LOOSE)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(likely), pa.array(loose)], ["a", "b", "likely", "loose"])
-
-
-def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers (in a, in b) of all pairs of sets that are similar enough, counted by products of slices of their incidence matrices."""
-    sizes = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    values, number, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
-    rank = np.cumsum(times > 1) - 1  # what occurs once is in no intersection
-    shared = times[number] > 1
-    row = np.repeat(np.arange(len(a) + len(b)), np.concatenate(sizes))[shared]
-    column = rank[number[shared]]
-    both, wide = np.zeros((len(a), len(b)), np.float32), 4096
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
-        at = slice(*np.searchsorted(column, (first, first + wide)))
-        m = np.zeros((len(a) + len(b), wide), np.float32)
-        m[row[at], column[at] - first] = 1
-        both += m[: len(a)] @ m[len(a) :].T
-    both = both.astype(np.int64)
-    return np.nonzero(100 * both >= percent * (sizes[0][:, None] + sizes[1][None] - both))
-
-
-def _block(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows by (crowd, ask, part): each asker's set is compared with the block's sets of other components. A block is bounded; of its links, those that join components come out."""
-    now, sides = None, ([], [])
-
-    def out() -> pa.RecordBatch:
-        a, b, above = [], [], {}
-
-        def top(c: int) -> int:
-            while above.get(c, c) != c:
-                c = above[c]
-            return c
-
-        others, askers = sides
-        if askers and others:
-            for i, k in zip(*linked([x[2] for x in askers], [x[2] for x in others], percent), strict=True):
-                x, y = top(askers[i][1]), top(others[k][1])
-                if x != y:
-                    above[max(x, y)] = min(x, y)
-                    a.append(min(askers[i][0], others[k][0]))
-                    b.append(max(askers[i][0], others[k][0]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("crowd", "ask", "part", "asks", "id", "component", "s")]
-        for crowd, ask, part, asks, i, c, s in zip(*cols, strict=True):
-            if (crowd, ask, part) != now:
-                if now is not None:
-                    yield out()
-                now, sides = (crowd, ask, part), ([], [])
-            sides[asks].append((i, c, np.frombuffer(s, np.uint64)))
-    if now is not None:
-        yield out()
+        likely = plausible(_matrix(batch.column("ra")), _matrix(batch.column("rb")), threshold)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(likely))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # rows that repeat an id and text meet in one task
+    last = None  # rows that repeat an id and a text come one after the other
     for whole in batches:
         ids = whole.column("id").to_pylist()
-        new = [i not in seen and not seen.add(i) for i in ids]
+        new = [x != y for x, y in zip(ids, [last, *ids], strict=False)]
+        last = ids[-1] if ids else last
         for batch in _sliced(whole.filter(pa.array(new, pa.bool_()))):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(*utf8(batch.column("text")), width)], pa.binary())], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(shingle_sets(*utf8(batch.column("text")), width))], ["id", "s"])
+
+
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of lists as views of 64-bit hashes."""
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
+        for x, y in zip(_numbers(batch.column("sa")), _numbers(batch.column("sb")), strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+class Shared:
+    """How many elements each of some sets has in common with any one of them, by the lists of the sets that hold an element."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        held = times[number] > 1  # what occurs once is in no intersection
+        number, owner = number[held], owner[held]
+        order = np.argsort(number, kind="stable")
+        self.holders, self.first = owner[order], np.searchsorted(number[order], np.arange(len(values) + 1))
+        self.number, self.at = number, np.searchsorted(owner, np.arange(len(sets) + 1))
+
+    def with_all(self, a: int) -> np.ndarray:
+        mine = self.number[self.at[a] : self.at[a + 1]]
+        first, length = self.first[mine], self.first[mine + 1] - self.first[mine]
+        gone = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(mine) else np.zeros(0, np.int64)
+        rows = self.holders[np.arange(int(length.sum())) + np.repeat(first - gone, length)]
+        return np.bincount(rows, minlength=len(self.sizes))
+
+
+def spanning(sets: list[np.ndarray], regs: np.ndarray, component: np.ndarray, part: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links (as places in sets) that join the components of a block's rows as far as all its links do.
+
+    All rows outside the largest component are compared with all of other components; of other parts alone, if ``part`` is given. Sketches first, then counts.
+    """
+    names, label, size = np.unique(component, return_inverse=True, return_counts=True)
+    asks = np.flatnonzero(label != size.argmax())
+    n, shared, out = np.array([len(s) for s in sets], np.int64), None, []
+    for a in asks:
+        ok = (label != label[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
+        if part is not None:
+            ok &= part != part[a]
+        rows = np.flatnonzero(ok)
+        rows = rows[plausible(regs[rows], regs[a], percent / 100)]
+        if not len(rows):
+            continue
+        shared = shared or Shared(sets)
+        both = shared.with_all(a)[rows]
+        rows = rows[100 * both >= percent * (n[rows] + n[a] - both)]
+        while len(rows):
+            out.append((int(a), int(rows[0])))
+            label[label == label[rows[0]]] = label[a]
+            rows = rows[label[rows] != label[a]]
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows by (crowd, i, j), the parts that the block compares. A block is bounded; of its links, those that join components come out."""
+    now, held = None, []
+
+    def out() -> pa.RecordBatch:
+        ids, component, part, regs, sets = zip(*held, strict=True)
+        found = spanning(list(sets), np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), BUCKETS), np.array(component), np.array(part) if now[1] != now[2] else None, percent)
+        pairs = [sorted((ids[x], ids[y])) for x, y in found]
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        plain = [batch.column(c).to_pylist() for c in ("crowd", "i", "j", "id", "component", "part", "regs")]
+        for crowd, i, j, one, component, part, regs, s in zip(*plain, _numbers(batch.column("s")), strict=True):
+            if (crowd, i, j) != now:
+                if len(held) > 1:
+                    yield out()
+                now, held = (crowd, i, j), []
+            held.append((one, component, part, regs, s))
+    if len(held) > 1:
+        yield out()
+
+
 def near_components(docs: DataFrame, *, width: int = 4, percent: int = 80) -> DataFrame:
-    """row, doc_id, key, n, component_id for each row of docs (doc_id, text); key is a hash of the text."""
+    """row, doc_id, key, n, component_id, first for each row of docs (doc_id, text); key is a hash of the text, first marks one row of each component."""
     spark, threshold = docs.sparkSession, percent / 100
     root, parts = shared_dir(spark, "near"), parts_for(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     sketches = written(rows.mapInArrow(lambda it: _sketch(it, width), "row long, doc_id long, key long, n long, sig binary, regs binary"), f"{root}/sketches")
-    # classes: rows with the same set; the least id stands for it
+    # classes: rows with the same set; the row with the least id stands for it
     some = sketches.where("n > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = written(some.groupBy("sig", "n").agg(F.min(order).alias("o")).select("sig", F.col("n"), F.col("o.row").alias("id"), F.col("o.doc_id").alias("least")), f"{root}/classes")
-    reps = written(some.select(F.col("row").alias("id"), "doc_id", "key", "n", "regs").join(classes.select("id"), "id", "left_semi"), f"{root}/reps")
-    keys = reps.select("id", "regs").mapInArrow(_bands, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    crowds = written(keys.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").drop("size"), f"{root}/crowds")
-    members = written(keys.join(crowds, "key").where("id <> center"), f"{root}/members0")
+    classes = written(some.groupBy("sig").agg(F.min(order).alias("o")).select("sig", F.col("o.row").alias("id"), "o"), f"{root}/classes")
+    reps = some.select(F.col("row").alias("id"), "doc_id", "key", "n", "regs").join(classes.select("id"), "id", "left_semi")
+    reps = written(reps.mapInArrow(_bands, "id long, doc_id long, key long, n long, regs binary, bands array<long>"), f"{root}/reps")
+    keys = reps.select("id", F.explode("bands").alias("band"))
+    groups = keys.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").drop("size")
+    members = written(keys.join(groups, "band"), f"{root}/members")
+
+    # the full sets of all classes that share a band
     regs = reps.select("id", "regs")
-    judged = None
-    for turn in range(TURNS):
-        stars = members.groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("_n")).drop("_n")
-        if judged is not None:
-            stars = stars.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        sketched = stars.join(regs.withColumnsRenamed({"id": "b", "regs": "rb"}), "b").join(regs.withColumnsRenamed({"id": "a", "regs": "ra"}), "a")
-        got = written(sketched.select("a", "b", "ra", "rb").mapInArrow(lambda it: _judge(it, threshold), "a long, b long, likely boolean, loose boolean"), f"{root}/judged{turn}")
-        judged = got if judged is None else judged.unionByName(got)
-        # members that are unlike the least one of their band form a smaller band
-        left = members.join(judged.where("loose").select(F.col("a").alias("center"), F.col("b").alias("id")), ["center", "id"], "left_anti").select("key", "id")
-        left = written(left, f"{root}/left{turn}")
-        crowds = left.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").drop("size")
-        members = written(left.join(crowds, "key").where("id <> center"), f"{root}/members{turn + 1}")
-        if not members.limit(1).count():
-            break
-    # in what still remains, all of a band count as like
-    loose = judged.where("loose").select("a", "b").unionByName(members.select(F.col("center").alias("a"), F.col("id").alias("b")))
-    crowd = components(loose, f"{root}/crowd")
-    # full sets of all that are like another
-    who = reps.join(crowd.select("id"), "id", "left_semi").select("id", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    who = reps.select("id", F.col("doc_id").alias("_id"), F.col("key").alias("_key")).join(members.select("id").distinct(), "id", "left_semi")
     whole = rows.join(who.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("id", "text")
-    sets = written(whole.mapInArrow(lambda it: _sets(it, width), "id long, s binary"), f"{root}/sets")
-    pairs = judged.where("likely").select("a", "b").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
+    sets = written(whole.mapInArrow(lambda it: _sets(it, width), "id long, s array<long>"), f"{root}/sets")
+
+    # each class with the least of its bands: sketches first, then full sets
+    stars = members.where("id <> center").groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("_n")).drop("_n")
+    sketched = stars.join(regs.withColumnsRenamed({"id": "b", "regs": "rb"}), "b").join(regs.withColumnsRenamed({"id": "a", "regs": "ra"}), "a")
+    likely = written(sketched.select("a", "b", "ra", "rb").mapInArrow(lambda it: _judge(it, threshold), "a long, b long"), f"{root}/likely")
+    pairs = likely.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     links = written(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), f"{root}/links")
     joined = components(links, f"{root}/first")
-    # crowds that still have several components: all outside the largest against all others, by their full sets
-    placed = crowd.withColumnRenamed("component", "crowd").join(joined, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("component"))
-    placed = written(placed.join(reps.select("id", "n"), "id"), f"{root}/placed")
-    per = placed.groupBy("crowd", "component").agg(F.sum("n").alias("n"))
-    split = per.groupBy("crowd").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"), F.sum("n").alias("size")).where("components > 1")
-    split = written(split.select("crowd", F.col("top.component").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("asks_in")), f"{root}/split")
-    several = split.limit(1).count() > 0
-    open_ = placed.drop("n").join(split, "crowd")
-    part, ask = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks_in")).cast("int")
-    others = open_.select("crowd", "id", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("asks_in") - 1)).alias("ask"), F.lit(0).alias("asks"))
-    askers = open_.where("component <> main").select("crowd", "id", "component", ask.alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks")).select(*others.columns)
-    blocks = others.unionByName(askers).join(sets, "id").repartition(4 * parts, "crowd", "ask", "part").sortWithinPartitions("crowd", "ask", "part")
-    more = blocks.select("crowd", "ask", "part", "asks", "id", "component", "s").mapInArrow(lambda it: _block(it, percent), "a long, b long")
-    if several and (more := written(more, f"{root}/more")).limit(1).count():
+
+    # open bands: their classes meet on the rarest shingles of their sets
+    placed = members.select("band", "id").join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    open_bands = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    open_ = written(placed.join(open_bands, "band").select("id", "component").distinct(), f"{root}/open")
+    every = sets.join(open_.select("id"), "id", "left_semi").select("id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    common = every.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    per = every.join(common, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("c"))
+    # n - ceil(t n) + 1 shingles are needed, and those that no other set holds come first
+    need = F.expr(f"cast(size(c) - (({percent} * n + 99) div 100) + 1 as int)")
+    tokens = written(per.withColumn("need", need).where("need > 0").select("id", F.explode(F.slice("c", F.lit(1), F.col("need"))).alias("t")).select("id", F.col("t.shingle").alias("shingle")), f"{root}/tokens")
+    tokens = tokens.join(open_, "id")
+    lists = tokens.groupBy("shingle").agg(F.min("id").alias("crowd"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "crowd")
+    crowds = written(tokens.join(lists, "shingle").select("crowd", "id", "component").distinct().join(reps.select("id", "n"), "id"), f"{root}/crowds")
+    sizes = crowds.groupBy("crowd").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("parts"))
+    dealt = crowds.drop("n").join(sizes, "crowd").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("crowd", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    blocks = dealt.join(regs, "id").join(sets, "id").repartition(4 * parts, "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j")
+    more = written(blocks.select("crowd", "i", "j", "id", "component", "part", "regs", "s").mapInArrow(lambda it: _blocks(it, percent), "a long, b long"), f"{root}/more")
+    if more.limit(1).count():
         joined = components(links.unionByName(more), f"{root}/second")
+
     # the least id of a component, over all rows of its classes
-    of = classes.join(joined, "id", "left").select("sig", "n", "least", F.coalesce("component", "id").alias("component"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = written(of.join(least, "component").select("sig", "n", "component_id"), f"{root}/of")
-    for old in ("placed", "split", "crowds", "sets"):
+    of = classes.join(joined, "id", "left").select("sig", "o", F.coalesce("component", "id").alias("component"))
+    least = of.groupBy("component").agg(F.min("o").alias("top"))
+    of = written(of.join(least, "component").select("sig", "top"), f"{root}/of")
+    for old in ("members", "sets", "likely", "links", "first", "second", "open", "tokens", "crowds", "more", "reps", "classes"):
         remove(spark, f"{root}/{old}")
     slim = sketches.select("row", "doc_id", "key", "n", "sig")
-    alone = slim.where("n = 0").select("row", "doc_id", "key", "n", F.col("doc_id").alias("component_id"))
-    return slim.where("n > 0").join(of.drop("n"), "sig").select("row", "doc_id", "key", "n", "component_id").unionByName(alone)
+    alone = slim.where("n = 0").select("row", "doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return slim.where("n > 0").join(of, "sig").select("row", "doc_id", "key", "n", F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("first")).unionByName(alone)
 
 
 def near_dedup(docs: DataFrame, *, width: int = 4, percent: int = 80) -> DataFrame:
@@ -323,10 +339,18 @@ def near_dedup(docs: DataFrame, *, width: int = 4, percent: int = 80) -> DataFra
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs, with all their columns: one of each component, that with the smallest doc_id. Rows that repeat its doc_id and text stay together."""
-    rows = near_components(docs, width=width, percent=percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_near_id"), F.col("key").alias("_near_key")).distinct()
-    kept = docs.join(rows.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_near_key")))
-    return kept.select(*docs.columns)
+    """Rows of docs, with all their columns: one of each component, that with the smallest doc_id.
+
+    Of rows that repeat its doc_id and text one stays, by a hash of the other columns; of a component without any doc_id, one row. Texts without words all stay.
+    """
+    mine = dict(zip(("doc_id", "key", "one", "alone", "rank"), unused(docs, "near_id", "near_key", "near_one", "near_alone", "near_rank"), strict=True))
+    rows = near_components(docs, width=width, percent=percent).where("first").select("doc_id", "key", (F.col("n") > 0).alias("one")).distinct()
+    rows = rows.withColumnsRenamed({c: mine[c] for c in ("doc_id", "key", "one")})
+    kept = docs.join(rows.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(mine["doc_id"])) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(mine["key"])))
+    kept = kept.withColumn(mine["alone"], F.when(F.col(mine["one"]), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind and c != "text"]
+    by = Window.partitionBy(mine["doc_id"], mine["key"], mine["alone"]).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    return kept.withColumn(mine["rank"], F.row_number().over(by)).where(F.col(mine["rank"]) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def oracle(width: int = 4, percent: int = 80) -> str:

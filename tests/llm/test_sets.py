@@ -130,6 +130,8 @@ def test_near_odd(odd, empty):
     kept = near_dedup.keep_one(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 5, 6, 7, 9, 11, 12, 13, None}
     assert near_dedup.keep_one(empty).count() == 0
+    again = kept.withColumns({"near_id": F.lit(1), "near_key": F.lit("x"), "near_rank": F.lit(0)})
+    assert near_dedup.keep_one(again.unionByName(again)).count() == 10 + 4  # texts without words all stay, others once
 
 
 def test_sketch_estimates():
@@ -152,12 +154,47 @@ def test_words_hash_like_words():
     assert h[6] == near_dedup.words(np.frombuffer("Éc0".encode()[:2] + "cole".encode(), np.uint8), np.array([0, 6]))[0][0]
 
 
-def test_blocks_count_exactly():
+def test_blocks_span():
+    """A block's links join what all links join, and no list of all pairs is made; between parts alone if there are several."""
     r = np.random.default_rng(1)
+    base = r.integers(0, 2**63, 40, np.uint64)
+    for _ in range(20):
+        sets = [np.unique(np.concatenate([base[r.random(40) < 0.9], r.integers(0, 2**63, int(r.integers(0, 5)), np.uint64)])) for _ in range(30)]
+        regs, component, part = np.array([near_dedup.registers(s) for s in sets]), r.integers(0, 25, 30), r.integers(0, 2, 30)
+        for split in (None, part):
+            got = near_dedup.spanning(sets, regs, component, split, 70)
+            links = [(a, b) for a in range(30) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 70 * len(np.union1d(sets[a], sets[b])) and (split is None or part[a] != part[b])]
+            assert all((max(x), min(x)) in links for x in got) and len(got) < 30
+            assert joined(component, got) == joined(component, links)
+
+
+def joined(component, links):
+    of = {c: c for c in component.tolist()}
+    for a, b in links:
+        x, y = of[int(component[a])], of[int(component[b])]
+        of = {c: min(x, y) if t in (x, y) else t for c, t in of.items()}
+    return of
+
+
+def test_shared_counts():
+    r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 60, k).astype(np.uint64)) for k in r.integers(1, 60, 40)]
-    i, k = near_dedup.linked(sets[:15], sets[15:], 60)
-    want = {(a, b) for a in range(15) for b in range(25) if 100 * len(np.intersect1d(sets[a], sets[15 + b])) >= 60 * len(np.union1d(sets[a], sets[15 + b]))}
-    assert set(zip(i.tolist(), k.tolist(), strict=True)) == want
+    shared = near_dedup.Shared(sets)
+    for a in range(40):
+        assert [int(x) for k, x in enumerate(shared.with_all(a)) if k != a] == [len(np.intersect1d(sets[a], s)) for k, s in enumerate(sets) if k != a]
+
+
+def test_small_sets_meet_in_bands():
+    """Four of five shingles in common: the bands agree about as often as the registers would by themselves, six times over."""
+    r = np.random.default_rng(3)
+    shared = []
+    for _ in range(300):
+        a = np.sort(r.integers(0, 2**63, 5, np.uint64) * np.uint64(2))
+        x, y = (near_dedup.band_keys(near_dedup.registers(s)[None])[0] for s in (a, np.delete(a, r.integers(5))))
+        shared.append((x == y).mean())
+    assert min(shared) > 0 and 0.2 < np.mean(shared) < 0.33
+    one = [near_dedup.band_keys(near_dedup.registers(np.sort(r.integers(0, 2**63, 5, np.uint64) * np.uint64(2)))[None])[0] for _ in range(200)]
+    assert len(np.unique(np.concatenate(one))) > 0.999 * 200 * near_dedup.BANDS
 
 
 def test_components(spark, tmp_path):
