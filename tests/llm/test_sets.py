@@ -284,34 +284,67 @@ def test_packing_odd(odd, empty):
     assert packing.bins(packing.pack(odd, capacities=sizes)).agg(F.sum(F.size("doc_ids"))).first()[0] == packing.pack(odd, capacities=sizes).count()
 
 
-def test_packing_in_small_groups(odd):
-    rows = packing.pack(odd, capacities=(8, 64), most=5).collect()
+def test_packing_in_small_shards(odd):
+    rows = packing.pack(odd, capacities=(8, 64), shard_pieces=500).collect()
     check_packing([(r["doc_id"], r["text"]) for r in odd.collect()], rows, (8, 64))
+    assert len({r["shard"] for r in rows}) > 3
 
 
-def brute_best_fit(lengths, capacities, overhead):
+def test_packing_depends_on_the_rows_alone(spark, odd):
+    many = odd.unionByName(spark.range(2500).select(F.lit(77).cast("long").alias("doc_id"), F.lit("the same again").alias("text")), allowMissingColumns=True)
+    key = lambda df: sorted(map(str, df.collect()))
+    how = {"capacities": (8, 64, 512), "shard_words": 5000, "copies": 100}
+    a = key(packing.pack(many, **how))
+    assert a == key(packing.pack(many.repartition(7).orderBy(F.desc("text")), **how))
+    rows = [r for r in packing.pack(many, **how).collect() if r["doc_id"] == 77]
+    assert len(rows) == 2500 and len({r["shard"] for r in rows}) > 2
+
+
+def brute_best_fit(lengths, capacities, overhead, attention):
+    size_for = lambda n: min(c for c in capacities if c >= n)
+
+    def per_word(c, n, rest):
+        used = n
+        for x in rest:
+            used += x if used + x <= c else 0
+        final = size_for(used)
+        return (final + final * final / attention + overhead) / used
+
     bins = []
     for i, n in enumerate(lengths):
         fits = [(size - sum(held), b) for b, (size, held) in enumerate(bins) if size - sum(held) >= n]
         if fits:
             bins[min(fits)[1]][1].append(n)
         else:
-            rest = sum(lengths[i + 1 :])
-            size = min((c for c in capacities if c >= n), key=lambda c: ((c + overhead) / (n + min(c - n, rest)), c))
+            size = min((c for c in capacities if c >= n), key=lambda c: (per_word(c, n, lengths[i + 1 :]), c))
             bins.append((size, [n]))
-    return [(min(c for c in capacities if c >= sum(h)), h) for _, h in bins]
+    return [(size_for(sum(h)), h) for _, h in bins]
 
 
 def test_best_fit_by_brute_force():
     r = random.Random(2)
-    for _ in range(40):
+    for _ in range(60):
         lengths = sorted((r.randrange(1, 33) for _ in range(r.randrange(1, 80))), reverse=True)
-        bins, sizes = packing.best_fit(lengths, [8, 16, 32], 2)
-        want = brute_best_fit(lengths, [8, 16, 32], 2)
+        overhead, attention = r.choice((0, 2, 10)), r.choice((4, 32, 10**9))
+        bins, sizes = packing.best_fit(lengths, [8, 16, 32], overhead, attention)
+        want = brute_best_fit(lengths, [8, 16, 32], overhead, attention)
         held = [[n for n, b in zip(lengths, bins, strict=True) if b == k] for k in range(len(sizes))]
         assert list(zip(sizes, held, strict=True)) == want
 
 
+def test_several_lengths_cost_less_than_one():
+    """Lognormal lengths: several sizes open, and the whole costs less than with the one size that holds every piece."""
+    r = random.Random(4)
+    lengths = sorted((min(4096, max(1, int(r.lognormvariate(6.3, 1.1)))) for _ in range(8000)), reverse=True)
+    sizes = [512, 1024, 2048, 4096]
+    total = lambda got: sum(packing.cost(c, 64, 8192) for c in got)
+    mixed = packing.best_fit(lengths, sizes, 64, 8192)[1]
+    share = {c: mixed.count(c) / len(mixed) for c in sizes}
+    assert min(share.values()) > 0.02, share
+    assert total(mixed) < 0.95 * total(packing.best_fit(lengths, sizes[-1:], 64, 8192)[1])
+    assert sum(lengths) / sum(mixed) > 0.95
+
+
 def test_packing_is_tight(spark):
     d = docs(spark, [" ".join(["w"] * (i * 37 % 900 + 1)) for i in range(800)])
     rows = packing.pack(d, capacities=(256, 1024)).select("shard", "bin", "capacity", "used").distinct().collect()
