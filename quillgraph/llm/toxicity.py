@@ -1,16 +1,21 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Words written with look-alike signs, stretched letters or separated letters become a lattice: each character may
-stand for itself, for a letter that it resembles, or for nothing. The Viterbi path under a character trigram model,
-counted over all documents, restores them. A logistic regression on the words of the restored text gives the score.
+The whole text becomes a lattice: each character may stand for itself, for a letter that it resembles, or for nothing; white space
+beside a single character may be what parts the letters of a word, other white space parts words. The Viterbi path under a character trigram
+model, counted over all documents, restores the words. A logistic regression on the words of the restored text, and on nothing else, gives the score.
+
+Where the lattice must part two words, the path is in the same state whatever came before, so the stretches between are decoded one by one. One that
+has a single way through it (letters of which none is doubled) is its own path.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +25,32 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import held_out, shared_dir, utf8, written
 from quillgraph.llm.linear import ftrl
 
-#: Letters that signs and digits are written for, and signs that are put between letters.
-LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "µ": "u"}
-BETWEEN = " .-_*~'·​‌‍﻿"
+#: Letters that signs, digits and letters of other scripts are written for, and signs that are put between letters.
+LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "µ": "u",
+              "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ß": "b"}
+BETWEEN = "-_*~'·.\u200b\u200c\u200d\ufeff"
 
 SYMBOLS = 27  # a to z, and 0 for the edge of a word
 COST_LOOKS, COST_LETTER, COST_DROP_SIGN, COST_DROP_REPEAT, COST_DROP_DIGIT, COST_EDGE = 0.7, 0.05, 0.2, 0.9, 5.0, 1.5
+#: White space beside a single character: what it costs to pass over it, and to part words there.
+COST_DROP_SPACE, COST_SPACE = 2.5, 0.05
+
+#: A stretch with a single way through: a to z, no letter twice running.
+_PLAIN = re.compile(r"(?!.*([a-z])\1)[a-z]+")
+_SIGNS = "".join(map(chr, range(33, 127)))
+
 
-_WORD = re.compile(r"[^\W\d_]+")
-#: Four and more single letters set apart; a letter three times running; signs that trail a word.
-_APART = re.compile(r"(?<![^\W_])[a-z](?:[ .\-_*~'·]{1,2}[a-z0-9@$!|+]){3,}(?![^\W_])")
-_THRICE = re.compile(r"([a-z])\1\1")
-_TRAIL = re.compile(r"(?:([^\w\s])\1+)+$")
-_ENDS = ".,;:?\"'`)]}#%&*!"
-#: Signs that resemble no letter: at the ends of a word the lattice can only drop them.
-_DROPPED = ".,;:?\"'`)]}#%&*-_=~/\\^{[>"
+@cache
+def letters_for(c: str) -> str:
+    """The letters of a to z that a character other than these may be written for."""
+    if c in LOOKS_LIKE:
+        return LOOKS_LIKE[c]
+    base = unicodedata.normalize("NFKD", c)[0].lower()  # accents, and letters of other widths and styles
+    return base if "a" <= base <= "z" else LOOKS_LIKE.get(base, "") if base != c else ""
+
+
+#: Signs that resemble no letter: at the ends of a stretch they can part or be dropped, which changes no letter.
+_ENDS = "".join(c for c in _SIGNS if not c.isalnum() and c not in LOOKS_LIKE) + BETWEEN
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -77,10 +93,16 @@ def options(text: str) -> list[list[tuple[int, float]]]:
     for i, c in enumerate(text):
         if "a" <= c <= "z":
             here = [(ord(c) - 96, COST_LETTER)] + ([(-1, COST_DROP_REPEAT if i < 2 or text[i - 2] != c else 0.3)] if i and text[i - 1] == c else [])
-        elif c in LOOKS_LIKE:
-            here = [(ord(x) - 96, COST_LOOKS) for x in LOOKS_LIKE[c]] + [(-1, COST_DROP_DIGIT if c.isdigit() else 2 * COST_LOOKS + COST_DROP_SIGN), (0, COST_DROP_DIGIT)]
+        elif c.isspace():
+            here = [(-1, COST_DROP_SPACE), (0, COST_SPACE)]
         elif c in BETWEEN:
             here = [(-1, COST_DROP_SIGN), (0, COST_EDGE)]
+        elif found := letters_for(c):
+            here = [(ord(x) - 96, COST_LOOKS) for x in found]
+            if not c.isalpha():
+                here += [(-1, COST_DROP_DIGIT if c.isdigit() else 2 * COST_LOOKS + COST_DROP_SIGN), (0, COST_DROP_DIGIT)]
+            elif i and text[i - 1] == c:
+                here += [(-1, COST_DROP_REPEAT)]
         elif c.isalpha():
             here = [(0, 0.0)]  # letters that the model does not cover part words
         else:
@@ -90,9 +112,14 @@ def options(text: str) -> list[list[tuple[int, float]]]:
 
 
 def restore(text: str, model: np.ndarray) -> str:
-    """The likeliest words behind a written string, as lower-case letters with single spaces; Viterbi over pairs of letters."""
+    """The likeliest words behind a written string."""
+    return best_path(options(text), model)
+
+
+def best_path(lattice: list[list[tuple[int, float]]], model: np.ndarray) -> str:
+    """The words of the cheapest way through a lattice, as lower-case letters with single spaces; Viterbi over pairs of letters."""
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for here in [*options(text), [(0, 0.0)]]:
+    for here in [*lattice, [(0, 0.0)]]:
         step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, back) in paths.items():
             for symbol, channel in here:
@@ -115,41 +142,49 @@ def restore(text: str, model: np.ndarray) -> str:
 
 @dataclass
 class Restorer:
-    """Words of a text as written and as restored. Strings seen before come from a bounded memory."""
+    """The words of a text as the lattice restores them. Stretches seen before come from a bounded memory."""
 
     model: np.ndarray
     seen: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    single: dict[str, bool] = field(default_factory=dict)
+
+    def _restored(self, stretch: str) -> tuple[str, ...]:
+        core = stretch.strip(_ENDS)
+        if _PLAIN.fullmatch(core):
+            found = (core,)
+        else:
+            found = tuple(restore(core, self.model).split())
+        if len(stretch) <= 64:  # a memory of 200,000 short strings
+            if len(self.seen) >= 200_000:
+                self.seen.clear()
+            self.seen[stretch] = found
+        return found
+
+    def _single(self, token: str) -> bool:
+        """Whether the token is one character but for signs at its ends that resemble no letter."""
+        alone = len(token.strip(_ENDS)) <= 1
+        if len(self.single) >= 200_000:
+            self.single.clear()
+        if len(token) <= 64:
+            self.single[token] = alone
+        return alone
 
     def words(self, text: str) -> set[str]:
-        """Whole words of letters stand for themselves; what else a word may be is restored.
-
-        Runs of signs around a word are cut for the plain word only. Signs there may be letters too (a$$, !diot), so what they leave is
-        restored as well: with all signs that resemble letters, and without those that may end a sentence.
-        """
-        low = text.lower()
-        raw = set(low.split())
-        found, odd = set(), set()
-        stretched = _THRICE.search(low) is not None
-        for t in raw:
-            if t.isalpha():
-                found.add(t)
-                if stretched and _THRICE.search(t):
-                    odd.add(t)
-                continue
-            word = t.strip(_ENDS)
-            if not word.isalpha():
-                word = _TRAIL.sub("", word).strip(_ENDS)
-            found.update(_WORD.findall(word))
-            for x in {word, t.strip(_DROPPED), t.lstrip(_DROPPED).rstrip(_ENDS)}:
-                if (stretched and _THRICE.search(x)) if x.isalpha() else any(map(str.isalpha, x)):
-                    odd.add(x)
-        odd.update(m.group() for m in _APART.finditer(low))
-        for x in odd:
-            if x not in self.seen:
-                if len(self.seen) > 50_000:
-                    self.seen.clear()
-                self.seen[x] = tuple(restore(x, self.model).split())
-            found.update(self.seen[x])
+        found: set[str] = set()
+        seen, single, tokens = self.seen, self.single, text.lower().split()
+        start, before = 0, True
+        for i, t in enumerate(tokens):
+            alone = single.get(t)
+            if alone is None:
+                alone = self._single(t)
+            if i and not (alone or before):  # white space between two longer tokens parts words
+                stretch = tokens[start] if i - start == 1 else " ".join(tokens[start:i])
+                got = seen.get(stretch)
+                found.update(self._restored(stretch) if got is None else got)
+                start = i
+            before = alone
+        if tokens:
+            found.update(self._restored(" ".join(tokens[start:])))
         return found
 
 
