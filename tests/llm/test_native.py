@@ -12,7 +12,7 @@ def docs(spark, texts):
 
 
 def test_against_sql(agrees):
-    for name in ("op2_license_diagonals", "op3_line_dedup"):
+    for name in ("op2_license_diagonals", "op3_line_dedup", "op7_decontaminate"):
         assert agrees(QUERIES[name], ORACLES[name]) == 200
 
 
@@ -102,7 +102,7 @@ def test_decontaminate_by_hand(spark):
     half = " ".join(ITEM.split()[:12])
     texts = ["before " + ITEM + " after", "So: " + changed, half, "nothing of it " + PROSE, two_values[:60], None, "a one two three four five six seven b", "x y", ITEM.upper()]
     got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs(spark, texts), bench).collect()}
-    assert [got[i]["kept"] for i in range(9)] == [False, False, True, True, True, True, False, False, True] or [got[i]["kept"] for i in range(8)] == [False, False, True, True, True, True, False, False]
+    assert [got[i]["kept"] for i in range(9)] == [False, False, True, True, True, True, False, False, False]
     assert got[0]["item_ids"] == "5" and not got[0]["changed"] and got[0]["coverage"] == 1 and got[1]["changed"] and got[1]["item_ids"] == "5"
     kept = decontaminate.keep_clean(docs(spark, texts), bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(9) if got[i]["kept"]]
@@ -132,6 +132,84 @@ def test_copies_in_any_case(spark):
     assert all(not r["kept"] and r["coverage"] == 1 and not r["changed"] for r in got)
 
 
+def test_short_items_are_found_within_texts(spark):
+    texts = ["Now tell me the capital of France please", "capital of France", "CAPITAL OF FRANCE", "the capital of Peru it is", "capital", "capital of", "", "apples 5 km off", "apples 7 miles off", "apples off"]
+    bench = spark.createDataFrame([(1, "capital of France"), (2, "apples"), (3, "Apples 12 km off")], "item_id long, text string")
+    got = {r["doc_id"]: (r["kept"], r["item_ids"], r["changed"]) for r in decontaminate.decontaminate(docs(spark, texts), bench).collect()}
+    assert [got[i] for i in range(10)] == [(False, "1", False), (False, "1", False), (False, "1", False), (False, "1", True), (True, "", False), (True, "", False), (True, "", False), (False, "3", True), (False, "3", True), (True, "", False)]
+
+
+WORDS = ["Anna", "Tom", "anna", "BOB", "the", "a", "red", "box", "12", "7", "km", "miles", "Km", "of", "in", "straße", "Straße", "éa", "Éa", "x1", "McDo", "I", "4x"]
+
+
+def decontaminated_by_hand(texts, items):
+    """By the definition, window by window."""
+    import unicodedata
+
+    def words(text):
+        found = []
+        for w in "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in (text or "").replace("ß", "ss")).split():
+            number = w[0] in "0123456789"
+            unit = not number and found and found[-1][0] == decontaminate.NUMBER and w.lower() in decontaminate.UNITS
+            name = len(w) > 1 and w[0].isupper() and not any(c.isupper() for c in w[1:])
+            found.append((decontaminate.NUMBER if number else decontaminate.UNIT if unit else decontaminate.NAME if name else "", w.lower()))
+        return found
+
+    canon = lambda t, form: tuple(w if not k or (form == 2 and k == decontaminate.NAME) else k for k, w in t)
+    fixed = lambda t, form: sum(w not in (decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME) for w in canon(t, form))
+    out = []
+    for text in texts:
+        d, held = words(text), []
+        for number, item in items:
+            b = words(item)
+            n = min(5, len(b))
+            starts = [i for i in range(len(b) - n + 1) if n >= 2 and fixed(b[i : i + n], 2) >= 2]
+            sure = [i for i in starts if fixed(b[i : i + n], 1) >= 2]
+            lines = {}
+            for i in sure or starts:
+                own = b[i : i + n]
+                for p in range(len(d) - n + 1):
+                    t = d[p : p + n]
+                    for form in (1, 2):
+                        if (form == 1 and (not sure or decontaminate.NAME not in [k for k, _ in own])) or canon(own, form) != canon(t, form):
+                            continue
+                        lines.setdefault(p - i, []).append((i, {(k, x, y) for (k, x), (_, y) in zip(own, t, strict=True) if k and not (form == 2 and k == decontaminate.NAME)}))
+            covered, changed = set(), False
+            for hits in lines.values():
+                filled = set().union(*(s for _, s in hits))
+                torn = {(k, x) for k, x, y in filled if any((k, x) == (a, b2) and y != c for a, b2, c in filled)}
+                if any(k != decontaminate.NAME for k, _ in torn):
+                    continue
+                for i, slots in hits:
+                    if not any((k, x) in torn for k, x, _ in slots):
+                        covered.add(i)
+                        changed |= any(x != y for _, x, y in slots)
+            if starts and len(covered) / len(sure or starts) >= 0.8:
+                held.append((number, len(covered) / len(sure or starts), changed))
+        out.append((not held, ",".join(str(n) for n, *_ in held), max((c for _, c, _ in held), default=0.0), any(c for *_, c in held)))
+    return out
+
+
+def test_decontaminate_by_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    run = lambda n: [r.choice(WORDS) for _ in range(n)]
+    items = [(k, " ".join(run(r.choice((1, 2, 3, 4, 5, 6, 8, 12, 20))))) for k in range(25)]
+    texts = []
+    for _ in range(120):
+        words = run(r.randrange(0, 12))
+        for _ in range(r.randrange(0, 3)):
+            part = [x if r.random() > 0.15 else r.choice(WORDS) for x in r.choice(items)[1].split()]
+            swap = dict(zip(("Anna", "12"), r.choice((("Anna", "12"), ("Tom", "7"))), strict=True))
+            words += [swap.get(x, x) for x in part] + run(r.randrange(0, 4))
+        texts.append(r.choice((str, str, str.upper, str.lower))(r.choice((" ", ", ", " - ")).join(words)))
+    got = {x["doc_id"]: (x["kept"], x["item_ids"], x["coverage"], x["changed"]) for x in decontaminate.decontaminate(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = decontaminated_by_hand(texts, items)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 20 < sum(not w[0] for w in want) < 115 and any(w[3] for w in want)
+
+
 def test_slots_must_agree(spark):
     """The item's number stands at both places; a document with two different ones asks something else."""
     item = "add the number 12 to the big red box and then take the number 12 out of the small blue box"
@@ -154,3 +232,5 @@ def test_decontaminate_empty(spark, odd, empty):
     assert decontaminate.decontaminate(odd, none).where("kept").count() == 16
     assert decontaminate.decontaminate(empty, none).count() == 0 and decontaminate.keep_clean(empty, none).count() == 0
     assert decontaminate.keep_clean(odd, none).columns == odd.columns
+    clash = odd.withColumns({"leak_id": odd["doc_id"], "leak_key": odd["text"]})
+    assert decontaminate.keep_clean(clash, spark.createDataFrame([(1, PROSE)], "item_id long, text string")).columns == clash.columns
