@@ -87,13 +87,21 @@ class ByteNet:
         flush()
         return np.concatenate(out).ravel().astype(np.float64) if out else np.zeros(0)
 
+    def best(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[n, FILTERS] each chunk's largest answers before the cut at zero, and their places; BLOCK chunks at a time."""
+        tops, places = [], []
+        for i in range(0, len(x), BLOCK):
+            a = self.answers(x[i : i + BLOCK])
+            places.append(a.argmax(axis=1))
+            tops.append(np.take_along_axis(a, places[-1][:, None], 1)[:, 0])
+        return np.concatenate(tops), np.concatenate(places)
+
     def gradient(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         """Of the weighted log loss of some documents, each given as its chunks."""
         x, size = np.concatenate(docs), np.array([len(d) for d in docs])
         starts, of = np.concatenate([[0], np.cumsum(size)[:-1]]), np.repeat(np.arange(len(docs)), size)
-        a = self.answers(x)
-        at = a.argmax(axis=1)
-        p = np.maximum(np.take_along_axis(a, at[:, None], 1)[:, 0], 0)
+        top_answer, at = self.best(x)
+        p = np.maximum(top_answer, 0)
         mean, top = np.add.reduceat(p, starts) / size[:, None], np.maximum.reduceat(p, starts)
         f = np.concatenate([mean, top], axis=1)
         d = ((self.probability(f).ravel() - y) * weight / weight.sum()).astype(np.float32)
@@ -101,41 +109,43 @@ class ByteNet:
         is_top = (p == top[of]).astype(np.float32)
         is_top /= np.maximum(np.add.reduceat(is_top, starts), 1)[of]
         dp = (df[of, :FILTERS] / size[of, None] + df[of, FILTERS:] * is_top) * (p > 0)
-        k, g = np.nonzero(dp)
-        where, v = at[k, g], dp[k, g]
-        windows = x[k[:, None], where[:, None] * STRIDE + np.arange(2 * STRIDE)]
-        e = self.embed[windows].reshape(len(k), 2, STRIDE * EMBED)
-        one, two, bias = np.zeros_like(self.first), np.zeros_like(self.second), np.zeros_like(self.bias)
-        order = np.argsort(g, kind="stable")
-        g, v, e, windows = g[order], v[order], e[order], windows[order]
-        edges = np.searchsorted(g, np.arange(FILTERS + 1))
-        de = np.empty_like(e)
-        for j in range(FILTERS):
-            s = slice(edges[j], edges[j + 1])
-            one[:, j], two[:, j], bias[j] = v[s] @ e[s, 0], v[s] @ e[s, 1], v[s].sum()
-            de[s, 0], de[s, 1] = v[s, None] * self.first[:, j], v[s, None] * self.second[:, j]
-        embed = np.zeros_like(self.embed)
-        flat, de = windows.ravel(), de.reshape(-1, EMBED)
-        for j in range(EMBED):
-            embed[:, j] = np.bincount(flat, de[:, j], 256)
+        all_k, all_g = np.nonzero(dp)
+        one, two, bias, embed = (np.zeros_like(w) for w in (self.first, self.second, self.bias, self.embed))
+        for i in range(0, len(all_k), 1 << 16):  # what is held beside the chunks has a bound
+            k, g = all_k[i : i + (1 << 16)], all_g[i : i + (1 << 16)]
+            order = np.argsort(g, kind="stable")
+            k, g = k[order], g[order]
+            where, v = at[k, g], dp[k, g]
+            windows = x[k[:, None], where[:, None] * STRIDE + np.arange(2 * STRIDE)]
+            e = self.embed[windows].reshape(len(k), 2, STRIDE * EMBED)
+            edges = np.searchsorted(g, np.arange(FILTERS + 1))
+            de = np.empty_like(e)
+            for j in range(FILTERS):
+                s = slice(edges[j], edges[j + 1])
+                one[:, j] += v[s] @ e[s, 0]
+                two[:, j] += v[s] @ e[s, 1]
+                bias[j] += v[s].sum()
+                de[s, 0], de[s, 1] = v[s, None] * self.first[:, j], v[s, None] * self.second[:, j]
+            flat, de = windows.ravel(), de.reshape(-1, EMBED)
+            for j in range(EMBED):
+                embed[:, j] += np.bincount(flat, de[:, j], 256)
         embed[0] = 0
         return [embed, one, two, bias, (d @ f).astype(np.float32), d.sum(keepdims=True)]
 
 
-def train(texts: list[bytes], y: list[int], *, epochs: int = 10, batch: int = 16, rate: float = 0.01, most_chunks: int = 12, seed: int = 11) -> ByteNet:
-    """Adam on weighted log loss. Of a document with more than ``most_chunks`` chunks, another even spread of them is taken in each epoch; scoring uses all."""
+def train(texts: list[bytes], y: list[int], *, epochs: int = 10, batch: int = 16, rate: float = 0.01, seed: int = 11) -> ByteNet:
+    """Adam on weighted log loss, over all chunks of every text."""
     net, rng = ByteNet.new(seed), np.random.default_rng(seed)
-    cut = [chunks(np.frombuffer(t, np.uint8)) for t in texts]
     y = np.asarray(y, np.float32)
     rate_of_good = min(max(float(y.mean()), 0.02), 0.98) if len(y) else 0.5
     net.base[:] = np.log(rate_of_good / (1 - rate_of_good))
     m, v, t = [np.zeros_like(w) for w in net.all()], [np.zeros_like(w) for w in net.all()], 0
-    steps = epochs * max(1, -(-len(cut) // batch))
+    steps = epochs * max(1, -(-len(texts) // batch))
     for _ in range(epochs):
-        order = rng.permutation(len(cut))
+        order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
-            docs = [c if len(c := cut[k]) <= most_chunks else c[(np.arange(most_chunks) * len(c) + rng.integers(len(c))) // most_chunks % len(c)] for k in some]
+            docs = [chunks(np.frombuffer(texts[k], np.uint8)) for k in some]
             t += 1
             now = rate * (1 - 0.9 * t / steps)
             for w, g, a, b in zip(net.all(), net.gradient(docs, y[some], np.ones(len(some), np.float32)), m, v, strict=True):
