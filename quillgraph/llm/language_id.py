@@ -32,18 +32,24 @@ _LETTER = _is_letter()
 
 
 def counts(text: str) -> np.ndarray:
-    """How often each hashed 1-, 2- and 3-gram occurs in the whole lower-cased text; runs of other characters than letters count as one space."""
+    """How often each hashed 1-, 2- and 3-gram occurs in the whole lower-cased text; runs of other characters than letters count as one space.
+
+    A long text is counted in pieces; each takes over the last two characters of the one before, and counts only n-grams that end in its own.
+    """
     out = np.zeros(DIMS, np.int64)
-    low = text.lower()
+    low, last, was_letter = text.lower(), np.zeros(0, np.uint32), True
     for start in range(0, len(low), PIECE):
-        c = np.frombuffer(low[max(0, start - 2) : start + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.frombuffer(low[start : start + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = np.where(c < 0x3000, _LETTER[np.minimum(c, 0x2FFF)], True)
-        c = np.where(letter, c, np.uint32(32))
-        c = c[letter | np.concatenate([[True], letter[:-1]])]
+        c = np.where(letter, c, np.uint32(32))[letter | np.concatenate([[was_letter], letter[:-1]])]
+        was_letter = bool(letter[-1])
+        old, c = len(last), np.concatenate([last, c])
+        last = c[-2:]
         a = c * _MIX[0]
         two = (a[:-1] ^ (c[1:] * _MIX[1] + np.uint32(1))) * _MIX[2]
         three = (two[:-1] ^ (c[2:] * _MIX[0] + np.uint32(2))) * _MIX[1]
-        for grams in (a, two, three):
+        for n, grams in enumerate((a, two, three)):
+            grams = grams[max(0, old - n) :]
             grams = grams ^ (grams >> np.uint32(15))
             out += np.bincount((grams * _MIX[2]) >> np.uint32(32 - BITS), minlength=DIMS)
     return out

@@ -40,16 +40,36 @@ def test_no_language_is_left_out(spark):
         language_id.fit(d, F.lit(True), languages=2)
 
 
-def test_ngram_counts_are_whole():
-    text = "Ab c" * 10
-    whole = language_id.counts(text)
-    was, language_id.PIECE = language_id.PIECE, 7
-    pieces = language_id.counts(text)
-    language_id.PIECE = was
-    low = "".join(text.lower())
-    assert whole.sum() == len(low) + len(low) - 1 + len(low) - 2
-    # pieces overlap by two characters, whose shorter n-grams count again
-    assert (pieces >= whole).all()
+def slow_counts(text):
+    """By the definition, n-gram by n-gram."""
+    out = np.zeros(language_id.DIMS, np.int64)
+    low, kept = text.lower(), ""
+    for i, c in enumerate(low):
+        if c.isalpha():
+            kept += c
+        elif not i or low[i - 1].isalpha():
+            kept += " "
+    m, mask = [int(x) for x in language_id._MIX], 0xFFFFFFFF
+    for i in range(len(kept)):
+        g = (ord(kept[i]) * m[0]) & mask
+        for n in range(3):
+            if i + n >= len(kept):
+                break
+            if n == 1:
+                g = ((g ^ (ord(kept[i + 1]) * m[1] + 1)) * m[2]) & mask
+            if n == 2:
+                g = ((g ^ (ord(kept[i + 2]) * m[0] + 2)) * m[1]) & mask
+            h = g ^ (g >> 15)
+            out[((h * m[2]) & mask) >> (32 - language_id.BITS)] += 1
+    return out
+
+
+def test_ngram_counts_by_brute_force(monkeypatch):
+    texts = ["Ab c" * 10, "", "  x", "1, 2, drei!? vier", "Éa ß \u65e5\u672c", "a", "ab", ". . .", "x" * 20 + "--" + "y" * 9]
+    want = [slow_counts(t) for t in texts]
+    for piece in (1 << 20, 7, 3, 2, 1):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert all((language_id.counts(t) == w).all() for t, w in zip(texts, want, strict=True)), piece
 
 
 def test_ftrl_learns_and_prunes():
