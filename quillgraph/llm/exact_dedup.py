@@ -60,7 +60,7 @@ def _fold(batches: Iterator[pa.RecordBatch], page_bytes: int, page_rows: int, ke
         blob, ids = data.tobytes(), batch.column("doc_id").to_pylist()
         for i, doc in enumerate(ids):
             raw = blob[at[i] : at[i + 1]]
-            text, cp = raw.translate(None, WORD_GAPS), len(raw) if raw.isascii() else len(raw.decode())
+            text, cp = raw.translate(None, WORD_GAPS), len(raw) if raw.isascii() else len(raw.decode(errors="replace"))
             if (entry := open_.get(text)) is None:
                 open_[text] = [hashlib.sha256(text).digest(), (cp, doc), [], 0]
                 entry, held = open_[text], held + len(text) + 200

@@ -2,8 +2,8 @@
 
 Records are sorted by page_id in ranges. The ranges come from exact byte counts of page_id cells, refined where a
 cell is overfull, so they depend on the rows alone: the same pages give the same files, byte for byte, whatever
-the partitioning. A task writes its range under temporary names and rolls a file once its compressed size reaches
-``roll_bytes``. Spark commits the manifest of finished files as a table; only files that it lists get their final
+the partitioning. Ranges are dealt to tasks one by one; a task writes its range under temporary names and rolls a file once its compressed
+size reaches ``roll_bytes``, several times in a range. Spark commits the manifest of finished files as a table; only files that it lists get their final
 names, so attempts that failed or ran twice leave nothing behind that counts.
 """
 
@@ -12,16 +12,16 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import parts_for, shared_dir, written
+from quillgraph.llm.common import parts_for, remove, shared_dir, written
 
 #: The WARC standard's names of its two record types here, and its profile for a payload seen before.
 RESPONSE, REVISIT = "response", "revisit"
@@ -34,27 +34,30 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def ranges(slim: DataFrame, range_bytes: int, range_limit: int) -> list[int]:
-    """First page_id of each range but the first. slim: page_id, weight. Cells that alone exceed a range are counted again, finer."""
-    low, high, total = slim.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+def ranges(slim: DataFrame, target: int) -> list[int]:
+    """First page_id of each range but the first. slim: page_id, weight. Cells that alone exceed ``target`` are counted again, finer: one job a level, all such cells in it."""
+    low, high = slim.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
         return []
-    target = max(range_bytes, -(-int(total) // range_limit))
-
-    def cells(first: int, last: int) -> list[tuple[int, int]]:
-        width = (last - first) // CELLS + 1
-        part = slim.where(F.col("page_id").between(first, last)).groupBy(F.floor((F.col("page_id") - F.lit(first)) / F.lit(width)).cast("long").alias("c")) if last - first < 1 << 52 else slim.where(F.col("page_id").between(first, last)).groupBy(F.expr(f"cast((cast(page_id as decimal(38,0)) - {first}) div {width} as bigint)").alias("c"))
-        out = []
-        for c, weight in sorted(part.agg(F.sum("weight")).collect()):
-            start = first + c * width
-            if weight > target and width > 1:
-                out += cells(start, min(last, start + width - 1))
+    kind = "bigint" if high - low < 1 << 62 else "decimal(38,0)"
+    left, width, starts = slim.withColumn("rest", F.expr(f"cast(page_id as {kind}) - {low}")).withColumn("cell", F.lit(0).cast("long")), high - low + 1, [low]
+    done: list[tuple[int, int]] = []
+    while starts:  # starts: of the cells that are cut up now, by number; at most total weight / target of them
+        inner = -(-width // CELLS)
+        left = left.withColumn("c", F.expr(f"cast(rest div {inner} as bigint)")).withColumn("rest", F.expr(f"cast(rest % {inner} as {kind})"))
+        full = {}
+        for cell, c, weight in left.groupBy("cell", "c").agg(F.sum("weight")).collect():
+            first = starts[cell] + c * inner
+            if weight > target and inner > 1:
+                full[(cell, c)] = first
             else:
-                out.append((start, int(weight)))
-        return out
-
+                done.append((first, int(weight)))
+        starts, width = list(full.values()), inner
+        if full:
+            again = left.sparkSession.createDataFrame([(*k, n) for n, k in enumerate(full)], "cell long, c long, next long")
+            left = left.join(F.broadcast(again), ["cell", "c"]).select("weight", "rest", F.col("next").alias("cell"))
     cuts, held = [], 0
-    for start, weight in cells(low, high):
+    for start, weight in sorted(done):
         if held and held + weight > target:
             cuts.append(start)
             held = 0
@@ -71,18 +74,24 @@ def _member(header: bytes, block: bytes, level: int) -> bytes:
     return squeeze.compress(header) + squeeze.compress(block) + squeeze.compress(b"\r\n\r\n") + squeeze.flush()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ordinal: int, refers_to: int | None, date: str, level: int) -> bytes:
-    """One compressed record. ordinal tells apart records of the same page_id and payload."""
+def record_id(page_id: int | None, digest: str, ordinal: int, url: str | None) -> str:
+    """ordinal tells apart records of the same page_id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{ordinal}/{url}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ordinal: int, refers_to: int | None, refers_url: str | None, date: str, level: int) -> bytes:
+    """One compressed record. A revisit names the response, which is the first record of its page_id and payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{digest}/{ordinal}/{url}")
-    fields: list[tuple[str, object]] = [("WARC-Type", RESPONSE if refers_to is None else REVISIT), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date)]
+    fields: list[tuple[str, object]] = [("WARC-Type", RESPONSE if refers_to is None else REVISIT), ("WARC-Record-ID", record_id(page_id, digest, ordinal, url)), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", "".join(url.split())))
     if page_id is not None:
         fields.append(("X-Page-ID", page_id))
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", refers_to)]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, 0, refers_url)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-ID", refers_to)]
+        if refers_url is not None:
+            fields.append(("WARC-Refers-To-Target-URI", "".join(refers_url.split())))
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]
     return _member(_header(fields), block, level)
 
@@ -126,7 +135,7 @@ class _Shard:
 
 def _write(batches: Iterator[pa.RecordBatch], out: str, roll_bytes: int, level: int, date: str) -> Iterator[pa.RecordBatch]:
     """Rows by range, page_id, digest; a row without payload (kind 0) says what the records after it refer to."""
-    shard, last, said, ordinal, written_here = None, None, None, 0, False
+    shard, last, said, said_url, ordinal, written_here = None, None, None, None, 0, False
 
     def rows(shard: _Shard) -> pa.RecordBatch:
         shard.close()
@@ -142,15 +151,15 @@ def _write(batches: Iterator[pa.RecordBatch], out: str, roll_bytes: int, level:
                 shard, last = _Shard(out, at, roll_bytes, level, date), None
             key = (page[i].as_py(), digest[i].as_py())
             if key != last:
-                last, said, ordinal, written_here = key, None, 0, False
+                last, said, said_url, ordinal, written_here = key, None, None, 0, False
             if kind[i].as_py() == 0:
-                said = first[i].as_py()
+                said, said_url = first[i].as_py(), url[i].as_py()
                 continue
             body = payload[i].as_py()
             to = said
             if to is not None and to == key[0] and not written_here:
                 to, written_here = None, True  # the response itself; the same row again revisits it
-            shard.add(record(key[0], url[i].as_py(), body, key[1], ordinal, to, date, level))
+            shard.add(record(key[0], url[i].as_py(), body, key[1], ordinal, to, said_url, date, level))
             ordinal += 1
     if shard is not None:
         yield rows(shard)
@@ -168,32 +177,44 @@ def _commit(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBa
         yield batch
 
 
-def write_warc(pages: DataFrame, out: str, *, range_bytes: int = 16 << 20, roll_bytes: int = 32 << 20, range_limit: int = 100_000, level: int = 4, least: int = 100, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+def write_warc(pages: DataFrame, out: str, *, range_bytes: int = 96 << 20, roll_bytes: int = 8 << 20, range_limit: int = 100_000, level: int = 4, least: int = 100, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row of pages (page_id, url, html) below out and return the manifest (file, records, bytes, sha256).
 
-    Of records with equal payloads of at least ``least`` bytes, that with the smallest page_id is a response and the
+    A range holds about ``range_bytes`` of payloads, or more where there would be over ``range_limit`` ranges; its files roll at ``roll_bytes``
+    compressed. Of records with equal payloads of at least ``least`` bytes, that with the smallest page_id is a response and the
     others are revisits of it; smaller payloads are all responses. Null html: an empty payload. Null page_id: records
-    of the last range; they revisit the smallest id of their payload, and are responses if it has none. The same
+    of ranges of their own, dealt by payload; they revisit the smallest id of their payload, and are responses if it has none. The same
     page_id and payload in several rows: the first is the response, the rest revisit it. Null url: no target URI.
     Other columns are not read. Empty table: an empty manifest and no files.
     """
     spark = pages.sparkSession
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
-    slim = written(rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size")), f"{out}/_digests")
-    cuts = ranges(slim.select("page_id", (F.col("size") + 512).alias("weight")).where("page_id is not null"), range_bytes, range_limit)
-    last = len(cuts) + 1
+    slim = written(rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size")), f"{out}/_digests")
+    weighed = slim.select("page_id", (F.col("size") + 512).alias("weight"))
+    total, loose = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("page_id").isNull(), F.col("weight"))), F.lit(0))).first()
+    target = max(range_bytes, -(-int(total) // range_limit))
+    cuts = ranges(weighed.where("page_id is not null"), target)
+    named, unnamed = len(cuts) + 1, max(1, -(-int(loose) // target))
+    told = spark.sparkContext.broadcast(np.array(cuts, np.int64))  # range_limit numbers at most
 
     @F.pandas_udf("int")
     def rng_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: last if pd.isna(x) else bisect_right(cuts, int(x)), na_action=None).astype("int32")
-
-    same = slim.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    told = slim.select("page_id", "digest").join(same, "digest").select("page_id", "digest", "first").distinct()
-    both = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "payload").unionByName(told.select("page_id", "digest", F.lit(0).alias("kind"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")))
-    dealt = both.withColumn("rng", rng_of(F.col("page_id"))).repartition(min(last + 1, 8 * parts_for(spark)), "rng").sortWithinPartitions("rng", "page_id", "digest", "kind", "url")
+        return pd.Series(np.searchsorted(told.value, ids.to_numpy(np.int64), "right").astype(np.int32))
+
+    first = F.min(F.struct("page_id", "url")).alias("first")
+    same = slim.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(first)
+    often = slim.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    said = slim.select("page_id", "digest").join(same.join(often, "digest"), "digest").select("page_id", "digest", F.lit(0).alias("kind"), F.col("first.page_id").alias("first"), F.col("first.url").alias("url")).distinct()
+    both = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "payload").unionByName(said.withColumn("payload", F.lit(None).cast("binary")))
+    rng = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(unnamed)).cast("int") + named).otherwise(rng_of(F.coalesce("page_id", F.lit(0).cast("long"))))
+    tasks = min(named + unnamed, 8 * parts_for(spark))
+    dealt = both.withColumn("rng", rng).repartitionById(tasks, F.col("rng") % tasks).sortWithinPartitions("rng", "page_id", "digest", "kind", "url")
     manifest = written(dealt.mapInArrow(lambda it: _write(it, out, roll_bytes, level, date), MANIFEST), f"{out}/_attempted")
-    return written(manifest.repartition(parts_for(spark), "file").mapInArrow(lambda it: _commit(it, out), MANIFEST), f"{out}/manifest").select("file", "records", "bytes", "sha256")
+    done = written(manifest.repartition(parts_for(spark), "file").mapInArrow(lambda it: _commit(it, out), MANIFEST), f"{out}/manifest").select("file", "records", "bytes", "sha256")
+    for old in ("_digests", "_attempted", "_temporary"):  # with what attempts that failed have left
+        remove(spark, f"{out}/{old}")
+    return done
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -229,7 +229,14 @@ def test_warc_odd(spark, tmp_path):
     back = warc.read_warc(manifest, out, with_payload=True).where("record_type = 'response'").collect()
     texts = {(r["page_id"], r["payload"].decode()) for r in back}
     assert (8, "y" * 100_000) in texts and (4, "é" * 49) in texts
-    assert not list((tmp_path / "w" / "_temporary").iterdir())
+    assert sorted(x.name for x in (tmp_path / "w").iterdir() if not x.name.startswith("part-")) == ["manifest"]  # nothing temporary stays
+    heads = {}
+    for file in (r["file"] for r in manifest.collect()):
+        for fields, _ in warc.records(iter([(tmp_path / "w" / file).read_bytes()])):
+            heads[fields["WARC-Record-ID"]] = fields
+    visits = [h for h in heads.values() if h["WARC-Type"] == "revisit"]
+    assert len(visits) == 4 and all(heads[h["WARC-Refers-To"]]["WARC-Type"] == "response" and heads[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] for h in visits)
+    assert all(h["WARC-Refers-To-Target-URI"] == heads[h["WARC-Refers-To"]]["WARC-Target-URI"] for h in visits if "WARC-Refers-To-Target-URI" in h)
 
 
 def test_warc_is_deterministic(spark, tmp_path):
@@ -243,6 +250,27 @@ def test_warc_is_deterministic(spark, tmp_path):
         assert zlib.decompress(data, 31).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
+def test_warc_ranges(spark):
+    r = random.Random(8)
+    for ids in ([*range(3000)], [7] * 500, [r.randrange(-(2**63), 2**63) for _ in range(2000)], [*range(2000)] + [2**62 + k for k in range(500)], [5], [1 << 60] * 3 + [*range(0, 4000, 3)]):
+        rows = spark.createDataFrame([(i, 10) for i in ids], "page_id long, weight long")
+        cuts = warc.ranges(rows, 400)
+        assert cuts == sorted(set(cuts))
+        per = {}
+        for i in ids:
+            n = sum(c <= i for c in cuts)
+            per.setdefault(n, []).append(i)
+        assert all(10 * len(x) <= 400 or len(set(x)) == 1 or 10 * len(x) <= 800 for x in per.values()) and len(per) == len(cuts) + 1
+        assert len(cuts) <= 2 * (10 * len(ids) // 400) + 1
+
+
+def test_warc_rolls_by_default(spark, tmp_path):
+    """Files of a range roll at the sizes that the query takes."""
+    noise = spark.range(260).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("array_join(transform(sequence(1, 1200), k -> sha2(concat(id, '/', k), 256)), '')").alias("html"))
+    manifest = warc.write_warc(noise, f"file://{tmp_path}/w").collect()
+    assert len(manifest) > 1 and {r["file"].split("-")[1] for r in manifest} == {"000000"} and max(r["bytes"] for r in manifest) < 9 << 20
+
+
 def test_warc_finds_damage(spark, tmp_path):
     m = warc.write_warc(pages(spark, [(1, "u", "x" * 500, None, None)]), f"file://{tmp_path}/w")
     file = tmp_path / "w" / m.first()["file"]
