@@ -73,15 +73,14 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     doc = ["doc_id", "key", "n"]
     place = F.when(F.col("k") == DOCUMENT, 0).otherwise(F.col("p") - F.col("t.t"))
-    bit = F.expr("shiftleft(1L, t.t)")
-    votes = hits.groupBy(*doc, "k", "label", "base", "n_pairs", place.alias("diagonal")).agg(F.bit_or(bit).alias("mask"), F.count("*").alias("rows"))
+    # the places of a template that have a vote, however many the template has
+    votes = hits.groupBy(*doc, "k", "label", "base", "n_pairs", place.alias("diagonal")).agg(F.collect_set("t.t").alias("places"), F.min("p").alias("first"), F.max("p").alias("last"), F.count("*").alias("rows"))
     along = Window.partitionBy(*doc, "k").orderBy("diagonal")
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEAR, F.lit(True))
     merged = votes.withColumn("island", F.sum(apart.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.col("diagonal") + F.length(F.regexp_extract(F.bin("mask"), "0*$", 0))
-    last = F.col("diagonal") + F.length(F.bin("mask")) - 1
-    spans = merged.groupBy(*doc, "k", "label", "base", "n_pairs", "island").agg(F.bit_or("mask").alias("mask"), F.min(first).alias("first"), F.max(last).alias("last"), F.sum("rows").alias("rows"))
-    share = F.bit_count("mask") / F.col("n_pairs")
+    places = F.size(F.array_distinct(F.flatten(F.collect_list("places"))))
+    spans = merged.groupBy(*doc, "k", "label", "base", "n_pairs", "island").agg(places.alias("places"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("rows").alias("rows"))
+    share = F.col("places") / F.col("n_pairs")
     whole = F.col("base") & (share == 1)
     ok = ~F.col("base") & (F.col("k") != DOCUMENT) & (share >= SHARE) & (F.col("last") - F.col("first") < 1.5 * F.col("n_pairs"))
     labels = lambda when: F.array_join(F.sort_array(F.collect_set(F.when(when, F.col("label")))), ",")
