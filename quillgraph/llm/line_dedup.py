@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import parts_for, remove, shared_dir, written
+from quillgraph.llm.common import parts_for, remove, shared_dir, unused, written
 
 DOC = ("doc_id", "key")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -116,14 +116,15 @@ def _kept(lines: str, runs: str) -> Column:
     return F.flatten(gaps)
 
 
-def _cleaned(docs: DataFrame, least_words: int) -> DataFrame:
-    """docs with _runs (null if nothing is deleted), _lines and _text."""
+def _cleaned(docs: DataFrame, least_words: int) -> tuple[DataFrame, str, str, str]:
+    """docs with three more columns, and their names: the runs (null if nothing is deleted), the lines, the text that stays."""
     runs = repeated_lines(docs, least_words)
-    runs = runs.select(F.col("doc_id").alias("_run_id"), F.col("key").alias("_run_key"), F.col("runs").alias("_runs"))
+    doc, key, gone, lines, kept = unused(docs, "run_id", "run_key", "runs", "lines", "kept_text")
+    runs = runs.select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("runs").alias(gone))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # texts and runs always meet by a shuffle: what is broadcast at a small size would not be at a large one
-    both = docs.join(runs.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_run_id")) & (F.xxhash64(text) == F.col("_run_key")), "left").withColumn("_lines", F.split(text, "\n"))
-    return both.withColumn("_text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(_kept("_lines", "_runs"), "\n")))
+    both = docs.join(runs.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left").withColumn(lines, F.split(text, "\n"))
+    return both.withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(_kept(lines, gone), "\n"))), gone, lines, kept
 
 
 def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
@@ -134,23 +135,23 @@ def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
     text are one document: all get the same result. Null doc_ids come last in the order. A text of which every line goes becomes empty. Empty
     table: no rows. Other columns are not read.
     """
-    both = _cleaned(docs.select("doc_id", "text"), least_words)
+    both, gone, lines, kept = _cleaned(docs.select("doc_id", "text"), least_words)
     none = F.array().cast("array<struct<s:int,e:int>>")
-    runs = F.coalesce("_runs", none)
+    runs = F.coalesce(gone, none)
     return both.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
         F.aggregate(runs, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"] + 1).alias("n_deleted"),
         F.array_join(F.transform(runs, lambda x: F.concat_ws("-", x["s"].cast("string"), x["e"].cast("string"))), ",").alias("runs"),
-        F.col("_text").alias("text"),
+        F.col(kept).alias("text"),
     )
 
 
 def without_repeats(docs: DataFrame, least_words: int = 50) -> DataFrame:
     """All rows and columns of docs, text without the later copies of repeated runs; n_chars, where there is one, follows the new text."""
-    both = _cleaned(docs, least_words)
-    new = {"text": F.col("_text")} | ({"n_chars": F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.char_length("_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    both, gone, _, kept = _cleaned(docs, least_words)
+    new = {"text": F.col(kept)} | ({"n_chars": F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length(kept)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(least_words: int = 50) -> str:

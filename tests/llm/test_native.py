@@ -38,6 +38,16 @@ def test_license_by_hand(spark):
     assert got[8]["n_words"] == 0 and got[8]["score"] == 0
 
 
+def test_license_templates_of_any_length(spark, monkeypatch):
+    """A template of 150 words: all its places count, and one that lacks a fifth of them is no license."""
+    words = [f"w{i}x" for i in range(150)]
+    monkeypatch.setattr(license_scan, "TEMPLATES", (*license_scan.TEMPLATES, (" ".join(words), "long-1.0")))
+    texts = [" ".join(words), " ".join(words[:130]), " ".join(words[:100]), " ".join(words[:70] + ["more"] + words[70:]), " ".join(words[100:] + words[:100])]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs(spark, texts)).collect()}
+    assert [got[i]["labels"] for i in range(5)] == ["long-1.0", "long-1.0", "", "long-1.0", ""]
+    assert got[0]["score"] == 1.0 and abs(got[2]["score"] - 99 / 149) < 1e-9
+
+
 def test_license_odd(odd, empty):
     got = license_scan.license_scan(odd).collect()
     assert len(got) == 16 and sum(r["doc_id"] is None for r in got) == 2 and sum(r["doc_id"] == 2 for r in got) == 2
@@ -76,9 +86,10 @@ def test_line_dedup_by_brute_force(spark):
         ls += short * r.randrange(2)
         texts.append("\n".join(ls))
     texts += ["\n".join(block * 3), "\n".join([words(9)] * 14)]
-    got = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
-    assert got[len(texts) - 1] != texts[-1]
+    for least in (50, 10, 1):
+        got = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(docs(spark, texts), least).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_lines(texts, least), least
+        assert got[len(texts) - 1] != texts[-1]
 
 
 def test_line_dedup_odd(odd, empty):
@@ -89,6 +100,9 @@ def test_line_dedup_odd(odd, empty):
     out = line_dedup.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == 16
     assert out.where("doc_id = 8").first()["n_chars"] == 0 and out.where("doc_id = 7").first()["n_chars"] == len(LONG)
+    clash = odd.withColumns({"run_id": odd["doc_id"], "runs": odd["text"], "_runs": odd["text"], "kept_text": odd["doc_id"], "RUN_KEY": odd["doc_id"]})
+    again = line_dedup.without_repeats(clash)
+    assert again.columns == clash.columns and again.where("doc_id = 8").first()["text"] == "" and again.count() == 16
     assert line_dedup.line_dedup(empty).count() == 0 and line_dedup.without_repeats(empty).count() == 0
 
 
