@@ -76,8 +76,21 @@ def vertices(entity: DataFrame, chunk: DataFrame) -> DataFrame:
     return v.groupBy("id").agg(F.max_by(F.struct("kind", "content"), "kind").alias("v")).select("id", "v.kind", "v.content")
 
 
-def new_rows(rows: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    return rows.join(stored.select(key), key, "left_anti").select(*rows.columns)
+def new_vertices(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Vertices that the stored ones lack, with all their columns."""
+    return rows.join(stored.select("id"), "id", "left_anti").select(*rows.columns)
+
+
+def loose_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(src, dst, missing) of edges of which an end is no vertex: what valid_edges leaves out besides loops."""
+    ids = vertices.select("id")
+    ends = edges.select("src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("missing"))
+    return ends.join(ids.withColumnRenamed("id", "missing"), "missing", "left_anti").select("src", "dst", "missing")
+
+
+def edges_of(chunk_triples: DataFrame, synonym: DataFrame | None = None) -> DataFrame:
+    """Fact, passage and synonym edges without loops. Their ends are vertices, since the same triples make both."""
+    return merge_edges(fact_edges(chunk_triples), passage_edges(chunk_triples), synonym).where("src <> dst")
 
 
 def delete_vertices(v: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +140,7 @@ def audit(v: DataFrame, entity: DataFrame, chunk: DataFrame, openie: DataFrame)
     )
 
 
-def with_empty_extractions(chunk: DataFrame, openie: DataFrame) -> DataFrame:
+def repaired_extractions(chunk: DataFrame, openie: DataFrame) -> DataFrame:
     """Every chunk's entities and triples; empty lists where extraction has none."""
     got = chunk.select("chunk_id").join(openie, "chunk_id", "left")
     return got.select("chunk_id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.coalesce("triples", F.array().cast("array<array<string>>")).alias("triples"))

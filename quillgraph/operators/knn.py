@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.topk import top_k
+from quillgraph.sources.shared import once
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -18,18 +19,20 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _best(qid: np.ndarray, q: np.ndarray, kid: np.ndarray, keys: np.ndarray, k: int, least: float | None) -> pd.DataFrame:
-    """Of each query the k best keys by (score, smaller id)."""
+    """Of each query the k best keys by (score, smaller id), and no more however many are tied."""
     order = np.argsort(kid, kind="stable")
     kid, keys = kid[order], keys[order]
     out = []
     for first in range(0, len(q), 512):
         scores = q[first : first + 512] @ keys.T
+        low = np.full((len(scores), 1), -np.inf if least is None else least)
         if k < len(kid):
-            cut = np.partition(scores, len(kid) - k, axis=1)[:, len(kid) - k, None]
-            r, c = np.nonzero(scores >= (cut if least is None else np.maximum(cut, least)))
-        else:
-            r, c = np.nonzero(scores >= (-np.inf if least is None else least))
-        out.append(pd.DataFrame({"query_id": qid[first + r], "key_id": kid[c], "score": scores[r, c]}))
+            low = np.maximum(low, np.partition(scores, len(kid) - k, axis=1)[:, len(kid) - k, None])
+        r, c = np.nonzero(scores >= low)
+        by = np.lexsort((c, -scores[r, c], r))
+        r, c = r[by], c[by]
+        few = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append(pd.DataFrame({"query_id": qid[first + r[few]], "key_id": kid[c[few]], "score": scores[r[few], c[few]]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "key_id": [], "score": []})
 
 
@@ -74,6 +77,36 @@ def knn(queries: DataFrame, keys: DataFrame, k: int, *, cosine: bool = True, lea
     return top_k(found, k, ["query_id"], "score", "key_id")
 
 
+def scaled_top_k(queries: DataFrame, keys: DataFrame, k: int, *, broadcast_rows: int = 20_000) -> DataFrame:
+    """(query_id, key_id, score, rank): the k best keys of each query by inner product, their scores on the scale from the least to the largest of all keys' (1 if all are the same).
+
+    Each batch of keys gives a query's k best and its bounds, so no row stands for each pair. Query sets over ``broadcast_rows`` are scored by expressions.
+    """
+    queries, keys = queries.where("embedding is not null").select("id", "embedding"), keys.where("embedding is not null").select("id", "embedding")
+    if queries.limit(broadcast_rows + 1).count() > broadcast_rows:
+        from quillgraph.functions.vectors import min_max
+
+        return top_k(min_max(all_scores(queries, keys, broadcast_rows=broadcast_rows), "query_id"), k, ["query_id"], "score", "key_id")
+    rows = queries.toPandas()  # its size has just been checked
+    told = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), np.array([np.asarray(x, np.float64) for x in rows["embedding"]])))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qid, q = told.value
+        for b in batches:
+            if len(b) and len(q):
+                m = np.array([np.asarray(x, np.float64) for x in b["embedding"]])
+                scores = q @ m.T
+                bounds = pd.DataFrame({"query_id": qid, "key_id": None, "score": np.nan, "low": scores.min(axis=1), "high": scores.max(axis=1)})
+                yield pd.concat([_best(qid, q, b["id"].to_numpy(), m, k, None).assign(low=np.nan, high=np.nan), bounds]).astype({"key_id": object})
+
+    kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, key_id {keys.schema['id'].dataType.simpleString()}, score double, low double, high double"
+    found = once(keys.mapInPandas(scan, kinds), "scaled")
+    bounds = found.where("key_id is null").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    best = top_k(found.where("key_id is not null").select("query_id", "key_id", "score"), k, ["query_id"], "score", "key_id")
+    scaled = F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")))
+    return best.join(bounds, "query_id").select("query_id", "key_id", scaled.alias("score"), "rank")
+
+
 def all_scores(queries: DataFrame, keys: DataFrame, *, broadcast_rows: int = 20_000) -> DataFrame:
     """(query_id, key_id, score) of every pair: what min-max scaling needs. Inner products, not normalised."""
     from quillgraph.functions.vectors import dot

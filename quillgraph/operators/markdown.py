@@ -130,7 +130,8 @@ def parents(chunks: DataFrame) -> DataFrame:
 def _blocks(rows: DataFrame, least: int, context: int, prefix: str) -> tuple[DataFrame, DataFrame]:
     """rows with ``_block`` (null outside). Blocks of at least ``least`` lines with context as (doc_id, id, content); the other lines."""
     size = rows.where("_block is not null").groupBy("doc_id", "_block").agg(F.min("idx").alias("_from"), F.max("idx").alias("_to")).where(F.col("_to") - F.col("_from") + 1 >= least)
-    near = rows.select("doc_id", "idx", "line").join(size, "doc_id").where((F.col("idx") >= F.col("_from") - context) & (F.col("idx") <= F.col("_to") + context))
+    places = size.select("doc_id", "_block", F.explode(F.sequence(F.col("_from") - context, F.col("_to") + context)).alias("idx"))
+    near = rows.select("doc_id", "idx", "line").join(places, ["doc_id", "idx"])
     cut = join_lines(near, ["doc_id", "_block"]).select("doc_id", content_id(F.col("content"), prefix).alias("id"), "content")
     rest = rows.join(size.select("doc_id", "_block"), ["doc_id", "_block"], "left_anti").select("doc_id", "idx", "line")
     return cut, rest
@@ -176,9 +177,10 @@ def jumps(docs: DataFrame, files: DataFrame) -> DataFrame:
     rel = links(docs).where(~F.rlike("url", F.lit("^(https?|ftp)://")) & F.endswith(F.lower("url"), F.lit(".md")))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     target = F.when(F.startswith("url", F.lit("/")), F.col("url")).otherwise(F.concat_ws("/", F.when(folder != "", folder), F.col("url")))
-    flat = F.regexp_replace(target, r"(^|/)(\./)+", "$1")
-    for _ in range(8):  # a/../ goes, from the inside out
-        flat = F.regexp_replace(flat, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    # a/../ goes, however many there are
+    up = lambda done, x: (x == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+    step = lambda done, x: F.when(x == ".", done).when(up(done, x), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(x)))
+    flat = F.array_join(F.aggregate(F.split(target, "/"), F.array().cast("array<string>"), step), "/")
     at = files.select(F.col("path").alias("_target"), content_id(F.col("content"), "file-").alias("file_id"))
     return rel.join(docs.select("doc_id", "path"), "doc_id").withColumn("_target", flat).join(at, "_target").select("doc_id", "file_id", F.col("url").alias("file_path"), F.col("text").alias("jump_name"))
 

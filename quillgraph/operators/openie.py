@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -11,8 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import json_repair
-from quillgraph.functions.text import normalize
+from quillgraph.functions.text import cache_key, normalize
 from quillgraph.prompts import PROMPTS, render_messages
+from quillgraph.schemas import CACHE
+from quillgraph.sources.shared import once
+from quillgraph.sources.state import State
+
+#: What offline models with guided decoding are to write.
+ENTITIES_JSON = {"type": "object", "properties": {"named_entities": {"type": "array", "items": {"type": "string"}}}, "required": ["named_entities"]}
+TRIPLES_JSON = {"type": "object", "properties": {"triples": {"type": "array", "items": {"type": "array", "items": {"type": "string"}, "minItems": 3, "maxItems": 3}}}, "required": ["triples"]}
 
 
 class Generator(Protocol):
@@ -21,54 +30,110 @@ class Generator(Protocol):
     def __call__(self, messages: list[dict[str, str]]) -> tuple[str, dict]: ...
 
 
-def generate(rows: DataFrame, messages: Callable[[dict], list[dict[str, str]]], model: Generator, key: str, *, attempts: int = 2, wait_s: float = 1.0) -> DataFrame:
-    """(key, response, prompt_tokens, completion_tokens, cache_hit, status): the model's answer for each row, a batch of rows at a time.
+class BatchGenerator(Protocol):
+    """A model that takes many conversations at once, as offline models do. json_schema: what its answers are to follow, if anything."""
+
+    def batch(self, many: list[list[dict[str, str]]], json_schema: dict | None = None) -> list[tuple[str, dict]]: ...
+
+
+class ResponseCache:
+    """Answers by a hash of messages, model, seed and temperature, a table of a state. A key that it holds keeps its answer."""
+
+    def __init__(self, state: State, model: str = "replay", seed: int = 0, temperature: float = 0.0):
+        self.state, self.model, self.seed, self.temperature = state, model, seed, temperature
+
+    def key(self, messages):
+        return cache_key(messages=messages, model=F.lit(self.model), seed=F.lit(self.seed), temperature=F.lit(self.temperature))
+
+    def load(self) -> DataFrame:
+        return self.state.read("responses", CACHE).dropDuplicates(["key"])
+
+    def add(self, answers: DataFrame) -> None:
+        if answers.limit(1).count():
+            self.state.change(add={"responses": answers.select("key", "message", "metadata")})
 
-    A row whose attempts all fail has a null response and the error as its status; it does not fail the job.
+
+_META = "prompt_tokens long, completion_tokens long, cache_hit boolean"
+
+
+def generate(rows: DataFrame, messages: Callable[[dict], list[dict[str, str]]], model: Generator | BatchGenerator, key: str, *, attempts: int = 2, wait_s: float = 1.0, cache: ResponseCache | None = None, json_schema: dict | None = None, batch: int = 200) -> DataFrame:
+    """(key, response, prompt_tokens, completion_tokens, cache_hit, status): the model's answer for each row.
+
+    The model is called now, once for each different prompt, and the answers are read from the shared folder from here on, however often they are
+    used. With a cache only prompts that it lacks are sent, and what comes is added. A row whose attempts all
+    fail has a null response and the error as its status; it does not fail the job. A model with ``batch`` gets up to ``batch`` prompts at a call.
     """
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                text, meta, status = None, {}, "ok"
-                for turn in range(attempts):
-                    try:
-                        text, meta = model(messages(row))
-                        status = "ok"
-                        break
-                    except Exception as e:  # a service's faults are of any kind; the status column reports them
-                        status = f"{type(e).__name__}: {e}"
-                        if turn + 1 < attempts:
-                            time.sleep(wait_s)
-                out.append((row[key], text, int(meta.get("prompt_tokens", 0)), int(meta.get("completion_tokens", 0)), bool(meta.get("cache_hit", False)), status))
-            yield pd.DataFrame(out, columns=[key, "response", "prompt_tokens", "completion_tokens", "cache_hit", "status"])
-
-    return rows.mapInPandas(run, f"{key} {kind}, response string, prompt_tokens long, completion_tokens long, cache_hit boolean, status string")
-
-
-class FirstWords:
-    """A model for machines without one: entities are the first and third word of a passage, and one triple its first three."""
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "messages": [json.dumps(messages(r), ensure_ascii=False) for r in b.to_dict("records")]})
+
+    def tried(call: Callable) -> tuple[object, str]:
+        status = "ok"
+        for turn in range(attempts):
+            try:
+                return call(), "ok"
+            except Exception as e:  # a service's faults are of any kind; the status column reports them
+                status = f"{type(e).__name__}: {e}"
+                if turn + 1 < attempts:
+                    time.sleep(wait_s)
+        return None, status
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            prompts, out = [json.loads(m) for m in b["messages"]], []
+            if hasattr(model, "batch"):
+                for i in range(0, len(prompts), batch):
+                    got, status = tried(lambda i=i: model.batch(prompts[i : i + batch], json_schema))
+                    out += [(x, status) for x in (got or [None] * len(prompts[i : i + batch]))]
+            else:
+                out = [tried(lambda m=m: model(m)) for m in prompts]
+            found = [(m, *(x if x else (None, {})), status) for m, (x, status) in zip(b["messages"], out, strict=True)]
+            yield pd.DataFrame([(m, text, int(meta.get("prompt_tokens", 0)), int(meta.get("completion_tokens", 0)), bool(meta.get("cache_hit", False)), status) for m, text, meta, status in found], columns=["messages", "response", "prompt_tokens", "completion_tokens", "cache_hit", "status"])
+
+    asked = once(rows.mapInPandas(write, f"{key} {kind}, messages string"), "prompts")
+    todo = asked.select("messages").distinct()
+    if cache is None:
+        got = once(todo.mapInPandas(ask, f"messages string, response string, {_META}, status string"), "answers")
+    else:
+        keyed = todo.withColumn("key", cache.key(F.col("messages")))
+        known = cache.load()
+        got = once(keyed.join(known.select("key"), "key", "left_anti").select("messages").mapInPandas(ask, f"messages string, response string, {_META}, status string"), "answers")
+        meta = F.to_json(F.struct("prompt_tokens", "completion_tokens"))
+        hit = keyed.join(known, "key").select("messages", F.col("message").alias("response"), *[F.get_json_object("metadata", f"$.{c}").cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens")], F.lit(True).alias("cache_hit"), F.lit("ok").alias("status"))
+        hit = once(hit, "hits")
+        cache.add(got.where("status = 'ok'").select(cache.key(F.col("messages")).alias("key"), F.col("response").alias("message"), meta.alias("metadata")))
+        got = got.unionByName(hit)
+    return asked.join(got, "messages").select(key, "response", "prompt_tokens", "completion_tokens", "cache_hit", "status")
+
+
+_SENTENCE = re.compile(r"[.!?]+")
+
+
+class Sentences:
+    """A model for machines without one. Of each sentence of three words and more it takes the first word, the one in the middle and the last: a triple, whose ends are entities."""
 
     def __call__(self, messages: list[dict[str, str]]) -> tuple[str, dict]:
-        import json
-
         text = messages[-1]["content"]
         passage = text.split("```")[-2] if text.count("```") >= 2 else text
-        words = passage.split()
-        body = {"triples": [words[:3]] if len(words) >= 3 else []} if "named_entities" in text else {"named_entities": words[:3:2]}
-        return json.dumps(body, ensure_ascii=False), {"prompt_tokens": len(text.split()), "completion_tokens": len(words[:3])}
+        parts = [w for w in map(str.split, _SENTENCE.split(passage)) if len(w) >= 3]
+        triples = [[w[0], w[len(w) // 2], w[-1]] for w in parts]
+        body = {"triples": triples} if text.startswith("Entities") or text.startswith("实体") else {"named_entities": list(dict.fromkeys(x for t in triples for x in t[::2]))}
+        return json.dumps(body, ensure_ascii=False), {"prompt_tokens": len(text.split()), "completion_tokens": 3 * len(parts)}
+
+    def batch(self, many: list[list[dict[str, str]]], json_schema: dict | None = None) -> list[tuple[str, dict]]:
+        return [self(m) for m in many]
 
 
 def openie(chunks: DataFrame, model: Generator, language: str = "en", **how) -> DataFrame:
     """(chunk_id, passage, entities, triples, ok_entities, ok_triples) of chunks (chunk_id, content): entities first, then triples given them."""
     zh = "_zh" if language == "zh" else ""
-    ner = generate(chunks.select("chunk_id", "content"), lambda r: render_messages(PROMPTS["ner" + zh], passage=r["content"]), model, "chunk_id", **how)
-    got = chunks.join(ner.select("chunk_id", F.col("response").alias("_r"), (F.col("status") == "ok").alias("ok_entities")), "chunk_id").withColumn("entities", json_repair.entities(json_repair.repaired(F.col("_r"))))
-    got = got.withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    ner = generate(chunks.select("chunk_id", "content"), lambda r: render_messages(PROMPTS["ner" + zh], passage=r["content"]), model, "chunk_id", json_schema=ENTITIES_JSON, **how)
+    got = chunks.select("chunk_id", "content").join(ner.select("chunk_id", F.col("response").alias("_r"), (F.col("status") == "ok").alias("ok_entities")), "chunk_id").withColumn("entities", json_repair.entities(json_repair.repaired(F.col("_r"))))
+    got = once(got.select("chunk_id", "content", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), "ok_entities"), "entities")
     asked = got.select("chunk_id", "content", F.to_json(F.struct(F.col("entities").alias("named_entities"))).alias("named"))
-    trip = generate(asked, lambda r: render_messages(PROMPTS["triple_extraction" + zh], passage=r["content"], named_entity_json=r["named"]), model, "chunk_id", **how)
+    trip = generate(asked, lambda r: render_messages(PROMPTS["triple_extraction" + zh], passage=r["content"], named_entity_json=r["named"]), model, "chunk_id", json_schema=TRIPLES_JSON, **how)
     both = got.join(trip.select("chunk_id", F.col("response").alias("_t"), (F.col("status") == "ok").alias("ok_triples")), "chunk_id")
     return both.select("chunk_id", F.col("content").alias("passage"), "entities", F.coalesce(json_repair.triples(json_repair.repaired(F.col("_t"))), F.array().cast("array<array<string>>")).alias("triples"), "ok_entities", "ok_triples")
 
@@ -79,12 +144,12 @@ def success_rate(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("batch_size"), F.when(F.count("*") == 0, 0.0).otherwise(ok / (2 * F.count("*"))).alias("rate"))
 
 
-def openie_with_fallback(chunks: DataFrame, first: Generator, second: Generator | None, least: float = 0.5, language: str = "en") -> DataFrame:
+def openie_with_fallback(chunks: DataFrame, first: Generator, second: Generator | None, least: float = 0.5, language: str = "en", **how) -> DataFrame:
     """The first provider's results if more than ``least`` of them came, else the second's by the same rule, else empty results."""
     for model in (first, second):
         if model is None:
             continue
-        got = openie(chunks, model, language)
+        got = once(openie(chunks, model, language, **how), "extracted")
         rate = success_rate(got).first()
         if rate["batch_size"] == 0 or rate["rate"] > least:
             return got
@@ -107,5 +172,10 @@ def stats(rows: DataFrame) -> DataFrame:
     return each.agg(mean(F.length("e")).alias("avg_ent_chars"), mean(words).alias("avg_ent_words"))
 
 
+def reformatted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Extraction results as two tables: (chunk_id, unique_entities), sorted, and (chunk_id, triples), those with three parts."""
+    return rows.select("chunk_id", F.sort_array(F.array_distinct("entities")).alias("unique_entities")), rows.select("chunk_id", json_repair.valid_triples(F.col("triples")).alias("triples"))
+
+
 def token_usage(generated: DataFrame) -> DataFrame:
     return generated.agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum(F.col("cache_hit").cast("long")).alias("cache_hits"))

@@ -38,18 +38,26 @@ def md_headings_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.number_headings(docs(spark, sf_dir), 2)
 
 
-@query(f"""WITH {_DOCS} SELECT doc_id, 1 AS depth, '# ' || source || '  ' || chr(10) || see AS content FROM docs
-    UNION ALL SELECT doc_id, 2, '# ' || source || '  ' || chr(10) || '## table  ' || chr(10) || tab FROM docs""")
+#: The lines of the section with the text, without white space at their ends; what parts two depends on empty lines between.
+_WHITE = r"[\s\x0B\x{85}\p{Z}]"
+_SECTIONS = rf"""{_DOCS}, l AS (SELECT doc_id, idx, regexp_replace(line, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(body || chr(10) || chr(10) || '```python' || chr(10) || code || chr(10) || '```', chr(10))) AS line, generate_subscripts(string_split(body || chr(10) || chr(10) || '```python' || chr(10) || code || chr(10) || '```', chr(10)), 1) AS idx FROM docs)),
+    k AS (SELECT doc_id, idx, line, count(*) FILTER (line = '') OVER (PARTITION BY doc_id ORDER BY idx) AS gaps FROM l),
+    j AS (SELECT doc_id, idx, line, gaps, lag(gaps) OVER (PARTITION BY doc_id ORDER BY idx) AS before FROM k WHERE line <> ''),
+    b AS (SELECT doc_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN before = gaps THEN chr(10) ELSE '  ' || chr(10) END || line, '' ORDER BY idx) AS text FROM j GROUP BY doc_id),
+    sections AS (SELECT doc_id, 1 AS depth, '# ' || source || '  ' || chr(10) || see AS content FROM docs
+        UNION ALL SELECT doc_id, 2, '# ' || source || '  ' || chr(10) || '## ' || lang || '  ' || chr(10) || text FROM docs JOIN b USING (doc_id)
+        UNION ALL SELECT doc_id, 2, '# ' || source || '  ' || chr(10) || '## table  ' || chr(10) || tab FROM docs)"""
+
+
+@query(f"WITH {_SECTIONS} SELECT doc_id, depth, content FROM sections")
 def md_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sections of the top heading and of the table; those of the text differ only by its white space."""
-    c = markdown.sections(docs(spark, sf_dir))
-    return c.where("depth = 1 OR headers['h2'] = 'table'").select("doc_id", F.col("depth").cast("int").alias("depth"), "content")
+    """All sections: of the top heading, of the text, of the table."""
+    return markdown.sections(docs(spark, sf_dir)).select("doc_id", F.col("depth").cast("int").alias("depth"), "content")
 
 
-@query(f"""WITH {_DOCS} SELECT doc_id, 'chunk-' || md5('# ' || source || '  ' || chr(10) || '## table  ' || chr(10) || tab) AS chunk_id, 'chunk-' || md5('# ' || source || '  ' || chr(10) || see) AS parent_id FROM docs""")
+@query(f"WITH {_SECTIONS} SELECT s.doc_id, 'chunk-' || md5(s.content) AS chunk_id, CASE WHEN s.depth > 1 THEN 'chunk-' || md5(t.content) END AS parent_id FROM sections s JOIN sections t ON s.doc_id = t.doc_id AND t.depth = 1")
 def md_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = markdown.sections(docs(spark, sf_dir))
-    return markdown.parents(c).join(c.where("headers['h2'] = 'table'").select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi").select("doc_id", "chunk_id", "parent_id")
+    return markdown.parents(markdown.sections(docs(spark, sf_dir))).select("doc_id", "chunk_id", "parent_id")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, 'code-' || md5(c) AS id, c AS content FROM (SELECT doc_id, '```python' || chr(10) || code || chr(10) || '```' AS c FROM docs WHERE doc_id % 8 + 1 >= 5)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.config import Config
 from quillgraph.operators import graph
 from quillgraph.operators.knn import knn
 from quillgraph.plans.registry import query
@@ -43,15 +44,43 @@ def passage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.passage_edges(triples(spark, sf_dir))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = triples(spark, sf_dir)
-    v = graph.vertices(graph.entities(t), passages(spark, sf_dir))
-    return graph.valid_edges(graph.merge_edges(graph.fact_edges(t), graph.passage_edges(t)), v)
+def edges(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> DataFrame:
+    """The graph's edges, from triples that have been read already if they are given."""
+    return graph.edges_of(triples(spark, sf_dir) if t is None else t)
 
 
 @query(f"WITH {GRAPH} SELECT * FROM edges")
 def graph_edges_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir)
+    """Edges checked against the vertices, with one that has no vertex added to each passage, and left out again."""
+    t = triples(spark, sf_dir)
+    v = graph.vertices(graph.entities(t), passages(spark, sf_dir))
+    every = graph.merge_edges(graph.fact_edges(t), graph.passage_edges(t))
+    loose = t.select(F.col("chunk_id").alias("src"), F.lit("entity-none").alias("dst"), F.lit(1.0).alias("weight"), F.lit("passage").alias("kind"))
+    return graph.valid_edges(every.unionByName(loose), v)
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT chunk_id AS src, 'entity-none' AS dst, 'entity-none' AS missing FROM triples")
+def graph_loose_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triples(spark, sf_dir)
+    v = graph.vertices(graph.entities(t), passages(spark, sf_dir))
+    loose = t.select(F.col("chunk_id").alias("src"), F.lit("entity-none").alias("dst")).distinct()
+    return graph.loose_ends(graph.passage_edges(t).select("src", "dst").unionByName(loose), v)
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT {_E('content')} AS id, 'entity' AS kind, content FROM (SELECT s AS content FROM triples UNION ALL SELECT o FROM triples) WHERE {_E('content')} NOT IN (SELECT {_E('s')} FROM triples)")
+def new_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that are only objects, where those that are subjects are stored."""
+    t = triples(spark, sf_dir)
+    names = graph.entities(t).select(F.col("entity_id").alias("id"), F.lit("entity").alias("kind"), "content")
+    stored = graph.entities(t.withColumn("o", F.col("s"))).select(F.col("entity_id").alias("id"))
+    return graph.new_vertices(names, stored)
+
+
+@query(f"WITH {GRAPH} SELECT chunk_id, CAST(count(t) AS BIGINT) AS n_triples FROM (SELECT p.chunk_id, t.s AS t FROM passages p LEFT JOIN triples t USING (chunk_id)) GROUP BY chunk_id")
+def graph_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages without results get empty ones."""
+    t = triples(spark, sf_dir).groupBy("chunk_id").agg(F.collect_list(F.array("s", "p", "o")).alias("triples"), F.collect_list("s").alias("entities"))
+    return graph.repaired_extractions(passages(spark, sf_dir), t).select("chunk_id", F.size("triples").cast("long").alias("n_triples"))
 
 
 @query(f"WITH {GRAPH} SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) GROUP BY src, dst")
@@ -63,8 +92,9 @@ def graph_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a AS num_phrase_nodes, b AS num_passage_nodes, a + b AS num_total_nodes, (SELECT count(*) FROM edges WHERE kind = 'fact') AS num_extracted_triples,
            (SELECT count(*) FROM edges WHERE kind = 'passage') AS num_triples_with_passage_node, 0::BIGINT AS num_synonymy_triples, (SELECT count(*) FROM edges) AS num_total_triples FROM n""")
 def graph_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = graph.vertices(graph.entities(triples(spark, sf_dir)), passages(spark, sf_dir))
-    return graph.graph_info(v, edges(spark, sf_dir))
+    t = triples(spark, sf_dir)
+    v = graph.vertices(graph.entities(t), passages(spark, sf_dir))
+    return graph.graph_info(v, edges(spark, sf_dir, t))
 
 
 @query(f"""WITH {RELATIONS} SELECT src, dst, count(*)::DOUBLE AS weight, 'fact' AS kind FROM (SELECT {_E('s')} AS src, {_E('o')} AS dst FROM relations UNION ALL SELECT {_E('o')}, {_E('s')} FROM relations) GROUP BY src, dst""")
@@ -81,11 +111,11 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-@query(f"WITH {_SIM} SELECT query_id, key_id, round(score, 6) AS score FROM pairs WHERE score >= 0.3 AND query_id <> key_id")
+@query(f"WITH {_SIM}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key_id) AS rank FROM pairs WHERE score >= 0.3) SELECT query_id, key_id, round(score, 6) AS score FROM n WHERE rank <= 2047 AND query_id <> key_id")
 def knn_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of vectors with a cosine of 0.3 and more."""
+    """The neighbours of each vector with a cosine of 0.3 and more, as many as the engine looks at."""
     v = _vectors(spark, sf_dir)
-    near = knn(v, v, 1 << 30, least=0.3)
+    near = knn(v, v, Config().synonymy_edge_topk, least=0.3)
     return near.where("query_id <> key_id").select("query_id", "key_id", F.round("score", 6).alias("score"))
 
 
@@ -132,7 +162,7 @@ def delete_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, gone = triples(spark, sf_dir), _gone(spark, sf_dir)
     v = graph.vertices(graph.entities(t), passages(spark, sf_dir))
     ids = graph.deleted_entities(t, gone).select(F.col("entity_id").alias("id")).unionByName(gone.select(F.col("chunk_id").alias("id")))
-    return graph.delete_vertices(v, edges(spark, sf_dir), ids)[1]
+    return graph.delete_vertices(v, edges(spark, sf_dir, t), ids)[1]
 
 
 @query(f"WITH {GRAPH} SELECT 'passage without extraction' AS what, chunk_id AS id FROM passages WHERE chunk_id NOT IN (SELECT chunk_id FROM triples)")

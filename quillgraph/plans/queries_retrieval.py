@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from quillgraph.config import Config
 from quillgraph.functions.text import normalize
 from quillgraph.functions.vectors import l2_normalise, mean_pool, sparse_scores
 from quillgraph.operators import evaluate, graph, retrieve
-from quillgraph.operators.knn import all_scores, knn
+from quillgraph.operators.knn import all_scores, knn, scaled_top_k
 from quillgraph.operators.ppr import ppr
 from quillgraph.operators.topk import top_k
 from quillgraph.plans.queries_graph import GRAPH, edges
 from quillgraph.plans.registry import query
+from quillgraph.sources.shared import once
 from quillgraph.plans.tables import ENTITY, FACT, norm_sql, passages, questions, table, triples, vectors_sql, word_vectors
 
 _E = ENTITY.format
@@ -48,8 +51,7 @@ _DENSE = f"""s AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, list_inner_p
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages by vectors: scores scaled from the least to the largest of all, the best 200."""
     q, v = _vectors(spark, sf_dir)
-    got = retrieve.dense_passages(all_scores(q, v).withColumnRenamed("key_id", "chunk_id"), 200)
-    return got.select("query_id", F.col("chunk_id").alias("key_id"), "rank", F.round("score", 6).alias("score"))
+    return scaled_top_k(q, v, 200).select("query_id", "key_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_DENSE} SELECT query_id, key_id, round(score, 6) AS score FROM m")
@@ -94,8 +96,9 @@ _RESET = "SELECT 0::BIGINT AS query_id, entity_id AS node, count(*) / sum(count(
 
 
 def _rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reset = graph.mentions(triples(spark, sf_dir)).groupBy(F.col("entity_id").alias("node")).agg(F.count("*").cast("double").alias("reset")).withColumn("query_id", F.lit(0).cast("long"))
-    return ppr(graph.arcs(edges(spark, sf_dir)), reset, iterations=_STEPS)
+    t = triples(spark, sf_dir)
+    reset = graph.mentions(t).groupBy(F.col("entity_id").alias("node")).agg(F.count("*").cast("double").alias("reset")).withColumn("query_id", F.lit(0).cast("long"))
+    return ppr(graph.arcs(edges(spark, sf_dir, t)), reset, iterations=_STEPS)
 
 
 @query(f"WITH RECURSIVE {GRAPH}, {_ARCS}, {_ppr_sql(_RESET)} SELECT query_id, node, round(rank, 6) AS rank FROM w WHERE step = {_STEPS}")
@@ -127,51 +130,48 @@ _SEEDS = f"""ends AS (SELECT query_id, {_E('s')} AS entity_id, score, rank FROM
     seeds AS MATERIALIZED (SELECT query_id, entity_id, last / greatest(n, 1) AS weight, link, row_number() OVER (PARTITION BY query_id ORDER BY round(link, 9) DESC, entity_id) AS rank FROM each JOIN (SELECT entity_id, count(*) AS n FROM mentions GROUP BY entity_id) USING (entity_id) QUALIFY rank <= 5)"""
 
 
-def _all(spark: SparkSession, scores: DataFrame, asked: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    every = items.select(key).crossJoin(F.broadcast(asked.select("query_id")))
-    return every.join(scores, ["query_id", key], "left").select("query_id", key, F.coalesce("score", F.lit(0.0)).alias("score"))
+def _all(scores: DataFrame, asked: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Scores of every question and item, 0 where they share no word; rounded as the SQL's are."""
+    few = asked.limit(10_001).count() <= 10_000
+    every = items.select(key).crossJoin(F.broadcast(asked.select("query_id")) if few else asked.select("query_id"))
+    got = every.join(scores, ["query_id", key], "left").select("query_id", key, F.coalesce("score", F.lit(0.0)).alias("score"))
+    return retrieve.fact_scores(once(got, "scores")).withColumn("score", F.round("score", 9))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    asked, t = questions(spark, sf_dir), triples(spark, sf_dir)
-    facts = graph.facts(t)
-    q = word_vectors(asked, "query_id", "question")
-    scores = _all(spark, sparse_scores(q, word_vectors(facts, "fact_id", "content"), "query_id", "fact_id"), asked, facts, "fact_id")
-    scaled = retrieve.fact_scores(scores).withColumn("score", F.round("score", 9))
-    best = top_k(scaled, 5, ["query_id"], "score", "fact_id").join(facts.select("fact_id", "s", "p", "o"), "fact_id")
-    return best, asked.withColumn("question", normalize(F.col("question")))
+def _candidates(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
+    asked, facts = questions(spark, sf_dir), graph.facts(t)
+    scores = sparse_scores(word_vectors(asked, "query_id", "question"), word_vectors(facts, "fact_id", "content"), "query_id", "fact_id")
+    return once(retrieve.candidates(_all(scores, asked, facts, "fact_id"), facts, asked.withColumn("question", normalize(F.col("question"))), 5), "candidates")
 
 
 @query(f"WITH {GRAPH}, {_CAND} SELECT query_id, fact_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM fr")
 def fact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir)[0].select("query_id", "fact_id", "rank", F.round("score", 6).alias("score"))
+    return _candidates(spark, sf_dir, triples(spark, sf_dir)).select("query_id", "fact_id", "rank", F.round("score", 6).alias("score"))
 
 
 _LEXICAL = rf"""kept AS MATERIALIZED (SELECT query_id, fact_id, s, o, score, place AS rank FROM (SELECT query_id, fact_id, s, o, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS place FROM fr JOIN questions USING (query_id)
     WHERE list_has_any([w FOR w IN string_split(s || ' ' || p || ' ' || o, ' ') IF w <> ''], string_split({norm_sql('question')}, ' '))) WHERE place <= 4)"""
 
 
-def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best, asked = _candidates(spark, sf_dir)
-    return retrieve.share_a_word(best.join(asked, "query_id"))
+def _kept(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
+    return once(retrieve.share_a_word(_candidates(spark, sf_dir, t)), "kept")
 
 
 @query(f"WITH {GRAPH}, {_CAND}, {_LEXICAL} SELECT query_id, fact_id, CAST(rank AS INTEGER) AS rank FROM kept")
 def fact_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir).select("query_id", "fact_id", "rank")
+    return _kept(spark, sf_dir, triples(spark, sf_dir)).select("query_id", "fact_id", "rank")
 
 
 @query(f"WITH {GRAPH}, {_CAND}, {_LEXICAL}, {_SEEDS} SELECT query_id, entity_id, round(weight, 6) AS weight, round(link, 6) AS link FROM seeds")
 def phrase_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = retrieve.phrase_seeds(_kept(spark, sf_dir), graph.mentions(triples(spark, sf_dir)), 5)
+    t = triples(spark, sf_dir)
+    ends = retrieve.phrase_seeds(_kept(spark, sf_dir, t), graph.mentions(t), 5)
     return ends.select("query_id", "entity_id", F.round("weight", 6).alias("weight"), F.round("link", 6).alias("link"))
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, c = questions(spark, sf_dir), passages(spark, sf_dir)
-    scores = sparse_scores(word_vectors(asked, "query_id", "question"), word_vectors(c, "chunk_id", "content"), "query_id", "chunk_id")
-    scaled = retrieve.fact_scores(_all(spark, scores, asked, c, "chunk_id")).withColumn("score", F.round("score", 9))
-    return top_k(scaled, None, ["query_id"], "score", "chunk_id")
+    return _all(sparse_scores(word_vectors(asked, "query_id", "question"), word_vectors(c, "chunk_id", "content"), "query_id", "chunk_id"), asked, c, "chunk_id")
 
 
 _PASS = f"{_scores_sql('d', 'passages', 'chunk_id', 'pv')}, dense AS MATERIALIZED (SELECT query_id, chunk_id, round(score, 9) AS score FROM d_m)"
@@ -180,7 +180,7 @@ _PASS = f"{_scores_sql('d', 'passages', 'chunk_id', 'pv')}, dense AS MATERIALIZE
 @query(f"WITH {GRAPH}, {_FACTS}, {_VECTORS}, {_PASS} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense) WHERE rank <= 200")
 def dpr_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All questions against all passages, by word vectors: the branch without facts."""
-    return _dense(spark, sf_dir).where("rank <= 200").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return top_k(_dense(spark, sf_dir), 200, ["query_id"], "score", "chunk_id").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 _HYBRID_RESET = "SELECT query_id, node, reset / sum(reset) OVER (PARTITION BY query_id) AS reset FROM (SELECT query_id, node, sum(reset) AS reset FROM (SELECT query_id, entity_id AS node, weight AS reset FROM seeds UNION ALL SELECT query_id, chunk_id, 0.05 * score FROM dense WHERE query_id IN (SELECT query_id FROM kept)) GROUP BY ALL) WHERE reset > 0"
@@ -188,13 +188,13 @@ _HYBRID_RESET = "SELECT query_id, node, reset / sum(reset) OVER (PARTITION BY qu
 
 @query(f"""WITH RECURSIVE {GRAPH}, {_CAND}, {_LEXICAL}, {_SEEDS}, {_PASS}, {_ARCS}, {_ppr_sql(_HYBRID_RESET)},
     z AS (SELECT query_id, node AS chunk_id, round(rank, 9) AS score FROM w WHERE step = {_STEPS} AND node IN (SELECT chunk_id FROM passages) UNION ALL SELECT query_id, chunk_id, score FROM dense WHERE query_id NOT IN (SELECT query_id FROM kept))
-    SELECT query_id, count(*) AS n, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM z) WHERE rank <= 200 GROUP BY query_id""")
+    SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM z) WHERE rank <= 200""")
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole path for all questions: facts, filter, seeds, PageRank, ranked passages; a row for each question's 200 best."""
+    """The whole path for all questions: facts, filter, seeds, PageRank, the 200 best passages of each. Both engines rank scores of nine decimals."""
     t, c = triples(spark, sf_dir), passages(spark, sf_dir)
-    ranked = retrieve.hybrid(_kept(spark, sf_dir), graph.mentions(t), _dense(spark, sf_dir), graph.arcs(edges(spark, sf_dir)), c, Config())
-    score = F.round("score", 9)
-    return ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum(score), 4).alias("total"), F.round(F.max(score), 6).alias("best"))
+    found = retrieve.hybrid(_kept(spark, sf_dir, t), graph.mentions(t), _dense(spark, sf_dir), graph.arcs(edges(spark, sf_dir, t)), c, replace(Config(), retrieval_top_k=1 << 30))
+    ranked = top_k(found.drop("rank").withColumn("score", F.round("score", 9)), 200, ["query_id"], "score", "chunk_id")
+    return ranked.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_KNN}, g AS (SELECT query_id, key_id FROM p WHERE a = b AND query_id <> key_id), k AS (SELECT unnest([1, 2, 5, 10, 20, 30, 50, 100, 150, 200]) AS k),

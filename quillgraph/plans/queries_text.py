@@ -9,7 +9,7 @@ from quillgraph.functions import json_repair, text
 from quillgraph.operators import evaluate, openie, qa, store
 from quillgraph.operators.topk import top_k
 from quillgraph.plans.registry import query
-from quillgraph.plans.tables import FACT, PASSAGES, TRIPLES, norm_sql, paragraphs, passages, questions, table, triples
+from quillgraph.plans.tables import FACT, PASSAGES, TRIPLES, norm_sql, paragraphs, passages, questions, sentences, spo, table, triples
 
 
 @query("SELECT doc_id, 'chunk-' || md5(text) AS chunk_id, 'file-' || md5(text) AS file_id FROM documents")
@@ -38,9 +38,9 @@ def chunk_insert_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TRIPLES} SELECT chunk_id, s, p, o FROM triples")
 def triples_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = passages(spark, sf_dir).select("chunk_id", F.slice(F.split(text.normalize(F.col("content")), " "), 1, 3).alias("t"))
-    rows = words.groupBy("chunk_id").agg(F.collect_list("t").alias("triples"))
-    return openie.chunk_triples(rows)
+    """Triples of all sentences, and the words of those that are too short for one, which count for nothing."""
+    each = sentences(passages(spark, sf_dir)).select("chunk_id", F.when(F.size("w") >= 3, F.array(*spo())).otherwise(F.slice("w", 1, 2)).alias("t"))
+    return openie.chunk_triples(each.groupBy("chunk_id").agg(F.collect_list("t").alias("triples")))
 
 
 @query("""SELECT c.conv_id, c.turn, sha256('{"messages":"' || replace(replace(replace(c.text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '","model":"m","seed":0,"temperature":0.0}') AS key, NOT EXISTS (SELECT 1 FROM conversations a WHERE a.role <> 'user' AND a.text = c.text) AS to_ask
@@ -53,12 +53,12 @@ def cache_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(ask.select("key"), "key", "left_semi").select("conv_id", "turn", "key", F.lit(True).alias("to_ask")).unionByName(hit.select("conv_id", "turn", "key", F.lit(False).alias("to_ask")))
 
 
-@query(r"""SELECT doc_id, regexp_extract(text, '^[^\n]*') AS first_line, text AS content FROM documents""")
+@query("""WITH p AS (SELECT source, doc_id, lang AS first, text AS rest FROM documents)
+    SELECT source, first AS first_line, first || chr(10) || string_agg(rest, chr(10) ORDER BY doc_id) AS content FROM p GROUP BY source, first""")
 def merge_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.lit(0).alias("n"))
-    multi = rows.where(F.contains("content", F.lit("\n")))
-    single = rows.where(~F.contains("content", F.lit("\n"))).select("doc_id", F.col("content").alias("first_line"), "content")
-    return text.merge_by_first_line(multi, "doc_id", "n", "content").select("doc_id", "first_line", "content").unionByName(single)
+    """Passages that begin with a line for their language; those of a source with the same first line become one."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat_ws("\n", "lang", "text").alias("content"))
+    return text.merge_by_first_line(rows, "source", "doc_id", "content").select("source", "first_line", "content")
 
 
 @query("SELECT doc_id, source || chr(10) || text AS content FROM documents")
@@ -109,12 +109,14 @@ def openie_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return openie.stats(rows)
 
 
-@query(f"""WITH {PASSAGES}, t AS (SELECT chunk_id, string_split({_WORDS}, ' ') AS w FROM passages)
-    SELECT chunk_id, CAST(len(list_distinct(w[1:3])) AS BIGINT) AS n_entities, CASE WHEN len(w) >= 3 THEN 1 ELSE 0 END::BIGINT AS n_triples FROM t""")
+@query(f"""WITH {TRIPLES}, e AS (SELECT chunk_id, count(DISTINCT x) AS n FROM (SELECT chunk_id, unnest([s, o]) AS x FROM triples) GROUP BY chunk_id), t AS (SELECT chunk_id, count(*) AS n FROM triples GROUP BY chunk_id)
+    SELECT chunk_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_entities, CAST(coalesce(t.n, 0) AS BIGINT) AS n_triples FROM passages LEFT JOIN e USING (chunk_id) LEFT JOIN t USING (chunk_id)""")
 def openie_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses are written as a model would, prose around them, and parsed again."""
-    w = F.slice(F.split(text.normalize(F.col("content")), " "), 1, 3)
-    rows = passages(spark, sf_dir).select("chunk_id", F.concat(F.lit("Here you are: "), F.to_json(F.struct(w.alias("named_entities"))), F.lit(" Done.")).alias("ner"), F.concat(F.lit("Sure.\n"), F.to_json(F.struct(F.array(w, w).alias("triples"))), F.lit("\n")).alias("trip"))
+    """Responses are written as a model would, prose around them, and parsed again: the triples of all sentences and their ends, some twice."""
+    each = sentences(passages(spark, sf_dir)).select("chunk_id", F.when(F.size("w") >= 3, F.array(*spo())).alias("t"))
+    per = each.groupBy("chunk_id").agg(F.collect_list("t").alias("t"))
+    ends = F.flatten(F.transform("t", lambda t: F.array(t[0], t[2])))
+    rows = per.select("chunk_id", F.concat(F.lit("Here you are: "), F.to_json(F.struct(ends.alias("named_entities"))), F.lit(" Done.")).alias("ner"), F.concat(F.lit("Sure.\n"), F.to_json(F.struct(F.concat("t", "t").alias("triples"))), F.lit("\n")).alias("trip"))
     return rows.select("chunk_id", F.size(json_repair.entities(F.col("ner"))).cast("long").alias("n_entities"), F.size(json_repair.triples(F.col("trip"))).cast("long").alias("n_triples"))
 
 
@@ -124,13 +126,13 @@ def json_repair_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("props IS NOT NULL").select("event_id", json_repair.repaired(F.col("props")).alias("fixed"))
 
 
-@query(f"""WITH {PASSAGES}, t AS (SELECT chunk_id, string_split({_WORDS}, ' ') AS w FROM passages)
-    SELECT chunk_id, 2::BIGINT AS total, CASE WHEN len(w) >= 3 THEN 1 ELSE 0 END::BIGINT AS valid,
-        CASE WHEN len(w) >= 3 THEN round(len(list_intersect(list_distinct(w[1:4]), [w[1], w[3]])) / len(list_distinct(w[1:4])), 2) ELSE 0 END AS coverage,
-        CASE WHEN len(w) >= 3 THEN 1 ELSE 0 END::BIGINT AS relations FROM t""")
+@query(f"""WITH {TRIPLES}, w AS (SELECT chunk_id, list_distinct(flatten(list(w))) AS e FROM sentences GROUP BY chunk_id), t AS (SELECT chunk_id, count(*) AS n, count(DISTINCT p) AS r, list_distinct(flatten(list([s, o]))) AS named FROM triples GROUP BY chunk_id)
+    SELECT chunk_id, CAST(coalesce(n, 0) + 1 AS BIGINT) AS total, CAST(coalesce(n, 0) AS BIGINT) AS valid, CASE WHEN n IS NULL THEN 0 ELSE round(len(list_intersect(e, named)) / len(e), 2) END AS coverage, CAST(coalesce(r, 0) AS BIGINT) AS relations
+    FROM w LEFT JOIN t USING (chunk_id)""")
 def triple_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.split(text.normalize(F.col("content")), " ")
-    rows = passages(spark, sf_dir).select("chunk_id", F.slice(w, 1, 4).alias("entities"), F.array(F.slice(w, 1, 3), F.slice(w, 1, 2)).alias("triples"))
+    """All words of a passage as its entities, and the triples of its sentences with one that has two parts."""
+    each = sentences(passages(spark, sf_dir)).select("chunk_id", "w", F.when(F.size("w") >= 3, F.array(*spo())).alias("t"))
+    rows = each.groupBy("chunk_id").agg(F.flatten(F.collect_list("w")).alias("entities"), F.concat(F.collect_set("t"), F.array(F.array(F.lit("x"), F.lit("y")))).alias("triples"))
     return evaluate.triple_quality(rows)
 
 

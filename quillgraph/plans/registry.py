@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from quillgraph.plans import queries_docs, queries_graph, queries_retrieval, queries_text  # noqa: E402, F401
+from quillgraph.plans import queries_docs, queries_engine, queries_graph, queries_retrieval, queries_text  # noqa: E402, F401

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import normalize
 from quillgraph.functions.vectors import bag_of_words
+from quillgraph.sources.shared import once
 
 DIMS = 1024
 
@@ -23,13 +24,26 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, content), each once."""
-    return paragraphs(spark, sf_dir).select("chunk_id", "content").distinct()
+    return paragraphs(spark, sf_dir).select("chunk_id", "content").dropDuplicates(["chunk_id"])
+
+
+def sentences(rows: DataFrame) -> DataFrame:
+    """rows (content) as a row per sentence with ``w``, its normalised words."""
+    return rows.withColumn("_s", F.explode(F.split("content", "[.!?]+"))).withColumn("w", F.split(normalize(F.col("_s")), " ")).drop("_s", "content")
+
+
+def spo(w: str = "w") -> list[Column]:
+    """The first word, the one in the middle, the last."""
+    return [F.get(w, F.lit(0)), F.get(w, F.floor(F.size(w) / 2).cast("int")), F.get(w, F.size(w) - 1)]
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, s, p, o): the first three normalised words of passages that have so many."""
-    rows = passages(spark, sf_dir).select("chunk_id", F.split(normalize(F.col("content")), " ").alias("t")).where(F.size("t") >= 3)
-    return rows.select("chunk_id", *[F.col("t")[i].alias(n) for i, n in enumerate("spo")])
+    """(chunk_id, s, p, o): of each sentence of three words and more the first word, the one in the middle and the last; each once for a passage.
+
+    They are written, as the queries on the graph read them several times.
+    """
+    rows = sentences(passages(spark, sf_dir)).where(F.size("w") >= 3)
+    return once(rows.select("chunk_id", *[c.alias(n) for c, n in zip(spo(), "spo", strict=True)]).distinct(), "triples")
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +81,8 @@ def vectors_sql(rows: str, key: str, text: str) -> str:
 
 PARAGRAPHS = "paragraphs AS (SELECT doc_id, content, 'chunk-' || md5(content) AS chunk_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content FROM documents) WHERE trim(content) <> '')"
 PASSAGES = PARAGRAPHS + ", passages AS (SELECT DISTINCT chunk_id, content FROM paragraphs)"
-TRIPLES = PASSAGES + f", triples AS (SELECT chunk_id, t[1] AS s, t[2] AS p, t[3] AS o FROM (SELECT chunk_id, string_split({norm_sql('content')}, ' ') AS t FROM passages) WHERE len(t) >= 3)"
+SENTENCES = PASSAGES + f", sentences AS (SELECT chunk_id, string_split({norm_sql('s')}, ' ') AS w FROM (SELECT chunk_id, unnest(string_split_regex(content, '[.!?]+')) AS s FROM passages))"
+TRIPLES = SENTENCES + ", triples AS (SELECT DISTINCT chunk_id, w[1] AS s, w[len(w) // 2 + 1] AS p, w[len(w)] AS o FROM sentences WHERE len(w) >= 3)"
 RELATIONS = f"""relations AS (SELECT DISTINCT chunk_id, {norm_sql('s')} AS s, {norm_sql('p')} AS p, {norm_sql('o')} AS o FROM (
     SELECT 'customer' AS chunk_id, c_name AS s, 'in nation' AS p, n_name AS o FROM customer JOIN nation ON c_nationkey = n_nationkey
     UNION ALL SELECT 'supplier', s_name, 'in nation', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey

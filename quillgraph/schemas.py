@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 TRIPLE = T.StructType([T.StructField(c, T.StringType()) for c in ("subject", "predicate", "object")])
 CHUNKS = T.StructType([T.StructField("hash_id", T.StringType()), T.StructField("content", T.StringType())])
 VECTORS = T.StructType([*CHUNKS.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+QUERY_VECTORS = T.StructType([T.StructField("purpose", T.StringType()), T.StructField("question", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 VERTICES = T.StructType([T.StructField("id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("content", T.StringType())])
 EDGES = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("kind", T.StringType())])
 OPENIE_DOC = T.StructType([T.StructField("idx", T.StringType()), T.StructField("passage", T.StringType()), T.StructField("extracted_entities", T.ArrayType(T.StringType())), T.StructField("extracted_triples", T.ArrayType(T.ArrayType(T.StringType())))])
@@ -23,5 +24,14 @@ QUESTIONS = T.StructType([
     T.StructField("supporting_facts", T.ArrayType(T.ArrayType(T.StringType()))),
     T.StructField("context", T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("sentences", T.ArrayType(T.StringType()))]))),
 ])
-FILES = T.StructType([T.StructField(c, T.StringType()) for c in ("file_id", "file_path", "abstract", "content")])
+STRUCTURE = {
+    "files": "doc_id string, file_id string, file_path string, abstract string, content string",
+    "doc_chunks": "doc_id string, chunk_id string, parent_id string, section long, depth int, headers map<string,string>, abstract string, content string, filter_content string, extracted_entities array<string>, extracted_triples array<array<string>>",
+    "codes": "doc_id string, chunk_id string, code_id string, abstract string, content string",
+    "tables": "doc_id string, chunk_id string, table_id string, abstract string, content string",
+}
+EXTRACTED = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("passage", T.StringType()), T.StructField("entities", T.ArrayType(T.StringType())), T.StructField("triples", T.ArrayType(T.ArrayType(T.StringType())))])
+TRIPLES = T.StructType([T.StructField(c, T.StringType()) for c in ("chunk_id", "s", "p", "o")])
+NEIGHBOURS = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("key_id", T.StringType()), T.StructField("score", T.DoubleType())])
+ARCS = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("p", T.DoubleType())])
 CACHE = T.StructType([T.StructField("key", T.StringType()), T.StructField("message", T.StringType()), T.StructField("metadata", T.StringType())])

@@ -5,11 +5,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
+from quillgraph.sources.state import State
 
 
-def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of {title, text, idx} as (idx, title, text, content): content is the title, a line feed, the text."""
-    rows = spark.read.schema(schemas.CORPUS).json(path, multiLine=True)
+def corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON list of {title, text, idx} as (idx, title, text, content): content is the title, a line feed, the text. lines: an object, or a list of them, on each line."""
+    rows = spark.read.schema(schemas.CORPUS).json(path, multiLine=not lines)
     return rows.select("idx", "title", "text", passage(F.col("title"), F.col("text")).alias("content"))
 
 
@@ -17,8 +18,8 @@ def passage(title: Column, text: Column) -> Column:
     return F.concat_ws("\n", title, text)
 
 
-def questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.QUESTIONS).json(path, multiLine=True)
+def questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(schemas.QUESTIONS).json(path, multiLine=not lines)
 
 
 def gold_docs(rows: DataFrame, joiner: str = "") -> DataFrame:
@@ -55,13 +56,17 @@ def markdown_file(spark: SparkSession, path: str) -> DataFrame:
     return markdown(spark, path)
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.json(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_openie(spark: SparkSession, path: str) -> DataFrame:
-    """(chunk_id, passage, entities, triples) of a results file {docs: [...]}."""
-    docs = spark.read.schema(schemas.OPENIE).json(path, multiLine=True).select(F.explode("docs").alias("d"))
+    """(chunk_id, passage, entities, triples) of a results file {docs: [...]}, or of a folder that write_openie wrote."""
+    if _exists(spark, f"{path}/docs"):
+        docs = spark.read.schema(schemas.OPENIE_DOC).json(f"{path}/docs").select(F.struct("*").alias("d"))
+    else:
+        docs = spark.read.schema(schemas.OPENIE).json(path, multiLine=True).select(F.explode("docs").alias("d"))
     return docs.select(F.col("d.idx").alias("chunk_id"), "d.passage", F.col("d.extracted_entities").alias("entities"), F.col("d.extracted_triples").alias("triples"))
 
 
@@ -73,17 +78,17 @@ def write_openie(rows: DataFrame, path: str) -> None:
     stats(rows).write.json(f"{path}/stats")
 
 
-def unextracted(chunks: DataFrame, openie: DataFrame) -> DataFrame:
-    """Chunks that have no extraction result."""
-    return chunks.join(openie.select("chunk_id"), "chunk_id", "left_anti").select(*chunks.columns)
-
-
 def write_structure(parts: dict[str, DataFrame], path: str) -> None:
     """Each table of a document structure as JSON lines in a folder of its name."""
     for name, rows in parts.items():
         rows.write.json(f"{path}/{name}")
 
 
+def read_structure(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that write_structure wrote. doc_id is text."""
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.STRUCTURE.items()}
+
+
 def structure_json(parts: dict[str, DataFrame]) -> DataFrame:
     """(file_id, json): each file with its chunks, codes and tables nested as lists."""
 
@@ -102,20 +107,12 @@ def valid_structure(rows: DataFrame) -> bool:
     return need <= set(rows.columns) and bool(rows.where(F.startswith("file_id", F.lit("file-")) & F.col("content").isNotNull() & F.col("file_path").isNotNull()).limit(1).count())
 
 
-def vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.VECTORS).parquet(path)
-
-
 def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges of a stored graph; empty tables if there is none."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/vertices")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schemas.VERTICES), spark.createDataFrame([], schemas.EDGES)
-    return spark.read.schema(schemas.VERTICES).parquet(f"{path}/vertices"), spark.read.schema(schemas.EDGES).parquet(f"{path}/edges")
+    state = State(spark, path)
+    return state.read("vertices", schemas.VERTICES), state.read("edges", schemas.EDGES)
 
 
 def write_graph(v: DataFrame, e: DataFrame, path: str) -> None:
-    v.write.mode("overwrite").parquet(f"{path}/vertices")
-    e.write.mode("overwrite").parquet(f"{path}/edges")
-
-
+    """Both tables at once, in the place of what was there."""
+    State(v.sparkSession, path).change(replace={"vertices": v, "edges": e})

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; one of our own only where none is set."""
-    try:
-        root = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # the session has no such setting
-        root = None
+    """A new folder name below ``spark.checkpoint.dir``. A folder of our own is made only where all run in one process; elsewhere it must be set."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -25,6 +25,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df computed now, and read from the shared folder from here on, however often it is used."""
+    return written(df, shared_dir(df.sparkSession, name))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

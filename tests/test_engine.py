@@ -144,7 +144,7 @@ def test_text(spark):
 
 def test_fallback(spark):
     c = spark.createDataFrame([("c1", "a b c d"), ("c2", "e f g")], "chunk_id string, content string")
-    second = openie.openie_with_fallback(c, Broken(), openie.FirstWords())
+    second = openie.openie_with_fallback(c, Broken(), openie.Sentences())
     assert second.where("ok_entities AND ok_triples").count() == 2
     none = openie.openie_with_fallback(c, Broken(), None)
     assert none.where("size(triples) = 0").count() == 2
@@ -188,9 +188,9 @@ def test_markdown(spark):
     assert nested["Deep"]["path"][-1] == "3. Sub" and "Main Content" in nested
     assert files.structure_json(parts).count() == 3 and files.valid_structure(parts["files"].select("file_id", "file_path", "content"))
     tasks = enrich.abstract_tasks(parts)
-    made = enrich.abstracts(tasks, Broken(), openie.FirstWords())
+    made = enrich.abstracts(tasks, Broken(), openie.Sentences())
     assert enrich.write_abstracts(parts, made)["files"].where("abstract = ''").count() == 0
-    assert enrich.extract(parts["doc_chunks"], openie.FirstWords()).where("size(extracted_entities) > 0").count() >= 4
+    assert enrich.extract(parts["doc_chunks"], openie.Sentences()).where("size(extracted_entities) > 0").count() == 3  # sentences of three words and more
 
 
 def test_files(spark, tmp_path):
