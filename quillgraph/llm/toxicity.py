@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -87,49 +88,61 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return -np.log(backed / backed.sum(axis=2, keepdims=True))
 
 
+@cache
+def _choices(c: str, again: bool, thrice: bool) -> list[tuple[int, float]]:
+    """What a character may stand for (0: an edge, -1: nothing) and the channel's cost of that. again: the one before is the same; thrice: so are the two before."""
+    if "a" <= c <= "z":
+        return [(ord(c) - 96, COST_LETTER)] + [(-1, 0.3 if thrice else COST_DROP_REPEAT)] * again
+    if c.isspace():
+        return [(-1, COST_DROP_SPACE), (0, COST_SPACE)]
+    if c in BETWEEN:
+        return [(-1, COST_DROP_SIGN), (0, COST_EDGE)]
+    if found := letters_for(c):
+        here = [(ord(x) - 96, COST_LOOKS) for x in found]
+        if not c.isalpha():
+            return [*here, (-1, COST_DROP_DIGIT if c.isdigit() else 2 * COST_LOOKS + COST_DROP_SIGN), (0, COST_DROP_DIGIT)]
+        return here + [(-1, COST_DROP_REPEAT)] * again
+    if c.isalpha():
+        return [(0, 0.0)]  # letters that the model does not cover part words
+    return [(-1, COST_DROP_SIGN + 1), (0, COST_EDGE)]
+
+
 def options(text: str) -> list[list[tuple[int, float]]]:
-    """The lattice: what each character may stand for (0: an edge, -1: nothing) and the channel's cost of that."""
-    out = []
-    for i, c in enumerate(text):
-        if "a" <= c <= "z":
-            here = [(ord(c) - 96, COST_LETTER)] + ([(-1, COST_DROP_REPEAT if i < 2 or text[i - 2] != c else 0.3)] if i and text[i - 1] == c else [])
-        elif c.isspace():
-            here = [(-1, COST_DROP_SPACE), (0, COST_SPACE)]
-        elif c in BETWEEN:
-            here = [(-1, COST_DROP_SIGN), (0, COST_EDGE)]
-        elif found := letters_for(c):
-            here = [(ord(x) - 96, COST_LOOKS) for x in found]
-            if not c.isalpha():
-                here += [(-1, COST_DROP_DIGIT if c.isdigit() else 2 * COST_LOOKS + COST_DROP_SIGN), (0, COST_DROP_DIGIT)]
-            elif i and text[i - 1] == c:
-                here += [(-1, COST_DROP_REPEAT)]
-        elif c.isalpha():
-            here = [(0, 0.0)]  # letters that the model does not cover part words
-        else:
-            here = [(-1, COST_DROP_SIGN + 1), (0, COST_EDGE)]
-        out.append(here)
-    return out
-
-
-def restore(text: str, model: np.ndarray) -> str:
+    """The lattice: a list of choices for each character."""
+    before = "\n" + text
+    return [_choices(c, i > 0 and c == b, i > 1 and c == b and c == text[i - 2]) for i, (c, b) in enumerate(zip(text, before, strict=False))]
+
+
+def restore(text: str, model: np.ndarray | list[float]) -> str:
     """The likeliest words behind a written string."""
     return best_path(options(text), model)
 
 
-def best_path(lattice: list[list[tuple[int, float]]], model: np.ndarray) -> str:
-    """The words of the cheapest way through a lattice, as lower-case letters with single spaces; Viterbi over pairs of letters."""
-    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+def best_path(lattice: list[list[tuple[int, float]]], model: np.ndarray | list[float]) -> str:
+    """The words of the cheapest way through a lattice, as lower-case letters with single spaces; Viterbi over pairs of letters.
+
+    model: [27, 27, 27], or the same as one list of plain numbers, which are read faster.
+    """
+    flat = model if isinstance(model, list) else model.ravel().tolist()
+    # a state is 27 times the letter before the last, plus the last; a path ends in its last letter and what came before
+    paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for here in [*lattice, [(0, 0.0)]]:
-        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (cost, back) in paths.items():
+        if len(here) == 1 and len(paths) == 1 and here[0][0] > 0:  # the common case, written out
+            ((state, (cost, back)),), ((symbol, channel),) = paths.items(), here
+            paths = {state % SYMBOLS * SYMBOLS + symbol: (cost + channel + flat[state * SYMBOLS + symbol], (symbol, back))}
+            continue
+        step: dict[int, tuple[float, tuple | None]] = {}
+        for state, (cost, back) in paths.items():
+            last = state % SYMBOLS
             for symbol, channel in here:
-                if symbol < 0 or symbol == 0 and b == 0:
-                    key, total, link = (a, b), cost + channel, back
+                if symbol > 0:
+                    key, total, link = last * SYMBOLS + symbol, cost + channel + flat[state * SYMBOLS + symbol], (symbol, back)
+                elif symbol < 0 or not last:
+                    key, total, link = state, cost + channel, back
                 else:
-                    key, total, link = (b, symbol), cost + channel + model[a, b, symbol], (symbol, back)
-                    if symbol == 0:
-                        key = (0, 0)
-                if key not in step or total < step[key][0]:
+                    key, total, link = 0, cost + channel + flat[state * SYMBOLS], (0, back)
+                old = step.get(key)
+                if old is None or total < old[0]:
                     step[key] = (total, link)
         paths = step
     _, link = min(paths.values(), key=lambda x: x[0])
@@ -145,46 +158,56 @@ class Restorer:
     """The words of a text as the lattice restores them. Stretches seen before come from a bounded memory."""
 
     model: np.ndarray
+    most: int = 200_000
     seen: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    single: dict[str, bool] = field(default_factory=dict)
+    single: set[str] = field(default_factory=set)
+
+    def __post_init__(self) -> None:
+        self.flat = np.asarray(self.model).ravel().tolist()
 
     def _restored(self, stretch: str) -> tuple[str, ...]:
         core = stretch.strip(_ENDS)
         if _PLAIN.fullmatch(core):
-            found = (core,)
-        else:
-            found = tuple(restore(core, self.model).split())
-        if len(stretch) <= 64:  # a memory of 200,000 short strings
-            if len(self.seen) >= 200_000:
-                self.seen.clear()
-            self.seen[stretch] = found
-        return found
-
-    def _single(self, token: str) -> bool:
-        """Whether the token is one character but for signs at its ends that resemble no letter."""
-        alone = len(token.strip(_ENDS)) <= 1
-        if len(self.single) >= 200_000:
-            self.single.clear()
-        if len(token) <= 64:
-            self.single[token] = alone
-        return alone
+            return (core,)
+        lattice = options(core)
+        if max(map(len, lattice), default=1) == 1:  # a single way, accents and other letters in it
+            return tuple("".join(chr(96 + here[0][0]) if here[0][0] else " " for here in lattice).split())
+        return tuple(best_path(lattice, self.flat).split())
 
     def words(self, text: str) -> set[str]:
-        found: set[str] = set()
-        seen, single, tokens = self.seen, self.single, text.lower().split()
-        start, before = 0, True
-        for i, t in enumerate(tokens):
-            alone = single.get(t)
-            if alone is None:
-                alone = self._single(t)
-            if i and not (alone or before):  # white space between two longer tokens parts words
-                stretch = tokens[start] if i - start == 1 else " ".join(tokens[start:i])
-                got = seen.get(stretch)
-                found.update(self._restored(stretch) if got is None else got)
-                start = i
-            before = alone
-        if tokens:
-            found.update(self._restored(" ".join(tokens[start:])))
+        if len(self.seen) + len(self.single) > self.most:
+            self.seen.clear()
+            self.single.clear()
+        tokens = text.lower().split()
+        kinds = set(tokens)
+        for t in kinds.difference(self.seen, self.single):
+            if len(t.strip(_ENDS)) <= 1:
+                self.single.add(t)
+            else:
+                self.seen[t] = self._restored(t)
+        joined: list[str] = []
+        if single := kinds & self.single:
+            # white space beside a single character belongs to the lattice, so its neighbours are one stretch with it
+            runs: list[list[int]] = []
+            for i in (i for i, t in enumerate(tokens) if t in single):
+                if runs and i - 1 <= runs[-1][1]:
+                    runs[-1][1] = i + 1
+                else:
+                    runs.append([max(0, i - 1), i + 1])
+            apart = bytearray(b"\1") * len(tokens)
+            for first, last in runs:
+                part = tokens[first : last + 1]
+                apart[first : last + 1] = bytes(len(part))
+                joined.append(" ".join(part))
+            kinds = set(compress(tokens, apart))
+        found = set().union(*map(self.seen.__getitem__, kinds))
+        for stretch in joined:
+            if stretch not in self.seen:
+                self.seen[stretch] = self._restored(stretch)
+            found.update(self.seen[stretch])
+        for t in (*tokens, *joined):
+            if len(t) > 64:  # what is kept is short
+                self.seen.pop(t, None)
         return found
 
 
