@@ -1,4 +1,4 @@
-"""All queries by name and their SQL."""
+"""All queries by name and their SQL; the modules beside this one fill it."""
 
 from __future__ import annotations
 
@@ -21,6 +21,3 @@ def query(sql: str | None = None):
         return f
 
     return add
-
-
-from quillgraph.plans import queries_docs, queries_engine, queries_graph, queries_retrieval, queries_text  # noqa: E402, F401
