@@ -11,22 +11,19 @@ from quillgraph.llm.common import remove, written
 def components(edges: DataFrame, root: str) -> DataFrame:
     """(id, component) of every end of edges (a, b); component is the least id that can be reached.
 
-    Each round takes the least label of all neighbours (summed up before it shuffles), then the label of that label. Both tables are
-    written in each round, so lineage stays short; the rounds grow with the logarithm of the longest path.
+    Each round takes the least of a node's label, of its neighbours' labels (summed up before they shuffle) and of the label of its label. The
+    labels are written in each round, so lineage stays short; the rounds grow with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{root}/edges")
-    labels, path, turn = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "", 0
-    labels = written(labels, path := f"{root}/labels0")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
-        met = labels.join(near, "id").select("id", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved"))
+    path, turn = f"{root}/labels0", 0
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component"), F.lit(True).alias("moved")), path)
+    while labels.where("moved").limit(1).count():
         turn += 1
-        met = written(met, f"{root}/met{turn}")
-        if not met.where("moved").limit(1).count():
-            return labels
-        up = met.select(F.col("id").alias("component"), F.col("component").alias("higher"))
+        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("higher"))
+        met = labels.select("id", "component").join(near, "id").join(up, "component").select("id", "component", F.least("component", "least", "higher").alias("new"))
         old, path = path, f"{root}/labels{turn}"
-        labels = written(met.select("id", "component").join(up, "component").select("id", F.least("component", "higher").alias("component")), path)
+        labels = written(met.select("id", F.col("new").alias("component"), (F.col("new") < F.col("component")).alias("moved")), path)
         remove(spark, old)
-        remove(spark, f"{root}/met{turn}")
+    return labels.select("id", "component")
