@@ -72,6 +72,61 @@ def test_ngram_counts_by_brute_force(monkeypatch):
         assert all((language_id.counts(t) == w).all() for t, w in zip(texts, want, strict=True)), piece
 
 
+def slow_ftrl(rows, dims, classes, alpha, beta, l1, l2, epochs, seed):
+    """Coordinate by coordinate, as the update is written down."""
+    z, n = np.zeros((dims + 1, classes)), np.zeros((dims + 1, classes))
+
+    def weight(i, c):
+        one, two = (l1, l2) if i < dims else (0.0, 0.0)
+        if abs(z[i, c]) <= one:
+            return 0.0
+        return -(z[i, c] - np.sign(z[i, c]) * one) / ((beta + n[i, c] ** 0.5) / alpha + two)
+
+    order, rng = np.arange(len(rows)), np.random.default_rng(seed)
+    for _ in range(epochs):
+        rng.shuffle(order)
+        for r in order:
+            at, x, y = rows[r]
+            at, x = [*at, dims], [*x, 1.0]
+            w = [[weight(i, c) for c in range(classes)] for i in at]
+            logits = [sum(v * w[k][c] for k, v in enumerate(x)) for c in range(classes)]
+            top = np.exp(np.array(logits) - max(logits))
+            p = top / top.sum()
+            for k, i in enumerate(at):
+                for c in range(classes):
+                    g = (p[c] - (c == y)) * x[k]
+                    sigma = ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / alpha
+                    z[i, c] += g - sigma * w[k][c]
+                    n[i, c] += g * g
+    return np.array([[weight(i, c) for c in range(classes)] for i in range(dims + 1)])
+
+
+def test_ftrl_by_brute_force():
+    r = np.random.default_rng(4)
+    rows = [(np.sort(r.choice(12, 4, replace=False)), r.normal(size=4), int(r.integers(3))) for _ in range(60)]
+    w, b = linear.ftrl(rows, 12, 3, alpha=0.3, beta=0.7, l1=0.2, l2=0.1, epochs=2, seed=9)
+    want = slow_ftrl(rows, 12, 3, 0.3, 0.7, 0.2, 0.1, 2, 9)
+    assert np.allclose(w, want[:12]) and np.allclose(b, want[12]) and (w == 0).any()
+
+
+def test_predictions_by_brute_force(spark):
+    """A fitted model's answers, n-gram by n-gram: weights of 1 + log of the count, by the share of documents, scaled to length one."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(d, F.lit(True), sample_rows=100, least_rows=10)
+    texts = {r["doc_id"]: r["text"] for r in d.orderBy("doc_id").limit(25).collect()}
+    seen = sum((slow_counts(r["text"]) > 0).astype(int) for r in d.select("text").collect())
+    total = d.count()
+    assert np.allclose(model.idf, np.log((1 + total) / (1 + seen)) + 1, atol=1e-5)
+    got = {r["doc_id"]: r for r in language_id.identify(d, model).collect()}
+    for i, text in texts.items():
+        n = slow_counts(text)
+        x = np.where(n > 0, (1 + np.log(np.maximum(n, 1))) * model.idf, 0)
+        z = (x / np.sqrt((x * x).sum())) @ model.weights + model.bias
+        p = np.exp(z / model.temperature)
+        p /= p.sum()
+        assert got[i]["lang_pred"] == model.languages[int(p.argmax())] and got[i]["score"] == pytest.approx(p.max(), abs=1e-4)
+
+
 def test_ftrl_learns_and_prunes():
     r = np.random.default_rng(0)
     rows = []
@@ -257,25 +312,84 @@ def test_toxicity_odd(odd, labels, empty):
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(odd, labels.limit(0)).where("predicted = 0").count() == 16
 
 
-def test_pipeline(spark, odd):
-    """Stage by stage on the smallest tables: each decision is that of the operator run by itself."""
+def test_good_documents_stay(spark, odd, labels, empty):
+    """keep_good keeps the rows, with all their columns, that the score of the whole text puts at the threshold and above."""
+    net = quality.fit(odd, labels, epochs=2)
+    wide = odd.withColumns({"score": odd["doc_id"], "held_out": odd["text"]})
+    score = lambda t: slow_score(net, np.frombuffer((t or "").encode(), np.uint8))
+    levels = {r["text"]: score(r["text"]) for r in wide.collect()}
+    for threshold in (0.0, sorted(levels.values())[len(levels) // 2] + 1e-3, 1.1):
+        got = quality.keep_good(wide, net, threshold)
+        assert got.columns == wide.columns and got.count() == sum(levels[r["text"]] >= threshold for r in wide.collect())
+    assert quality.keep_good(empty, net).count() == 0
+
+
+def brute_near(rows):
+    """The one row of each group that stays, by all pairs of sets of five words."""
+    from tests.llm.test_sets import brute_components
+
+    of, sizes = brute_components([t for _, t in rows], 5)
+    return {i for k, (i, _) in enumerate(rows) if not sizes[k] or of[k] == k}
+
+
+def test_pipeline(spark, monkeypatch):
+    """Stage by stage on the smallest tables, each decision against a brute-force version of its operator."""
     import corpus_pipeline as p
-    from quillgraph.llm import decontaminate, line_dedup, near_dedup
+    from quillgraph.llm import packing
+    from tests.llm.test_native import brute_lines, decontaminated_by_hand
+    from tests.llm.test_sets import check_packing
 
     assert [f for _, f in p.STAGES] == [p.good_documents, p.without_repeated_lines, p.one_of_each_group, p.without_benchmark, p.packed]
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, held = docs.columns, docs
-    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
-    good = p.good_documents(spark, held, SF).cache()
-    assert good.columns == columns and ids(good) == ids(quality.quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
+    nets, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: nets.append(fit(*a, **k)) or nets[-1])
+    held = lambda df: [(r["doc_id"], r["text"]) for r in df.orderBy("doc_id").collect()]
+    good = p.good_documents(spark, docs, SF).cache()
+    net = quality.ByteNet(*(x.astype(np.float64) for x in nets[0].all()))
+    for i, text in held(docs)[:40]:
+        level = slow_score(net, np.frombuffer(text.encode(), np.uint8))
+        if abs(level - 0.3) > 1e-3:
+            assert (level >= 0.3) == (i in {k for k, _ in held(good)})
     lines = p.without_repeated_lines(spark, good, SF).cache()
-    assert lines.columns == columns and {(r["doc_id"], r["text"]) for r in lines.collect()} == {(r["doc_id"], r["text"]) for r in line_dedup.line_dedup(good).collect()}
+    assert held(lines) == list(zip([i for i, _ in held(good)], brute_lines([t for _, t in held(good)]), strict=True))
     near = p.one_of_each_group(spark, lines, SF).cache()
-    assert near.columns == columns and ids(near) == ids(near_dedup.near_dedup(lines, width=5).where("kept"))
+    assert {i for i, _ in held(near)} == brute_near(held(lines))
+    items = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect():
+        items.setdefault(r["text"], r["item_id"])
     clean = p.without_benchmark(spark, near, SF).cache()
-    assert clean.columns == columns and ids(clean) == ids(decontaminate.decontaminate(near, spark.read.parquet(f"{SF}/benchmark.parquet")).where("kept"))
-    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    assert not any(i in r["text"] for r in clean.collect() for i in items)
-    assert ids(p.packed(spark, clean, SF)) == ids(clean)
-    out = p.run(spark, SF)
-    assert ids(out) == ids(clean) and out.count() >= clean.count()
+    some = held(near)[:60] + [x for x in held(near)[60:] if any(t in x[1] for t in items)]
+    want = decontaminated_by_hand([t for _, t in some], [(n, t) for t, n in items.items()])
+    kept = {i for i, _ in held(clean)}
+    assert [i in kept for i, _ in some] == [w[0] for w in want] and not all(w[0] for w in want)
+    assert not any(t in x for _, x in held(clean) for t in items)
+    rows = p.packed(spark, clean, SF).collect()
+    check_packing(held(clean), rows, (512, 1024, 2048, 4096))
+    assert {r["doc_id"] for r in rows} == kept and all(df.columns == docs.columns for df in (good, lines, near, clean))
+    assert sorted(map(str, p.run(spark, SF).collect())) == sorted(map(str, rows)) and packing.bins(p.packed(spark, clean, SF)).count() == len({(r["shard"], r["bin"]) for r in rows})
+
+
+def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """Nulls, repeats, wordless texts and clashing columns go through all stages; on empty tables every stage gives no rows."""
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 14)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([(1, "seven wise owls watch the river flow past the old mill"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    docs = odd.withColumns({c: F.lit(1) for c in ("near_id", "leak_key", "runs", "kept_text", "shard")})
+    for _, stage in p.STAGES[:2]:
+        docs = stage(spark, docs, f"{tmp_path}/a")
+        assert docs.count() == 16  # all labels are good, and lines go but documents stay
+    near = p.one_of_each_group(spark, docs, f"{tmp_path}/a")
+    ids = [r["doc_id"] for r in near.collect()]
+    assert len(ids) == len(set(ids) - {None}) + ids.count(None) and {1, 4, 5, 6, 7} <= set(ids)
+    clean = p.without_benchmark(spark, near, f"{tmp_path}/a")
+    assert 1 not in {r["doc_id"] for r in clean.collect()} and clean.count() < near.count()
+    assert set(clean.columns) == set(odd.columns) | {"near_id", "leak_key", "runs", "kept_text", "shard"}
+    assert p.packed(spark, clean, f"{tmp_path}/a").count() >= clean.count()
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    empty.write.parquet(f"{tmp_path}/b/documents.parquet")
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, f"{tmp_path}/b").count() == 0
+    assert p.run(spark, f"{tmp_path}/b").count() == 0
