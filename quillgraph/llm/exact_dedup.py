@@ -6,7 +6,8 @@
    next bit of the key, until none is overfull or one single key fills it. Bucket capacity grows with the input,
    so the directory has a bound (``directory_limit`` buckets and the two halves of each).
 3. A bucket is a contiguous range of keys. Owner tasks take ranges, read entries in key order, chain the
-   entries whose key is equal, and compare bytes: equal bytes are one class, others a new link of the chain.
+   entries whose key is equal, and compare bytes: equal bytes are one class, others a new link of the chain. Bytes go to
+   the owners only for keys that several entries have.
 4. Entries learn their class from the index; members are read from the pages and never pass an owner.
 """
 
@@ -140,7 +141,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def exact_dedup(docs: DataFrame, *, page_bytes: int = 32 << 20, page_rows: int = 20_000, bucket_bytes: int = 16 << 20, directory_limit: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, page_bytes: int = 32 << 20, page_rows: int = 20_000, bucket_bytes: int = 16 << 20, directory_limit: int = 4096, broadcast_keys: int = 1_000_000) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Two texts are equal if they are identical once space, tab, line feed, vertical tab, form feed and carriage
@@ -155,7 +156,12 @@ def exact_dedup(docs: DataFrame, *, page_bytes: int = 32 << 20, page_rows: int =
     pages = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _fold(it, page_bytes, page_rows), ENTRY), f"{root}/pages")
     buckets = directory(pages.select("key", "weight"), bucket_bytes, directory_limit)
     starts = F.array(*[F.lit(b[0]) for b in buckets]) if len(buckets) <= 1 else None
-    index = pages.select("entry", "key", "bytes", "n", "best_cp", "best_id")
+    # a key that one entry has alone needs no comparison, so its bytes stay where they are
+    several = pages.groupBy("key").agg(F.count("*").alias("entries")).where("entries > 1").select("key", F.lit(True).alias("several"))
+    several = written(several, f"{root}/several")
+    if several.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        several = F.broadcast(several)
+    index = pages.select("entry", "key", "bytes", "n", "best_cp", "best_id").join(several, "key", "left").withColumn("bytes", F.when(F.col("several"), F.col("bytes"))).drop("several")
     if starts is None:
         at = spark.createDataFrame([(n, first >> (KEY_BITS - depth), depth) for n, (first, _, depth) in enumerate(buckets)], "bucket long, prefix long, depth int")
         depths = sorted({b[2] for b in buckets})

@@ -45,7 +45,7 @@ def test_exact_small_pages_and_buckets(spark):
     texts = [r.choice("abcdefgh") * r.randrange(1, 4) + " " * r.randrange(3) for _ in range(300)] + ["same"] * 150
     key = lambda df: sorted(map(str, df.collect()))
     d = docs(spark, texts).repartition(5)
-    assert key(exact_dedup(d)) == key(exact_dedup(d, page_rows=7, bucket_bytes=100, directory_limit=64))
+    assert key(exact_dedup(d)) == key(exact_dedup(d, page_rows=7, bucket_bytes=100, directory_limit=64)) == key(exact_dedup(d, page_rows=7, broadcast_keys=2))
 
 
 def test_directory(spark):
