@@ -20,6 +20,8 @@ LEVELS = 6
 LEAST_LINES = 5
 #: Numbers and marks that a title may begin with and that numbering replaces.
 NUMBERED = r"(?U)^[\d.\-\s)、）]+"
+#: What makes a line a heading in the second dialect, a heading line in the first, and a title that has a number.
+HEADING, HEADING_LINE, HAS_NUMBER = r"^(#{1,6})\s+(.+)$", r"^#{1,6}(\s|$)", r"^\d+(\.\d+)*\.?\s"
 
 
 def _doc() -> WindowSpec:
@@ -58,8 +60,8 @@ def fenced(rows: DataFrame) -> DataFrame:
 def headings(rows: DataFrame, dialect: int = 1) -> DataFrame:
     """With ``level`` (null for other lines) and ``title``."""
     if dialect == 2:
-        found = F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 1)
-        title = strip(F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 2))
+        found = F.regexp_extract("line", HEADING, 1)
+        title = strip(F.regexp_extract("line", HEADING, 2))
         return rows.withColumn("level", F.when(found != "", F.length(found))).withColumn("title", F.when(found != "", title))
     rows = fenced(rows).withColumn("_s", strip(F.col("line")))
     hashes = F.length(F.regexp_extract("_s", "^#*", 0))
@@ -72,7 +74,7 @@ def numbers(rows: DataFrame, dialect: int = 1) -> DataFrame:
     """With ``number``: how many headings of each level since the last one above it, joined by points, without zeros."""
     counted = F.col("level").isNotNull()
     if dialect == 2:
-        counted = counted & ~F.rlike("title", F.lit(r"^\d+(\.\d+)*\.?\s"))
+        counted = counted & ~F.rlike("title", F.lit(HAS_NUMBER))
     rows = rows.withColumn("_h", F.when(counted, F.col("level")))
     for k in range(1, LEVELS + 1):
         group = f"_g{k}"
@@ -97,7 +99,7 @@ def sections(docs: DataFrame) -> DataFrame:
     the content begins with them. Sections with the same headers that follow one another are one.
     """
     rows = headings(lines(docs)).withColumn("line", strip(F.col("line")))
-    rows = rows.withColumn("level", F.when(F.rlike("line", F.lit(r"^#{1,6}(\s|$)")), F.col("level")))
+    rows = rows.withColumn("level", F.when(F.rlike("line", F.lit(HEADING_LINE)), F.col("level")))
     for k in range(1, LEVELS + 1):
         seen = F.when(F.col("level") == k, F.struct(F.col("title").alias("t"))).when(F.col("level") < k, F.struct(F.lit(None).cast("string").alias("t")))
         rows = rows.withColumn(f"h{k}", F.last(seen, ignorenulls=True).over(_up_to())["t"])

@@ -375,3 +375,57 @@ def stream_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     index_stream(arriving(spark, f"{root}/in"), store.insert, f"{root}/c1").awaitTermination()
     delete_stream(arriving(spark, f"{root}/gone"), lambda gone: store.delete(store.id_of(gone).select("hash_id")), f"{root}/c2").awaitTermination()
     return store.texts()
+
+
+class FailsFirst:
+    """A service that fails at the first request of each prompt."""
+
+    def __init__(self) -> None:
+        self.seen: set[str] = set()
+
+    def __call__(self, messages: list[dict[str, str]]) -> tuple[str, dict]:
+        said = messages[-1]["content"]
+        if said not in self.seen:
+            self.seen.add(said)
+            raise RuntimeError("busy")
+        return said + "!", {}
+
+
+@query("SELECT item_id AS query_id, 'ok' AS status, text || '!' AS response FROM benchmark")
+def retried_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = openie.generate(questions(spark, sf_dir), lambda r: [{"role": "user", "content": r["question"]}], FailsFirst(), "query_id", attempts=2, wait_s=0.0)
+    return got.select("query_id", "status", "response")
+
+
+@query(f"""WITH {_RAW}, e AS (SELECT chunk_id, count(DISTINCT x) AS n FROM (SELECT chunk_id, unnest([s, o]) AS x FROM said) GROUP BY chunk_id), t AS (SELECT chunk_id, count(*) AS n FROM said GROUP BY chunk_id)
+    SELECT chunk_id, CASE WHEN length(content) % 5 = 0 THEN 1 ELSE coalesce(e.n, 0) END AS n_entities, CASE WHEN length(content) % 5 = 0 THEN 1 ELSE coalesce(t.n, 0) END AS n_triples FROM passages LEFT JOIN e USING (chunk_id) LEFT JOIN t USING (chunk_id)""")
+def structure_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities and triples written into the chunks of a structure; a part of them has some already and keeps them."""
+    done = F.length("content") % 5 == 0
+    some = lambda made, kind: F.when(done, made).otherwise(F.array().cast(kind))
+    rows = passages(spark, sf_dir).select("chunk_id", F.when(done, "").otherwise(F.col("content")).alias("filter_content"), some(F.array(F.lit("e")), "array<string>").alias("extracted_entities"), some(F.array(F.array(*map(F.lit, "abc"))), "array<array<string>>").alias("extracted_triples"))
+    got = enrich.extract(rows, openie.Sentences())
+    return got.select("chunk_id", F.size("extracted_entities").cast("long").alias("n_entities"), F.size("extracted_triples").cast("long").alias("n_triples"))
+
+
+@query("SELECT 'doc' || doc_id || '.md' AS name, CASE WHEN doc_id % 2 = 0 THEN '# é ' || lang ELSE '# 文档 ' || doc_id END AS content FROM documents")
+def markdown_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of Markdown files, some in UTF-8 and some in GBK, beside files that are none."""
+    from pyarrow import fs
+
+    root = shared_dir(spark, "tree")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# é "), "lang")).otherwise(F.concat(F.lit("# 文档 "), F.col("doc_id").cast("string"))).alias("content"))
+
+    def write(batches):
+        store, top = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for i, content in zip(b["doc_id"], b["content"], strict=True):
+                folder = f"{top}/{i % 7}/{i % 3}"
+                store.create_dir(folder, recursive=True)
+                for name, data in ((f"doc{i}.md", content.encode("utf-8" if i % 2 == 0 else "gbk")), (f"doc{i}.txt", b"no")):
+                    with store.open_output_stream(f"{folder}/{name}") as out:
+                        out.write(data)
+            yield b[["doc_id"]]
+
+    rows.mapInPandas(write, "doc_id long").count()
+    return files.markdown(spark, root).select(F.substring_index("path", "/", -1).alias("name"), "content")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-TRIPLE = T.StructType([T.StructField(c, T.StringType()) for c in ("subject", "predicate", "object")])
 CHUNKS = T.StructType([T.StructField("hash_id", T.StringType()), T.StructField("content", T.StringType())])
 VECTORS = T.StructType([*CHUNKS.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 QUERY_VECTORS = T.StructType([T.StructField("purpose", T.StringType()), T.StructField("question", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
@@ -12,7 +11,6 @@ VERTICES = T.StructType([T.StructField("id", T.StringType()), T.StructField("kin
 EDGES = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("kind", T.StringType())])
 OPENIE_DOC = T.StructType([T.StructField("idx", T.StringType()), T.StructField("passage", T.StringType()), T.StructField("extracted_entities", T.ArrayType(T.StringType())), T.StructField("extracted_triples", T.ArrayType(T.ArrayType(T.StringType())))])
 OPENIE = T.StructType([T.StructField("docs", T.ArrayType(OPENIE_DOC)), T.StructField("avg_ent_chars", T.DoubleType()), T.StructField("avg_ent_words", T.DoubleType())])
-RESULTS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("doc_id", T.StringType()), T.StructField("content", T.StringType()), T.StructField("score", T.DoubleType())])
 CORPUS = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("idx", T.LongType())])
 PARAGRAPH = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("paragraph_text", T.StringType()), T.StructField("is_supporting", T.BooleanType()), T.StructField("idx", T.LongType())])
 QUESTIONS = T.StructType([

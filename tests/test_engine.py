@@ -16,6 +16,7 @@ from quillgraph.operators.knn import knn
 from quillgraph.operators.ppr import ppr
 from quillgraph.operators.store import VectorStore
 from quillgraph.sources import files
+from quillgraph.sources.shared import shared_dir
 from quillgraph.sources.state import State
 
 DOCS = ["Mira Ostrow is a glassblower.", "Jonas Felde is a glassblower.", "Petra Quill is a glassblower.", "Tamsin heard the silver bell.", "The baker carried the cracked bell across the frozen lake.", "Once the bell rang again, Tamsin found the baker at last.", "Ilse Varga's workshop stands in Torvik.", "Ruben was raised in Calden.", "Torvik belongs to Haldane Shire."]
@@ -205,6 +206,21 @@ def test_model_filter(spark):
     assert retrieve.ModelFilter(Broken(), attempts=1)(c).count() == 0
 
 
+class Elsewhere:
+    """A session on a cluster that names no shared folder."""
+
+    conf = {}
+    sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+
+def test_a_cluster_has_to_name_a_shared_folder():
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(Elsewhere(), "x")
+    Elsewhere.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(Elsewhere(), "x")
+
+
 def test_prompt_from_a_file(tmp_path):
     from quillgraph.prompts import load_prompt, render_messages
 
