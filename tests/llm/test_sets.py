@@ -313,7 +313,7 @@ def test_packing_odd(odd, empty):
 
 
 def test_packing_in_small_shards(odd):
-    rows = packing.pack(odd, capacities=(8, 64), shard_pieces=500).collect()
+    rows = packing.pack(odd, capacities=(8, 64), shard_pieces=100).collect()
     check_packing([(r["doc_id"], r["text"]) for r in odd.collect()], rows, (8, 64))
     assert len({r["shard"] for r in rows}) > 3
 
