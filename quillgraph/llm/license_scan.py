@@ -34,7 +34,7 @@ TEMPLATES = (
 )
 #: Whatever parts words: ASCII that is neither digit nor lower-case letter.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SHARE, NEAR, DOCUMENT = 0.8, 2, -1
+SHARE, NEAR = 0.8, 2
 
 
 def pairs() -> list[tuple[int, str, bool, int, int, str, str]]:
@@ -47,9 +47,9 @@ def pairs() -> list[tuple[int, str, bool, int, int, str, str]]:
 
 
 def template_pairs(spark: SparkSession) -> DataFrame:
-    """The templates' pairs, some two hundred rows whatever the input, and the mark that each document carries."""
+    """The templates' pairs, some two hundred rows whatever the input."""
     rows = ", ".join(f"({k}, '{label}', {str(base).lower()}, {n}, {t}, '{a}', '{b}')" for k, label, base, n, t, a, b in pairs())
-    return spark.sql(f"SELECT k, label, base, n_pairs, t, a, b, xxhash64(a, b) AS hash FROM VALUES {rows} AS v(k, label, base, n_pairs, t, a, b) UNION ALL SELECT {DOCUMENT}, '', false, 1, 0, '', '', {DOCUMENT}L")
+    return spark.sql(f"SELECT k, label, base, n_pairs, t, a, b, xxhash64(a, b) AS hash FROM VALUES {rows} AS v(k, label, base, n_pairs, t, a, b)")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -61,39 +61,40 @@ def license_scan(docs: DataFrame) -> DataFrame:
     words. Rows with the same doc_id (or null) and text get the same result, once for each. Empty table: no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    low = F.lower(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("K"), F.lit("Å")))  # the Kelvin sign's small letter is a k
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.array_remove(F.split(low, GAP), "").alias("w"))
-    words = words.withColumn("n", F.size("w"))
-    rest = F.greatest(F.col("n") - 1, F.lit(0))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    low = F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))  # the Kelvin sign's small letter is a k
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.array_remove(F.split(low, GAP), "").alias("w"))
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
     grams = F.zip_with(F.slice("w", F.lit(1), rest), F.slice("w", F.lit(2), rest), lambda a, b: F.struct(F.xxhash64(a, b).alias("hash"), a.alias("a"), b.alias("b")))
-    mark = F.array(F.struct(F.lit(DOCUMENT).cast("long").alias("hash"), F.lit("").alias("a"), F.lit("").alias("b")))
-    every = words.select("doc_id", "key", "n", F.posexplode(F.concat(grams, mark)).alias("p", "g"))
+    every = words.select("doc_id", "key", F.posexplode(grams).alias("p", "g"))
     t = F.broadcast(template_pairs(spark)).alias("t")
     hits = every.join(t, (F.col("g.hash") == F.col("t.hash")) & (F.col("g.a") == F.col("t.a")) & (F.col("g.b") == F.col("t.b")))
 
-    doc = ["doc_id", "key", "n"]
-    place = F.when(F.col("k") == DOCUMENT, 0).otherwise(F.col("p") - F.col("t.t"))
-    # the places of a template that have a vote, however many the template has
-    votes = hits.groupBy(*doc, "k", "label", "base", "n_pairs", place.alias("diagonal")).agg(F.collect_set("t.t").alias("places"), F.min("p").alias("first"), F.max("p").alias("last"), F.count("*").alias("rows"))
+    # texts that repeat with their id vote for the same places
+    doc = ["doc_id", "key"]
+    votes = hits.groupBy(*doc, "k", "label", "base", "n_pairs", (F.col("p") - F.col("t.t")).alias("diagonal")).agg(F.collect_set("t.t").alias("places"), F.min("p").alias("first"), F.max("p").alias("last"))
     along = Window.partitionBy(*doc, "k").orderBy("diagonal")
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEAR, F.lit(True))
     merged = votes.withColumn("island", F.sum(apart.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    # the places of a template that have a vote, however many the template has
     places = F.size(F.array_distinct(F.flatten(F.collect_list("places"))))
-    spans = merged.groupBy(*doc, "k", "label", "base", "n_pairs", "island").agg(places.alias("places"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("rows").alias("rows"))
+    spans = merged.groupBy(*doc, "k", "label", "base", "n_pairs", "island").agg(places.alias("places"), F.min("first").alias("first"), F.max("last").alias("last"))
     share = F.col("places") / F.col("n_pairs")
     whole = F.col("base") & (share == 1)
-    ok = ~F.col("base") & (F.col("k") != DOCUMENT) & (share >= SHARE) & (F.col("last") - F.col("first") < 1.5 * F.col("n_pairs"))
+    ok = ~F.col("base") & (share >= SHARE) & (F.col("last") - F.col("first") < 1.5 * F.col("n_pairs"))
     labels = lambda when: F.array_join(F.sort_array(F.collect_set(F.when(when, F.col("label")))), ",")
-    each = spans.groupBy(*doc).agg(
-        F.max(F.when(F.col("k") == DOCUMENT, F.col("rows"))).alias("copies"),
+    each = spans.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
         F.count(F.when(whole, 1)).alias("n_base"),
         F.min(F.when(whole, F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(whole, F.col("first"))).cast("long").alias("last_word"),
         labels(whole).alias("base_labels"),
         labels(whole | ok).alias("labels"),
-        F.coalesce(F.max(F.when((F.col("k") != DOCUMENT) & (~F.col("base") | whole), share)), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(~F.col("base") | whole, share)), F.lit(0.0)).alias("score"),
     )
-    return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", F.col("n").cast("long").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    rows = words.select("doc_id", "key", F.size("w").cast("long").alias("n_words"))
+    both = rows.join(each, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
+    return both.select("doc_id", "n_words", *[F.coalesce(c, none[c]).alias(c) if c in none else F.col(c) for c in ("n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
 def oracle() -> str:
