@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from quillgraph.functions.text import content_id
+from quillgraph.sources.shared import once
 
 LEVELS = 6
 LEAST_LINES = 5
@@ -71,17 +72,20 @@ def headings(rows: DataFrame, dialect: int = 1) -> DataFrame:
 
 
 def numbers(rows: DataFrame, dialect: int = 1) -> DataFrame:
-    """With ``number``: how many headings of each level since the last one above it, joined by points, without zeros."""
+    """With ``number``: how many headings of each level since the last one above it, joined by points, without zeros.
+
+    Running counts of each level, less what they were at the last heading of a smaller level: two windows of the same order.
+    """
     counted = F.col("level").isNotNull()
     if dialect == 2:
         counted = counted & ~F.rlike("title", F.lit(HAS_NUMBER))
+    ks = range(1, LEVELS + 1)
     rows = rows.withColumn("_h", F.when(counted, F.col("level")))
-    for k in range(1, LEVELS + 1):
-        group = f"_g{k}"
-        rows = rows.withColumn(group, F.sum(F.when(F.col("_h") < k, 1).otherwise(0)).over(_up_to()))
-        rows = rows.withColumn(f"_c{k}", F.sum(F.when(F.col("_h") == k, 1).otherwise(0)).over(Window.partitionBy("doc_id", group).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.filter(F.array(*[F.when((F.col("_h") >= k) & (F.col(f"_c{k}") > 0), F.col(f"_c{k}").cast("string")) for k in range(1, LEVELS + 1)]), lambda x: x.isNotNull())
-    return rows.withColumn("number", F.when(F.col("_h").isNotNull(), F.array_join(parts, "."))).drop("_h", *[f"_{x}{k}" for x in "gc" for k in range(1, LEVELS + 1)])
+    rows = rows.withColumns({f"_c{k}": F.sum(F.when(F.col("_h") == k, 1).otherwise(0)).over(_up_to()) for k in ks})
+    rows = rows.withColumns({f"_b{k}": F.coalesce(F.last(F.when(F.col("_h") < k, F.col(f"_c{k}")), ignorenulls=True).over(_up_to()), F.lit(0)) for k in ks})
+    since = {k: F.col(f"_c{k}") - F.col(f"_b{k}") for k in ks}
+    parts = F.filter(F.array(*[F.when((F.col("_h") >= k) & (since[k] > 0), since[k].cast("string")) for k in ks]), lambda x: x.isNotNull())
+    return rows.withColumn("number", F.when(F.col("_h").isNotNull(), F.array_join(parts, "."))).drop("_h", *[f"_{x}{k}" for x in "cb" for k in ks])
 
 
 def number_headings(docs: DataFrame, dialect: int = 1) -> DataFrame:
@@ -243,10 +247,13 @@ def nested_sections(docs: DataFrame) -> DataFrame:
 
 
 def structure(docs: DataFrame, context: int = 5) -> dict[str, DataFrame]:
-    """First dialect, all tables: files, doc_chunks, codes, tables. docs: doc_id, path, content. File ids are of the raw content."""
-    numbered = number_headings(docs)
+    """First dialect, all tables: files, doc_chunks, codes, tables. docs: doc_id, path, content. File ids are of the raw content.
+
+    The numbered texts and their sections are written once, as every table reads them.
+    """
+    numbered = once(number_headings(docs), "numbered")
     files = docs.select("doc_id", content_id(F.col("content"), "file-").alias("file_id"), F.col("path").alias("file_path"), F.lit("").alias("abstract")).join(numbered, "doc_id")
-    c = sections(numbered)
+    c = once(sections(numbered), "sections")
     one = c.dropDuplicates(["doc_id", "chunk_id"])
     each = one.select(F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id").alias("doc_id"), "content")
     codes, rest = code_blocks(lines(each), context)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_noted: ContextVar[tuple[list[str], ...]] = ContextVar("noted", default=())
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``. A folder of our own is made only where all run in one process; elsewhere it must be set."""
@@ -17,7 +22,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for noted in _noted.get():
+        noted.append(folder)
+    return folder
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Delete the folders that are named within, once what needs them is done."""
+    noted: list[str] = []
+    token = _noted.set((*_noted.get(), noted))
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+        for folder in noted:
+            remove(spark, folder)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

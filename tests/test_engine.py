@@ -2,6 +2,7 @@
 
 import json
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -53,7 +54,10 @@ def state(e):
 
 def test_index_retrieve_delete(spark, tmp_path):
     e = GraphRag(spark, str(tmp_path / "a"), Config(ppr_iterations=6), generator=Known())
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = set(shared.iterdir())
     e.index(frame(spark, DOCS))
+    assert set(shared.iterdir()) == held  # what an index writes on its way goes
     before = state(e)
     assert len(before[0]) == 9 and len(before[1]) == 9
     e.index(frame(spark, DOCS))
@@ -67,8 +71,9 @@ def test_index_retrieve_delete(spark, tmp_path):
     assert got.where("query_id = 2").count() == 3  # no fact: by vectors
     e.index(frame(spark, MORE))
     assert e.chunks().count() == 11
+    held = set(shared.iterdir())
     e.delete(frame(spark, [*MORE, "never seen"]))
-    assert state(e) == before
+    assert state(e) == before and set(shared.iterdir()) == held
     gold = spark.createDataFrame([(1, DOCS[6]), (1, DOCS[8])], "query_id long, doc string")
     answers = spark.createDataFrame([(1, "Haldane Shire")], "query_id long, gold string")
     out = e.rag_qa(q, gold, answers)

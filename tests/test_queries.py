@@ -4,10 +4,8 @@ import pytest
 
 from quillgraph.plans.registry import FLAGSHIP, ORACLES, QUERIES
 
-SLOW = {"hybrid_retrieve", "ppr_mass"}
 
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(agrees, name):
     assert name in ORACLES
     agrees(QUERIES[name], ORACLES[name])
