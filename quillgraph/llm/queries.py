@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, toxicity, warc
+from quillgraph.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, toxicity, warc, whitening
 from quillgraph.llm.common import table
 
 
@@ -50,7 +50,12 @@ def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_license_diagonals, op3_line_dedup, op4_quality_cnn, op5_toxicity_viterbi, op6_warc_writer, op7_decontaminate, op8_best_fit_packing, op9_exact_dedup, op10_language_ftrl)}
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_license_diagonals, op3_line_dedup, op4_quality_cnn, op5_toxicity_viterbi, op6_warc_writer, op7_decontaminate, op8_best_fit_packing, op9_exact_dedup, op10_language_ftrl, op11_embedding_whitening)}
 
 ORACLES: dict[str, str] = {
     "op1_near_dedup": near_dedup.oracle(),
