@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, spelling, toxicity, warc, whitening
+from quillgraph.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, secret_scan, spelling, toxicity, warc, whitening
 from quillgraph.llm.common import table
 
 
@@ -60,7 +60,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_license_diagonals, op3_line_dedup, op4_quality_cnn, op5_toxicity_viterbi, op6_warc_writer, op7_decontaminate, op8_best_fit_packing, op9_exact_dedup, op10_language_ftrl, op11_embedding_whitening, op12_spelling_variants)}
+
+def op13_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_license_diagonals, op3_line_dedup, op4_quality_cnn, op5_toxicity_viterbi, op6_warc_writer, op7_decontaminate, op8_best_fit_packing, op9_exact_dedup, op10_language_ftrl, op11_embedding_whitening, op12_spelling_variants, op13_secret_battery)}
 
 ORACLES: dict[str, str] = {
     "op1_near_dedup": near_dedup.oracle(),
@@ -80,4 +85,5 @@ ORACLES: dict[str, str] = {
         k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY cp DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
     "op12_spelling_variants": spelling.oracle(),
+    "op13_secret_battery": secret_scan.oracle(),
 }
