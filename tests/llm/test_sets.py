@@ -197,6 +197,19 @@ def test_small_sets_meet_in_bands():
     assert len(np.unique(np.concatenate(one))) > 0.999 * 200 * near_dedup.BANDS
 
 
+@pytest.mark.parametrize("order", ["falling", "random", "zigzag"])
+def test_rounds_of_long_paths(spark, tmp_path, monkeypatch, order):
+    """A path of 1,000 nodes ends within 20 rounds, whatever the order of its ids."""
+    from quillgraph.llm import components as module
+
+    n, labels, whole = 1000, [], module.written
+    ids = {"falling": list(range(n, 0, -1)), "random": random.Random(3).sample(range(n), n), "zigzag": [i if i % 2 else 2 * n - i for i in range(n)]}[order]
+    monkeypatch.setattr(module, "written", lambda df, path: (labels.append(path) if "/labels" in path else None, whole(df, path))[1])
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(5000, 5001)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components(edges, str(tmp_path / "c")).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | {5000: 5000, 5001: 5000} and len(labels) <= 20
+
+
 def test_components(spark, tmp_path):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(70)] + [(300, k) for k in range(301, 340)]
