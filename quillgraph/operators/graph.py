@@ -93,6 +93,22 @@ def edges_of(chunk_triples: DataFrame, synonym: DataFrame | None = None) -> Data
     return merge_edges(fact_edges(chunk_triples), passage_edges(chunk_triples), synonym).where("src <> dst")
 
 
+def edge_deltas(chunk_triples: DataFrame, sign: int = 1) -> DataFrame:
+    """What these triples add to the weights of fact and passage edges, or take from them."""
+    both = fact_edges(chunk_triples).unionByName(passage_edges(chunk_triples)).where("src <> dst")
+    return both.select("src", "dst", (F.col("weight") * sign).alias("weight"), "kind")
+
+
+def summed(deltas: DataFrame) -> DataFrame:
+    """The edges that deltas leave; weights are counts, so what sums up to nothing is gone."""
+    return deltas.groupBy("src", "dst", "kind").agg(F.sum("weight").alias("weight")).where("weight > 0.5").select("src", "dst", "weight", "kind")
+
+
+def with_synonyms(edges: DataFrame, synonym: DataFrame) -> DataFrame:
+    """Fact and passage edges with synonym edges: a synonym's score replaces the count of the same ordered pair."""
+    return merge_edges(edges.where("kind = 'fact'"), edges.where("kind = 'passage'"), synonym).where("src <> dst")
+
+
 def delete_vertices(v: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges without those of ids, and without edges that end in one."""
     gone = ids.select("id").distinct()

@@ -4,110 +4,24 @@ from __future__ import annotations
 
 import json
 import re
-import time
-from collections.abc import Callable, Iterator
-from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillgraph.functions import json_repair
-from quillgraph.functions.text import cache_key, normalize
+from quillgraph.functions.text import normalize
+from quillgraph.operators.calls import BatchGenerator, Generator, ResponseCache, generate
 from quillgraph.prompts import PROMPTS, render_messages
-from quillgraph.schemas import CACHE
 from quillgraph.sources.shared import once
-from quillgraph.sources.state import State
 
-#: What offline models with guided decoding are to write.
+__all__ = ["BatchGenerator", "Generator", "ResponseCache", "Sentences", "generate", "openie", "openie_with_fallback"]
+
+#: Fixed values of the exchange format: what offline models with guided decoding are to write.
 ENTITIES_JSON = {"type": "object", "properties": {"named_entities": {"type": "array", "items": {"type": "string"}}}, "required": ["named_entities"]}
 TRIPLES_JSON = {"type": "object", "properties": {"triples": {"type": "array", "items": {"type": "array", "items": {"type": "string"}, "minItems": 3, "maxItems": 3}}}, "required": ["triples"]}
 
 
-class Generator(Protocol):
-    """A language model: messages (role, content) in, (text, metadata) out. It runs in Python tasks, so it has to pickle."""
-
-    def __call__(self, messages: list[dict[str, str]]) -> tuple[str, dict]: ...
-
-
-class BatchGenerator(Protocol):
-    """A model that takes many conversations at once, as offline models do. json_schema: what its answers are to follow, if anything."""
-
-    def batch(self, many: list[list[dict[str, str]]], json_schema: dict | None = None) -> list[tuple[str, dict]]: ...
-
-
-class ResponseCache:
-    """Answers by a hash of messages, model, seed and temperature, a table of a state. A key that it holds keeps its answer."""
-
-    def __init__(self, state: State, model: str = "replay", seed: int = 0, temperature: float = 0.0):
-        self.state, self.model, self.seed, self.temperature = state, model, seed, temperature
-
-    def key(self, messages):
-        return cache_key(messages=messages, model=F.lit(self.model), seed=F.lit(self.seed), temperature=F.lit(self.temperature))
-
-    def load(self) -> DataFrame:
-        return self.state.read("responses", CACHE).dropDuplicates(["key"])
-
-    def add(self, answers: DataFrame) -> None:
-        if answers.limit(1).count():
-            self.state.change(add={"responses": answers.select("key", "message", "metadata")})
-
-
-_META = "prompt_tokens long, completion_tokens long, cache_hit boolean"
-
-
-def generate(rows: DataFrame, messages: Callable[[dict], list[dict[str, str]]], model: Generator | BatchGenerator, key: str, *, attempts: int = 2, wait_s: float = 1.0, cache: ResponseCache | None = None, json_schema: dict | None = None, batch: int = 200) -> DataFrame:
-    """(key, response, prompt_tokens, completion_tokens, cache_hit, status): the model's answer for each row.
-
-    The model is called now, once for each different prompt, and the answers are read from the shared folder from here on, however often they are
-    used. With a cache only prompts that it lacks are sent, and what comes is added. A row whose attempts all
-    fail has a null response and the error as its status; it does not fail the job. A model with ``batch`` gets up to ``batch`` prompts at a call.
-    """
-    kind = rows.schema[key].dataType.simpleString()
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "messages": [json.dumps(messages(r), ensure_ascii=False) for r in b.to_dict("records")]})
-
-    def tried(call: Callable) -> tuple[object, str]:
-        status = "ok"
-        for turn in range(attempts):
-            try:
-                return call(), "ok"
-            except Exception as e:  # a service's faults are of any kind; the status column reports them
-                status = f"{type(e).__name__}: {e}"
-                if turn + 1 < attempts:
-                    time.sleep(wait_s)
-        return None, status
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            prompts, out = [json.loads(m) for m in b["messages"]], []
-            if hasattr(model, "batch"):
-                for i in range(0, len(prompts), batch):
-                    got, status = tried(lambda i=i: model.batch(prompts[i : i + batch], json_schema))
-                    out += [(x, status) for x in (got or [None] * len(prompts[i : i + batch]))]
-            else:
-                out = [tried(lambda m=m: model(m)) for m in prompts]
-            found = [(m, *(x if x else (None, {})), status) for m, (x, status) in zip(b["messages"], out, strict=True)]
-            yield pd.DataFrame([(m, text, int(meta.get("prompt_tokens", 0)), int(meta.get("completion_tokens", 0)), bool(meta.get("cache_hit", False)), status) for m, text, meta, status in found], columns=["messages", "response", "prompt_tokens", "completion_tokens", "cache_hit", "status"])
-
-    asked = once(rows.mapInPandas(write, f"{key} {kind}, messages string"), "prompts")
-    todo = asked.select("messages").distinct()
-    if cache is None:
-        got = once(todo.mapInPandas(ask, f"messages string, response string, {_META}, status string"), "answers")
-    else:
-        keyed = todo.withColumn("key", cache.key(F.col("messages")))
-        known = cache.load()
-        got = once(keyed.join(known.select("key"), "key", "left_anti").select("messages").mapInPandas(ask, f"messages string, response string, {_META}, status string"), "answers")
-        meta = F.to_json(F.struct("prompt_tokens", "completion_tokens"))
-        hit = keyed.join(known, "key").select("messages", F.col("message").alias("response"), *[F.get_json_object("metadata", f"$.{c}").cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens")], F.lit(True).alias("cache_hit"), F.lit("ok").alias("status"))
-        hit = once(hit, "hits")
-        cache.add(got.where("status = 'ok'").select(cache.key(F.col("messages")).alias("key"), F.col("response").alias("message"), meta.alias("metadata")))
-        got = got.unionByName(hit)
-    return asked.join(got, "messages").select(key, "response", "prompt_tokens", "completion_tokens", "cache_hit", "status")
-
-
 _SENTENCE = re.compile(r"[.!?]+")
 
 
@@ -138,23 +52,49 @@ def openie(chunks: DataFrame, model: Generator, language: str = "en", **how) ->
     return both.select("chunk_id", F.col("content").alias("passage"), "entities", F.coalesce(json_repair.triples(json_repair.repaired(F.col("_t"))), F.array().cast("array<array<string>>")).alias("triples"), "ok_entities", "ok_triples")
 
 
-def success_rate(rows: DataFrame) -> DataFrame:
-    """One row (batch_size, rate): entities and triples that came, by twice the chunks."""
-    ok = F.sum(F.when(F.col("ok_entities"), 1).otherwise(0)) + F.sum(F.when(F.col("ok_triples"), 1).otherwise(0))
-    return rows.agg(F.count("*").alias("batch_size"), F.when(F.count("*") == 0, 0.0).otherwise(ok / (2 * F.count("*"))).alias("rate"))
+def _came() -> tuple:
+    """Whether a row's entities, and its triples, came and hold something."""
+    some = lambda ok, what: F.coalesce(F.col(ok), F.lit(False)) & (F.size(what) > 0)
+    return some("ok_entities", "entities"), some("ok_triples", "triples")
+
+
+def success_rate(rows: DataFrame, *by: str) -> DataFrame:
+    """(batch_size, rate) of all rows, or of each group of ``by``: entities and triples that came and hold something, by twice the chunks."""
+    ok = sum(F.sum(F.when(c, 1).otherwise(0)) for c in _came())
+    return rows.groupBy(*by).agg(F.count("*").alias("batch_size"), F.when(F.count("*") == 0, 0.0).otherwise(ok / (2 * F.count("*"))).alias("rate"))
 
 
-def openie_with_fallback(chunks: DataFrame, first: Generator, second: Generator | None, least: float = 0.5, language: str = "en", **how) -> DataFrame:
-    """The first provider's results if more than ``least`` of them came, else the second's by the same rule, else empty results."""
-    for model in (first, second):
-        if model is None:
+def numbered(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """rows with ``batch``: in the order of ``by`` every ``size`` of them are one, and only the last may have fewer.
+
+    Ranges are sorted apart; a range's first number is the sum of the rows in those before it, a sum over as many rows as there are ranges.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = once(rows.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    first = counts.withColumn("_first", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    place = F.col("_id") - F.shiftleft(F.col("_part"), 33) + F.col("_first")
+    return placed.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn("batch", F.floor(place / size).cast("long")).drop("_id", "_part", "_first")
+
+
+def openie_with_fallback(chunks: DataFrame, first: Generator, second: Generator | None, least: float = 0.5, language: str = "en", batch: int = 200, **how) -> DataFrame:
+    """openie of chunks with ``batch`` and ``provider`` (first, second or none): each batch has the first provider's results if more than ``least`` of them came, else the second's by the same rule, else empty ones.
+
+    The batches that the first provider fails are one table for the second; what it fails gets empty results. A batch holds ``batch`` chunks in the
+    order of their ids.
+    """
+    left, done = once(numbered(chunks.select("chunk_id", "content"), "chunk_id", batch), "batches"), None
+    for name, model in (("first", first), ("second", second)):
+        if model is None or not left.limit(1).count():
             continue
-        got = once(openie(chunks, model, language, **how), "extracted")
-        rate = success_rate(got).first()
-        if rate["batch_size"] == 0 or rate["rate"] > least:
-            return got
-    none = F.array()
-    return chunks.select("chunk_id", F.col("content").alias("passage"), none.cast("array<string>").alias("entities"), none.cast("array<array<string>>").alias("triples"), F.lit(False).alias("ok_entities"), F.lit(False).alias("ok_triples"))
+        got = once(openie(left.drop("batch"), model, language, batch=batch, **how).join(left.select("chunk_id", "batch"), "chunk_id"), "extracted")
+        good = once(success_rate(got, "batch").where(F.col("rate") > least).select("batch"), "good")
+        kept = got.join(good, "batch", "left_semi").withColumn("provider", F.lit(name))
+        done = kept if done is None else done.unionByName(kept)
+        left = once(left.join(good, "batch", "left_anti"), "left")
+    none = left.select("chunk_id", F.col("content").alias("passage"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<array<string>>").alias("triples"), F.lit(False).alias("ok_entities"), F.lit(False).alias("ok_triples"), "batch", F.lit("none").alias("provider"))
+    return none if done is None else done.select(*none.columns).unionByName(none)
 
 
 def chunk_triples(rows: DataFrame) -> DataFrame:

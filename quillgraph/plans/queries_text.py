@@ -139,7 +139,10 @@ def triple_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PASSAGES}, b AS (SELECT count(*) AS n, count(*) FILTER (length(content) > 40) AS e, count(*) FILTER (length(content) > 80) AS t FROM passages)
     SELECT n AS batch_size, (e + t) / (2 * n) AS rate FROM b""")
 def batch_success_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = passages(spark, sf_dir).select((F.length("content") > 40).alias("ok_entities"), (F.length("content") > 80).alias("ok_triples"))
+    """Each passage has a result of either kind; what has too little text holds nothing, which is no success."""
+    words, none = F.split("content", " "), F.array().cast("array<string>")
+    entities, triples = F.when(F.length("content") > 40, words).otherwise(none), F.when(F.length("content") > 80, F.array(words)).otherwise(F.array().cast("array<array<string>>"))
+    rows = passages(spark, sf_dir).select(entities.alias("entities"), triples.alias("triples"), F.lit(True).alias("ok_entities"), F.lit(True).alias("ok_triples"))
     return openie.success_rate(rows)
 
 
