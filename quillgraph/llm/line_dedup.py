@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from quillgraph.llm.common import parts_for, remove, shared_dir, unused, written
 
 DOC = ("doc_id", "key")
+#: Words of a repeated run that counts: blank lines and scraps of a few words are spared where they stand alone, not within longer repeats.
+LEAST_WORDS = 5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,7 +57,7 @@ def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
     return twice.repartitionByRange(parts_for(twice.sparkSession), *by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
 
 
-def repeated_lines(docs: DataFrame, least_words: int = 50) -> DataFrame:
+def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, key, runs: for each text with lines to delete, the sorted array of (first, last) line numbers, from 0."""
     spark = docs.sparkSession
     root = shared_dir(spark, "lines")
@@ -127,7 +129,7 @@ def _cleaned(docs: DataFrame, least_words: int) -> tuple[DataFrame, str, str, st
     return both.withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(_kept(lines, gone), "\n"))), gone, lines, kept
 
 
-def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
+def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_deleted, runs, text.
 
     runs lists the deleted runs as first-last (line numbers from 0), joined by commas; text is what stays, its lines joined by line feeds.
@@ -147,14 +149,14 @@ def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, least_words: int = 50) -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns of docs, text without the later copies of repeated runs; n_chars, where there is one, follows the new text."""
     both, gone, _, kept = _cleaned(docs, least_words)
     new = {"text": F.col(kept)} | ({"n_chars": F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length(kept)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
-def oracle(least_words: int = 50) -> str:
+def oracle(least_words: int = LEAST_WORDS) -> str:
     """The same result in DuckDB's SQL, by comparing the stretches themselves."""
     return rf"""
         WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, text FROM documents),

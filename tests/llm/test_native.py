@@ -54,7 +54,7 @@ def test_license_odd(odd, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
-def brute_lines(texts, least=50):
+def brute_lines(texts, least=line_dedup.LEAST_WORDS):
     """By definition: lines that lie in a run of consecutive lines with enough words that occurs earlier, before the run."""
     lines = [t.split("\n") for t in texts]
     seen, gone = {}, [set() for _ in texts]
@@ -86,7 +86,7 @@ def test_line_dedup_by_brute_force(spark):
         ls += short * r.randrange(2)
         texts.append("\n".join(ls))
     texts += ["\n".join(block * 3), "\n".join([words(9)] * 14)]
-    for least in (50, 10, 1):
+    for least in (50, line_dedup.LEAST_WORDS, 1):
         got = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(docs(spark, texts), least).collect()}
         assert [got[i] for i in range(len(texts))] == brute_lines(texts, least), least
         assert got[len(texts) - 1] != texts[-1]
