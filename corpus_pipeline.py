@@ -19,7 +19,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the later copies of repeated runs of lines with 50 words and more."""
+    """All documents, without the later copies of repeated runs of lines with five words and more."""
     return line_dedup.without_repeats(docs)
 
 
