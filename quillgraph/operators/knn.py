@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,19 +12,27 @@ from pyspark.sql import functions as F
 from quillgraph.operators.topk import top_k
 from quillgraph.sources.shared import once
 
+#: Queries scored at once, so a batch of keys never meets all of a large query set in one matrix; bytes of vectors that go to every task.
+SLICE, BROADCAST_BYTES = 512, 64 << 20
+
 
 def _unit(m: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=m.copy(), where=size > 0)
 
 
-def _best(qid: np.ndarray, q: np.ndarray, kid: np.ndarray, keys: np.ndarray, k: int, least: float | None) -> pd.DataFrame:
-    """Of each query the k best keys by (score, smaller id), and no more however many are tied."""
+def _matrix(col, cosine: bool) -> np.ndarray:
+    m = np.array([np.asarray(x, np.float64) for x in col])
+    return _unit(m) if cosine and len(m) else m
+
+
+def _best(qid: np.ndarray, q: np.ndarray, kid: np.ndarray, keys: np.ndarray, k: int, least: float | None, bounds: bool = False) -> pd.DataFrame:
+    """Of each query the k best keys by (score, smaller id), and no more however many are tied; with ``bounds`` also a row without a key with its least and largest score."""
     order = np.argsort(kid, kind="stable")
     kid, keys = kid[order], keys[order]
     out = []
-    for first in range(0, len(q), 512):
-        scores = q[first : first + 512] @ keys.T
+    for first in range(0, len(q), SLICE):
+        scores = q[first : first + SLICE] @ keys.T
         low = np.full((len(scores), 1), -np.inf if least is None else least)
         if k < len(kid):
             low = np.maximum(low, np.partition(scores, len(kid) - k, axis=1)[:, len(kid) - k, None])
@@ -32,75 +40,163 @@ def _best(qid: np.ndarray, q: np.ndarray, kid: np.ndarray, keys: np.ndarray, k:
         by = np.lexsort((c, -scores[r, c], r))
         r, c = r[by], c[by]
         few = np.arange(len(r)) - np.searchsorted(r, r) < k
-        out.append(pd.DataFrame({"query_id": qid[first + r[few]], "key_id": kid[c[few]], "score": scores[r[few], c[few]]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "key_id": [], "score": []})
+        found = pd.DataFrame({"query_id": qid[first + r[few]], "key_id": kid[c[few]], "score": scores[r[few], c[few]]})
+        if bounds:
+            ends = pd.DataFrame({"query_id": qid[first : first + SLICE], "key_id": None, "score": np.nan, "low": scores.min(axis=1), "high": scores.max(axis=1)})
+            found = pd.concat([found.assign(low=np.nan, high=np.nan).astype({"key_id": object}), ends.astype({"key_id": object})])
+        out.append(found)
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "key_id": [], "score": []} | ({"low": [], "high": []} if bounds else {}))
 
 
-def knn(queries: DataFrame, keys: DataFrame, k: int, *, cosine: bool = True, least: float | None = None, block: int = 4096, broadcast_rows: int = 20_000) -> DataFrame:
-    """(query_id, key_id, score, rank) of the k best keys of each query; both sides are (id, embedding).
+def _vectors(rows: DataFrame) -> DataFrame:
+    return rows.where("embedding is not null").select("id", "embedding")
 
-    Queries that number at most ``broadcast_rows`` go to all tasks, whose keys they meet batch by batch. More are dealt out in a grid of
-    blocks of about ``block`` rows of either side. Ties over k go to the smaller id; null vectors have no neighbours.
-    """
-    id_type = keys.schema["id"].dataType.simpleString()
-    ask_type = queries.schema["id"].dataType.simpleString()
-    schema = f"query_id {ask_type}, key_id {id_type}, score double"
-    queries, keys = queries.where("embedding is not null").select("id", "embedding"), keys.where("embedding is not null").select("id", "embedding")
 
-    def matrix(col) -> np.ndarray:
-        m = np.array([np.asarray(x, np.float64) for x in col])
-        return _unit(m) if cosine and len(m) else m
+def _told(queries: DataFrame, broadcast_rows: int) -> pd.DataFrame | None:
+    """The queries, if their rows and their bytes are within the bounds of what goes to every task."""
+    size = queries.limit(broadcast_rows + 1).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
+    return queries.toPandas() if size["n"] <= broadcast_rows and size["n"] * (size["dims"] or 0) * 8 <= BROADCAST_BYTES else None
 
-    few = queries.limit(broadcast_rows + 1).count()
-    if few <= broadcast_rows:
-        rows = queries.toPandas()  # its size has just been checked
-        told = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), matrix(rows["embedding"])))
+
+def _in_blocks(queries: DataFrame, keys: DataFrame, work: Callable[..., pd.DataFrame], schema: str, cosine: bool, block: int, broadcast_rows: int) -> DataFrame:
+    """What work(query ids, queries, key ids, keys) makes of every query and every key.
+
+    Few queries go to all tasks, whose keys they meet batch by batch. More are dealt out in a grid of blocks of about ``block`` rows of either side.
+    """
+    few = _told(queries, broadcast_rows)
+    if few is not None:
+        told = queries.sparkSession.sparkContext.broadcast((few["id"].to_numpy(), _matrix(few["embedding"], cosine)))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qid, q = told.value
             for b in batches:
                 if len(b) and len(q):
-                    yield _best(qid, q, b["id"].to_numpy(), matrix(b["embedding"]), k, least)
+                    yield work(qid, q, b["id"].to_numpy(), _matrix(b["embedding"], cosine))
 
-        found = keys.mapInPandas(scan, schema)
-    else:
-        across, down = -(-queries.count() // block), -(-keys.count() // block)
-        q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(across))).withColumn("kb", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("kb", F.col("kb").cast("long"))
-        r = keys.withColumn("kb", F.pmod(F.xxhash64("id"), F.lit(down))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("qb", F.col("qb").cast("long"))
+        return keys.mapInPandas(scan, schema)
+    across, down = -(-queries.count() // block), max(1, -(-keys.count() // block))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(across))).withColumn("kb", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("kb", F.col("kb").cast("long"))
+    r = keys.withColumn("kb", F.pmod(F.xxhash64("id"), F.lit(down))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("qb", F.col("qb").cast("long"))
 
-        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "key_id": [], "score": []})
-            return _best(a["id"].to_numpy(), matrix(a["embedding"]), b["id"].to_numpy(), matrix(b["embedding"]), k, least)
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return work(a["id"].to_numpy(), _matrix(a["embedding"], cosine), b["id"].to_numpy(), _matrix(b["embedding"], cosine))
 
-        found = q.groupBy("qb", "kb").cogroup(r.groupBy("qb", "kb")).applyInPandas(pair, schema)
-    return top_k(found, k, ["query_id"], "score", "key_id")
+    return q.groupBy("qb", "kb").cogroup(r.groupBy("qb", "kb")).applyInPandas(pair, schema)
 
 
-def scaled_top_k(queries: DataFrame, keys: DataFrame, k: int, *, broadcast_rows: int = 20_000) -> DataFrame:
-    """(query_id, key_id, score, rank): the k best keys of each query by inner product, their scores on the scale from the least to the largest of all keys' (1 if all are the same).
+def knn(queries: DataFrame, keys: DataFrame, k: int, *, cosine: bool = True, least: float | None = None, block: int = 4096, broadcast_rows: int = 20_000) -> DataFrame:
+    """(query_id, key_id, score, rank) of the k best keys of each query; both sides are (id, embedding).
+
+    Every query meets every key, in blocks; see near() for what a threshold saves. Ties over k go to the smaller id; null vectors have no neighbours.
+    """
+    schema = f"query_id {queries.schema['id'].dataType.simpleString()}, key_id {keys.schema['id'].dataType.simpleString()}, score double"
+    work = lambda qid, q, kid, m: _best(qid, q, kid, m, k, least)
+    return top_k(_in_blocks(_vectors(queries), _vectors(keys), work, schema, cosine, block, broadcast_rows), k, ["query_id"], "score", "key_id")
+
 
-    Each batch of keys gives a query's k best and its bounds, so no row stands for each pair. Query sets over ``broadcast_rows`` are scored by expressions.
+class Cells:
+    """Keys by the nearest of some pivots, and what the triangle inequality leaves of their comparisons with queries.
+
+    The angle between two directions is a metric. A query whose angle to a cell's pivot is outside the angles of the cell's keys, by more than the angle of
+    the threshold, has no neighbour there. Pivots are a bounded sample; any pivots give exact results, better ones leave less.
     """
-    queries, keys = queries.where("embedding is not null").select("id", "embedding"), keys.where("embedding is not null").select("id", "embedding")
-    if queries.limit(broadcast_rows + 1).count() > broadcast_rows:
-        from quillgraph.functions.vectors import min_max
-
-        return top_k(min_max(all_scores(queries, keys, broadcast_rows=broadcast_rows), "query_id"), k, ["query_id"], "score", "key_id")
-    rows = queries.toPandas()  # its size has just been checked
-    told = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), np.array([np.asarray(x, np.float64) for x in rows["embedding"]])))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, q = told.value
-        for b in batches:
-            if len(b) and len(q):
-                m = np.array([np.asarray(x, np.float64) for x in b["embedding"]])
-                scores = q @ m.T
-                bounds = pd.DataFrame({"query_id": qid, "key_id": None, "score": np.nan, "low": scores.min(axis=1), "high": scores.max(axis=1)})
-                yield pd.concat([_best(qid, q, b["id"].to_numpy(), m, k, None).assign(low=np.nan, high=np.nan), bounds]).astype({"key_id": object})
 
+    def __init__(self, keys: DataFrame, least: float, pivots: int = 256):
+        if not 0 < least <= 1:
+            raise ValueError("a threshold over 0 is needed: below it every pair is near")
+        self.least, self.keys = least, _vectors(keys)
+        some = self.keys.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
+        m = _matrix(some["embedding"], True)
+        self.pivots = m[np.linalg.norm(m, axis=1) > 0] if len(m) else m
+        held = self.pivots
+        kind = keys.schema["id"].dataType.simpleString()
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                v = _matrix(b["embedding"], True)
+                some = np.flatnonzero(np.linalg.norm(v, axis=1) > 0) if len(v) else np.zeros(0, int)  # a vector of zeros is near to none
+                if len(some):
+                    a = np.arccos(np.clip(v[some] @ held.T, -1, 1))
+                    yield pd.DataFrame({"id": b["id"].to_numpy()[some], "embedding": list(v[some]), "cell": a.argmin(axis=1), "angle": a.min(axis=1)})
+
+        placed = self.keys.mapInPandas(place, f"id {kind}, embedding array<double>, cell int, angle double") if len(held) else self.keys.sparkSession.createDataFrame([], f"id {kind}, embedding array<double>, cell int, angle double")
+        self.placed = once(placed, "cells")
+        rows = self.placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()  # a row for each pivot
+        self.n, self.lo, self.hi = np.zeros(len(held), np.int64), np.full(len(held), np.inf), np.full(len(held), -np.inf)
+        for cell, n, lo, hi in rows:
+            self.n[cell], self.lo[cell], self.hi[cell] = n, lo, hi
+
+    def routes(self, queries: DataFrame, emit: Callable, schema: str) -> DataFrame:
+        """What emit(ids, unit vectors, row, cell) makes of the cells that each query has to be compared with."""
+        held, reach, lo, hi = self.pivots, np.arccos(self.least) + 1e-6, self.lo, self.hi
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                v = _matrix(b["embedding"], True)
+                if len(v) and len(held):
+                    for first in range(0, len(v), SLICE):
+                        part = v[first : first + SLICE]
+                        a = np.arccos(np.clip(part @ held.T, -1, 1))
+                        row, cell = np.nonzero((a >= lo - reach) & (a <= hi + reach) & (np.linalg.norm(part, axis=1) > 0)[:, None])
+                        if len(row):
+                            yield emit(b["id"].to_numpy()[first : first + SLICE], part, row, cell)
+
+        return queries.mapInPandas(run, schema)
+
+    def work(self, queries: DataFrame) -> DataFrame:
+        """(cell, keys, queries): what near() compares."""
+        held = self.n
+
+        def count(ids, v, row, cell):
+            cells, n = np.unique(cell, return_counts=True)
+            return pd.DataFrame({"cell": cells, "keys": held[cells], "queries": n})
+
+        return self.routes(_vectors(queries), count, "cell int, keys long, queries long").groupBy("cell", "keys").agg(F.sum("queries").alias("queries"))
+
+
+def near(queries: DataFrame, keys: DataFrame, k: int, least: float, *, block: int = 4096, pivots: int = 256, cells: Cells | None = None) -> DataFrame:
+    """(query_id, key_id, score, rank): of each query the k best keys with a cosine of ``least`` and more; both sides are (id, embedding).
+
+    The same rows as knn gives, but a query goes only to the cells that may hold such keys; see Cells. A cell of many keys, or of many queries, is dealt out in blocks.
+    Ties over k go to the smaller id; null vectors and vectors of zeros have no neighbours.
+    """
+    queries, found = _vectors(queries), cells or Cells(keys, least, pivots)
+    asked = {r["cell"]: r["queries"] for r in found.work(queries).collect()}  # a row for each pivot
+    down = np.maximum(1, -(-found.n // block))
+    across = np.array([max(1, -(-asked.get(c, 0) // block)) for c in range(len(found.n))], np.int64)
+    ask, key = queries.schema["id"].dataType.simpleString(), found.placed.schema["id"].dataType.simpleString()
+
+    def sent(ids, v, row, cell):
+        times = down[cell]
+        row, cell, part = np.repeat(row, times), np.repeat(cell, times), np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        mine = pd.util.hash_array(np.asarray(ids).astype(str)).astype(np.uint64)[row] % across[cell].astype(np.uint64)
+        return pd.DataFrame({"id": ids[row], "embedding": list(v[row]), "cell": cell, "part": part, "ask": mine.astype(np.int64)})
+
+    q = found.routes(queries, sent, f"id {ask}, embedding array<double>, cell int, part long, ask long")
+    sizes = queries.sparkSession.createDataFrame([(int(c), int(down[c]), int(across[c])) for c in asked], "cell int, down long, across long")  # a row for each pivot
+    r = found.placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("down"))).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)))
+    schema = f"query_id {ask}, key_id {key}, score double"
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "key_id": [], "score": []})
+        return _best(a["id"].to_numpy(), _matrix(a["embedding"], False), b["id"].to_numpy(), _matrix(b["embedding"], False), k, least)
+
+    by = ("cell", "part", "ask")
+    pairs = q.groupBy(*by).cogroup(r.select("id", "embedding", *by).groupBy(*by)).applyInPandas(pair, schema)
+    return top_k(pairs, k, ["query_id"], "score", "key_id")
+
+
+def scaled_top_k(queries: DataFrame, keys: DataFrame, k: int, *, block: int = 4096, broadcast_rows: int = 20_000) -> DataFrame:
+    """(query_id, key_id, score, rank): the k best keys of each query by inner product, their scores on the scale from the least to the largest of all keys' (1 if all are the same).
+
+    Each block of keys gives a query's k best and its bounds, so no row stands for each pair, however many queries there are.
+    """
+    queries, keys = _vectors(queries), _vectors(keys)
     kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, key_id {keys.schema['id'].dataType.simpleString()}, score double, low double, high double"
-    found = once(keys.mapInPandas(scan, kinds), "scaled")
+    found = once(_in_blocks(queries, keys, lambda qid, q, kid, m: _best(qid, q, kid, m, k, None, bounds=True), kinds, False, block, broadcast_rows), "scaled")
     bounds = found.where("key_id is null").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     best = top_k(found.where("key_id is not null").select("query_id", "key_id", "score"), k, ["query_id"], "score", "key_id")
     scaled = F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")))
@@ -108,10 +204,11 @@ def scaled_top_k(queries: DataFrame, keys: DataFrame, k: int, *, broadcast_rows:
 
 
 def all_scores(queries: DataFrame, keys: DataFrame, *, broadcast_rows: int = 20_000) -> DataFrame:
-    """(query_id, key_id, score) of every pair: what min-max scaling needs. Inner products, not normalised."""
-    from quillgraph.functions.vectors import dot
+    """(query_id, key_id, score) of every pair, for query sets that are compared as a whole. Inner products, not normalised; pairs are made block by block."""
+    schema = f"query_id {queries.schema['id'].dataType.simpleString()}, key_id {keys.schema['id'].dataType.simpleString()}, score double"
+
+    def score(qid, q, kid, m):
+        s = q @ m.T
+        return pd.DataFrame({"query_id": np.repeat(qid, len(kid)), "key_id": np.tile(kid, len(qid)), "score": s.ravel()})
 
-    small = queries.limit(broadcast_rows + 1).count() <= broadcast_rows
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("_q"))
-    both = keys.select(F.col("id").alias("key_id"), F.col("embedding").alias("_k")).crossJoin(F.broadcast(q) if small else q)
-    return both.select("query_id", "key_id", dot(F.col("_q"), F.col("_k")).alias("score"))
+    return _in_blocks(_vectors(queries), _vectors(keys), score, schema, False, 1024, broadcast_rows)
