@@ -210,7 +210,7 @@ class KeepsTwo:
 
     def __call__(self, messages: list[dict[str, str]]) -> tuple[str, dict]:
         facts = json.loads(messages[-1]["content"].rpartition("## ]]\n")[2])["fact"]
-        return "Thus:\n[[ ## fact_after_filter ## ]]\n" + json.dumps({"fact": facts[1::-1]}, ensure_ascii=False) + "\n[[ ## completed ## ]]", {}
+        return "Thus:\n[[ ## fact_after_filter ## ]]\n" + json.dumps({"fact": [[*f[:2], f[2] + " indeed"] if i else f for i, f in enumerate(facts[:2])][::-1]}, ensure_ascii=False) + "\n[[ ## completed ## ]]", {}
 
 
 _RAW = PASSAGES + r""", raw AS (SELECT chunk_id, list_filter(string_split_regex(s, '\s+'), lambda x: x <> '') AS w FROM (SELECT chunk_id, unnest(string_split_regex(content, '[.!?]+')) AS s FROM passages)),

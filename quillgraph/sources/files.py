@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
+from quillgraph.sources.shared import once
 from quillgraph.sources.state import State
 
 
@@ -89,16 +90,62 @@ def read_structure(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.STRUCTURE.items()}
 
 
-def structure_json(parts: dict[str, DataFrame]) -> DataFrame:
-    """(file_id, json): each file with its chunks, codes and tables nested as lists."""
-
-    def packed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-        rest = [c for c in rows.columns if c not in by]
-        return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.to_json(F.struct(*rest)))).alias(name))
-
-    chunks = parts["doc_chunks"].join(packed(parts["codes"], ["doc_id", "chunk_id"], "codes"), ["doc_id", "chunk_id"], "left").join(packed(parts["tables"], ["doc_id", "chunk_id"], "tables"), ["doc_id", "chunk_id"], "left")
-    files = parts["files"].join(packed(chunks.withColumn("headers", F.to_json("headers")), ["doc_id"], "chunks"), "doc_id", "left")
-    return files.select("file_id", F.to_json(F.struct("file_id", "file_path", "abstract", "content", "chunks")).alias("json"))
+def structure_json(parts: dict[str, DataFrame], levels: int = 6) -> DataFrame:
+    """(file_id, json): each file with its chunks nested as deep as their headings, and in them their codes, tables and filtered text; objects go by their ids.
+
+    Chunks are folded from the deepest level up: the texts of a level's chunks go to their parents, so each level is one join by parent, written once.
+    """
+    quoted = lambda key, body: F.concat(F.lit('"'), key, F.lit('":'), body)
+    named = lambda name, inner: F.concat(F.lit(f',"{name}":{{'), F.coalesce(inner, F.lit("")), F.lit("}"))
+    bare = lambda *columns: F.regexp_replace(F.to_json(F.struct(*columns)), r"\}$", "")  # noqa: E731  an object that goes on
+
+    def inner(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        """The objects (text) of each group, in order."""
+        return rows.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), ",").alias("inner"))
+
+    def leaves(name: str, key: str) -> DataFrame:
+        rows = parts[name].select("doc_id", "chunk_id", F.col(key).alias("id"), quoted(F.col(key), F.to_json(F.struct("abstract", "content"))).alias("text")).dropDuplicates(["doc_id", "chunk_id", "id"])
+        return inner(rows, ["doc_id", "chunk_id"], "id").withColumnRenamed("inner", name)
+
+    filtered = F.struct(F.col("filter_content").alias("content"), "extracted_entities", "extracted_triples").alias("filter_chunk")
+    rows = parts["doc_chunks"].join(leaves("codes", "code_id"), ["doc_id", "chunk_id"], "left").join(leaves("tables", "table_id"), ["doc_id", "chunk_id"], "left")
+    text = F.concat(bare("abstract", "content", F.col("headers").alias("metadata"), filtered), named("codes", F.col("codes")), named("tables", F.col("tables")))
+    rows = once(rows.select("doc_id", "chunk_id", "parent_id", "section", "depth", text.alias("text")), "chunks")
+    done = None
+    for depth in range(levels, -1, -1):
+        here = rows.where(F.col("depth") == depth)
+        if done is None:
+            here = here.withColumn("inner", F.lit(None).cast("string"))
+        else:
+            below = inner(done.where("parent_id is not null"), ["doc_id", "parent_id"], "section").withColumnRenamed("parent_id", "chunk_id")
+            here = here.join(below, ["doc_id", "chunk_id"], "left")
+        whole = F.concat("text", F.when(F.col("inner").isNotNull(), named("chunks", F.col("inner"))).otherwise(""), F.lit("}"))
+        level = once(here.select("doc_id", "parent_id", "section", quoted(F.col("chunk_id"), whole).alias("text")), "level")
+        done = level if done is None else done.unionByName(level)
+    top = inner(done.where("parent_id is null"), ["doc_id"], "section")
+    file = F.concat(bare("abstract", "file_path", "content"), named("chunks", F.col("inner")), F.lit("}"))
+    return parts["files"].join(top, "doc_id", "left").select("file_id", F.concat(F.lit("{"), quoted(F.col("file_id"), file), F.lit("}")).alias("json"))
+
+
+_LEAVES = "map<string,struct<abstract:string,content:string>>"
+
+
+def structure_of(rows: DataFrame, levels: int = 6) -> dict[str, DataFrame]:
+    """The flat tables of nested files (file_id, json), as structure_json makes them; doc_id is the file's id. Chunks are taken out a level at a time."""
+    kind = ""
+    for _ in range(levels + 1):
+        kind = f"struct<abstract:string,content:string,metadata:map<string,string>,filter_chunk:struct<content:string,extracted_entities:array<string>,extracted_triples:array<array<string>>>,codes:{_LEAVES},tables:{_LEAVES}{f',chunks:map<string,{kind}>' if kind else ''}>"
+    files = rows.select("file_id", F.from_json("json", f"map<string,struct<abstract:string,file_path:string,content:string,chunks:map<string,{kind}>>>").alias("m")).select("file_id", F.map_values("m")[0].alias("f"))
+    level = files.select(F.col("file_id").alias("doc_id"), F.lit(None).cast("string").alias("parent_id"), F.explode("f.chunks").alias("chunk_id", "c"))
+    chunks = None
+    for depth in range(levels + 1):
+        flat = level.select("doc_id", "chunk_id", "parent_id", F.size("c.metadata").alias("depth"), F.col("c.metadata").alias("headers"), "c.abstract", "c.content", F.col("c.filter_chunk.content").alias("filter_content"), "c.filter_chunk.extracted_entities", "c.filter_chunk.extracted_triples", "c.codes", "c.tables")
+        chunks = flat if chunks is None else chunks.unionByName(flat)
+        if depth < levels:
+            level = level.select("doc_id", F.col("chunk_id").alias("parent_id"), F.explode("c.chunks").alias("chunk_id", "c"))
+    leaves = lambda name, key: chunks.select("doc_id", "chunk_id", F.explode(name).alias(key, "x")).select("doc_id", "chunk_id", key, "x.abstract", "x.content")
+    out = files.select(F.col("file_id").alias("doc_id"), "file_id", "f.file_path", "f.abstract", "f.content")
+    return {"files": out, "doc_chunks": chunks.drop("codes", "tables"), "codes": leaves("codes", "code_id"), "tables": leaves("tables", "table_id")}
 
 
 def valid_structure(rows: DataFrame) -> bool:
