@@ -189,6 +189,18 @@ def near(queries: DataFrame, keys: DataFrame, k: int, least: float, *, block: in
     return top_k(pairs, k, ["query_id"], "score", "key_id")
 
 
+def bounds(queries: DataFrame, keys: DataFrame, *, block: int = 4096, broadcast_rows: int = 20_000) -> DataFrame:
+    """(query_id, low, high): the least and the largest inner product of each query with any key."""
+    kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, low double, high double"
+
+    def ends(qid: np.ndarray, q: np.ndarray, kid: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        pairs = [(s.min(axis=1), s.max(axis=1)) for s in (q[i : i + SLICE] @ m.T for i in range(0, len(q), SLICE))]
+        return pd.DataFrame({"query_id": qid, "low": np.concatenate([p[0] for p in pairs]), "high": np.concatenate([p[1] for p in pairs])})
+
+    found = _in_blocks(_vectors(queries), _vectors(keys), ends, kinds, False, block, broadcast_rows)
+    return found.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def scaled_top_k(queries: DataFrame, keys: DataFrame, k: int, *, block: int = 4096, broadcast_rows: int = 20_000) -> DataFrame:
     """(query_id, key_id, score, rank): the k best keys of each query by inner product, their scores on the scale from the least to the largest of all keys' (1 if all are the same).
 
