@@ -14,7 +14,7 @@ from quillgraph.operators.retrieve import reset_vector
 from quillgraph.sources.shared import once
 
 
-@pytest.mark.parametrize("lone", [0, 3])
+@pytest.mark.parametrize("lone", [3])
 def test_ranks_equal_pagerank(spark, lone):
     """Random passages and entities, some passages without any entity; seeds of uneven weight."""
     r, g = random.Random(4), np.random.default_rng(4)
@@ -25,11 +25,11 @@ def test_ranks_equal_pagerank(spark, lone):
     asked = once(spark.createDataFrame([(q, g.normal(size=6).tolist()) for q in range(5)], "id long, embedding array<double>"), "asked")
     seeds = spark.createDataFrame([(q, f"e{r.randrange(25)}", r.random()) for q in range(4) for _ in range(3)], "query_id long, entity_id string, weight double")
     dense = min_max(all_scores(asked, passages), "query_id").withColumnRenamed("key_id", "chunk_id").where("query_id < 4")
-    want = ppr(None, reset_vector(seeds, dense, 0.05), moves=moves, iterations=60).where(F.startswith("node", F.lit("c")))
+    want = ppr(None, reset_vector(seeds, dense, 0.05), moves=moves, iterations=30).where(F.startswith("node", F.lit("c")))
     by = {}
     for x in want.collect():
         by.setdefault(x["query_id"], []).append((-x["rank"], x["node"]))
-    basis = once(walk.walked(passages, moves, 0.5, 60), "basis")
+    basis = once(walk.walked(passages, moves, 0.5, 30), "basis")
     got = walk.shared_search(seeds, asked, passages, basis, moves, passage_weight=0.05, damping=0.5, k=10)
     found = {}
     for x in got.orderBy("query_id", "rank").collect():
