@@ -11,12 +11,13 @@ from quillgraph.config import Config
 from quillgraph.functions.text import normalize
 from quillgraph.functions.vectors import l2_normalise, mean_pool, sparse_scores
 from quillgraph.operators import evaluate, graph, retrieve
+from quillgraph.operators.ann import Index
 from quillgraph.operators.knn import all_scores, knn, scaled_top_k
 from quillgraph.operators.ppr import ppr
 from quillgraph.operators.topk import top_k
 from quillgraph.plans.queries_graph import GRAPH, edges
 from quillgraph.plans.registry import query
-from quillgraph.sources.shared import once
+from quillgraph.sources.shared import once, shared_dir
 from quillgraph.plans.tables import ENTITY, FACT, norm_sql, passages, questions, table, triples, vectors_sql, word_vectors
 
 _E = ENTITY.format
@@ -70,6 +71,16 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn(q, v, 10).select("query_id", "key_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_KNN} SELECT query_id, count(*) AS n_keys, round(max(score), 6) AS best, true AS enough FROM n WHERE rank <= 10 GROUP BY query_id")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the approximate index finds for each query, and whether 90 % of all queries' ten nearest are among it."""
+    q, v = _vectors(spark, sf_dir)
+    found = once(Index.build(v, shared_dir(spark, "ann")).search(q, 10), "ann-found")
+    real = knn(q, v, 10).select("query_id", "key_id")
+    hit = real.join(found.select("query_id", "key_id", F.lit(1).alias("hit")), ["query_id", "key_id"], "left").agg((F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)) >= 0.9).alias("enough"))
+    return found.groupBy("query_id").agg(F.count("*").alias("n_keys"), F.round(F.max("score"), 6).alias("best")).crossJoin(F.broadcast(hit))  # one row
+
+
 @query(f"WITH {_KNN} SELECT a AS label, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS purity FROM n WHERE rank BETWEEN 2 AND 11 GROUP BY a")
 def knn_label_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, v = _vectors(spark, sf_dir)
