@@ -20,6 +20,8 @@ from quillgraph.sources.shared import written
 
 #: Vectors that centroids and codebooks are fitted on, and those of them that stand for queries when the number of lists to read is set.
 SAMPLE, ASKED = 8192, 256
+#: So many codes are read for each that a task gives.
+READ = 64
 
 
 def _nearest(v: np.ndarray, middle: np.ndarray) -> np.ndarray:
@@ -134,13 +136,17 @@ class Index:
         self._append(_usable(vectors).join(held, "id", "left_anti"), uuid.uuid4().hex)
 
     def _scanned(self, few: pd.DataFrame, told, probes: int, short: int, ask: str) -> DataFrame:
-        """Few queries go to all tasks: each reads its codes as they lie, and gives the best of its own lists."""
+        """Few queries go to all tasks: each reads its codes as they lie, and gives the best of its own lists.
+
+        A task reads many times the codes that it gives for a query, so few codes are not given all by many small tasks.
+        """
         qid, q = few["id"].to_numpy(), _matrix(few["embedding"], True)
         reads = np.zeros((len(q), len(self.codes.lists)), bool)
         if len(q):
             np.put_along_axis(reads, _routes(q, self.codes.lists, probes), True, axis=1)
         sent = self.spark.sparkContext.broadcast((qid, q, reads))
         codes = self._read("codes", np.flatnonzero(reads.any(axis=0)).tolist())
+        codes = codes.coalesce(max(1, codes.count() // (READ * short)))
 
         def cut(held: list, floor: np.ndarray) -> list:
             row, ids, score, lists = (np.concatenate(x) for x in zip(*held))
