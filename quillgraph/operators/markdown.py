@@ -33,10 +33,6 @@ def _up_to() -> WindowSpec:
     return _doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _before() -> WindowSpec:
-    return _doc().rowsBetween(Window.unboundedPreceding, -1)
-
-
 def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("content", "\n")).alias("idx", "line"))
 
@@ -159,13 +155,14 @@ def tables(rows: DataFrame, context: int = 5) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("idx", (F.row_number().over(_doc()) - 1).cast("int"))
     low = F.lower(strip(F.col("line")))
     f = rows.withColumn("_start", F.startswith(low, F.lit("<table"))).withColumn("_end", F.contains(F.lower("line"), F.lit("</table>")))
-    # a table is open after a start that no end has closed; a start within an open one is a line of it
-    closed = F.sum(F.when(F.col("_end"), 1).otherwise(0)).over(_before())
-    f = f.withColumn("_e", F.coalesce(closed, F.lit(0)))
-    first = Window.partitionBy("doc_id", "_e").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    f = f.withColumn("_html", F.max(F.when(F.col("_start"), 1).otherwise(0)).over(first) == 1)
-    ends = Window.partitionBy("doc_id", "_e")
-    f = f.withColumn("_closed", F.max(F.when(F.col("_end") & F.col("_html"), 1).otherwise(0)).over(ends) == 1)
+    # a start opens a table and an end on a later line closes it; a line with both does what its turn asks for, so it flips
+    f = f.withColumn("_set", F.when(F.col("_start") & ~F.col("_end"), 1).when(F.col("_end") & ~F.col("_start"), 0))
+    f = f.withColumn("_flips", F.sum(F.when(F.col("_start") & F.col("_end"), 1).otherwise(0)).over(_up_to()))
+    since = F.col("_flips") - F.coalesce(F.last(F.when(F.col("_set").isNotNull(), F.col("_flips")), ignorenulls=True).over(_up_to()), F.lit(0))
+    f = f.withColumn("_open", (F.coalesce(F.last("_set", ignorenulls=True).over(_up_to()), F.lit(0)) + since) % 2 == 1)
+    f = f.withColumn("_was", F.coalesce(F.lag("_open").over(_doc()), F.lit(False)))
+    f = f.withColumn("_html", F.col("_was") | F.col("_open")).withColumn("_e", F.sum(F.when(F.col("_open") & ~F.col("_was"), 1).otherwise(0)).over(_up_to()))
+    f = f.withColumn("_closed", F.max(F.col("_was") & ~F.col("_open")).over(Window.partitionBy("doc_id", "_e")))
     bar = ~F.col("_html") & F.contains("line", F.lit("|"))
     island = F.sum(F.when(bar & F.coalesce(F.lag(bar).over(_doc()), F.lit(False)), 0).otherwise(1)).over(_up_to())
     f = f.withColumn("_block", F.when(F.col("_html") & F.col("_closed"), F.concat(F.lit("h"), F.col("_e").cast("string"))).when(bar, F.concat(F.lit("b"), island.cast("string"))))

@@ -75,6 +75,15 @@ def md_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.tables(markdown.lines(docs(spark, sf_dir)), 0)[0]
 
 
+@query("""WITH t AS (SELECT doc_id, '<table>' || chr(10) || array_to_string([('<tr><td>' || k || ' | y</td></tr>') FOR k IN range(1, doc_id % 7 + 2)], chr(10)) || chr(10) || '</table>' AS tab FROM documents)
+    SELECT doc_id, 'table-' || md5(tab) AS id, tab AS content FROM t WHERE doc_id % 7 + 3 >= 5""")
+def md_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTML tables, whose rows hold bars, behind the texts."""
+    rows = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 7 + 1).cast("int")), lambda k: F.concat(F.lit("<tr><td>"), k.cast("string"), F.lit(" | y</td></tr>")))
+    content = F.concat_ws("\n", F.replace("text", F.lit("|"), F.lit("/")), F.lit("<table>"), F.array_join(rows, "\n"), F.lit("</table>"))
+    return markdown.tables(markdown.lines(table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))), 0)[0]
+
+
 @query(f"WITH {_DOCS} SELECT doc_id, 'table-' || md5(tab) AS id, tab AS content FROM docs")
 def md_tables_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.plain_tables(docs(spark, sf_dir))
