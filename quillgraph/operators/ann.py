@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.knn import SLICE, _best, _matrix, _told, _vectors
 from quillgraph.operators.topk import top_k
-from quillgraph.sources.shared import written
+from quillgraph.sources.shared import once, remove, written
 
 #: Vectors that centroids and codebooks are fitted on, and those of them that stand for queries when the number of lists to read is set.
 SAMPLE, ASKED = 8192, 256
@@ -123,6 +123,7 @@ class Index:
         dealt = placed.join(F.broadcast(sizes), "list").withColumn("file", F.pmod(F.xxhash64("id"), F.col("files"))).repartition("list", "file").sortWithinPartitions("list")
         for table, columns in (("vectors", ("id", "embedding")), ("codes", ("id", "code"))):
             dealt.select("list", *columns).write.mode("append").partitionBy("list").parquet(f"{self.path}/{table}")
+        remove(self.spark, f"{self.path}/placed-{name}")
 
     def _read(self, table: str, lists: list[int]) -> DataFrame:
         """A table's rows of some lists: only their partitions are listed as input."""
@@ -222,7 +223,7 @@ class Index:
         told, probes, short = self.spark.sparkContext.broadcast(self.codes), probes or self.codes.probes, short or 30 * k
         few = _told(queries, few_queries)
         pairs = self._scanned(few, told, probes, short, ask) if few is not None else self._dealt(queries, told, probes, short, block, ask)
-        best = written(top_k(pairs, short, ["query_id"], "score", "key_id").select("query_id", "key_id", "list"), f"{self.path}/short-{uuid.uuid4().hex}")
+        best = once(top_k(pairs, short, ["query_id"], "score", "key_id").select("query_id", "key_id", "list"), "ann-short")
         keys = self.spark.read.parquet(f"{self.path}/vectors").select("list", F.col("id").alias("key_id"), F.col("embedding").alias("k"))
         best = F.broadcast(best) if best.limit(broadcast_rows + 1).count() <= broadcast_rows else best
         whole = best.join(keys, ["list", "key_id"]).join(queries.select(F.col("id").alias("query_id"), "embedding"), "query_id")
