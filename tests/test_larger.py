@@ -1,8 +1,55 @@
 """What shows on larger tables only, made small."""
 
-from quillgraph.operators import openie
+import numpy as np
+import pytest
+
+from quillgraph.operators import lexical, openie
+from quillgraph.sources import shared
 
 
 def test_triples_that_are_alike_when_normalised_are_one(spark):
     rows = spark.createDataFrame([("c1", [["###", "des&&&", "le"], ["***", "des&&&", "le"], ["A", "b", "c"]]), ("c2", [["###", "des&&&", "le"]])], "chunk_id string, triples array<array<string>>")
     assert sorted(map(tuple, openie.chunk_triples(rows).collect())) == [("c1", "", "des", "le"), ("c1", "a", "b", "c"), ("c2", "", "des", "le")]
+
+
+def test_scores_of_words_are_ranked_as_they_are_rounded(spark):
+    """No row stands for a pair; items that are alike tie and go by their ids, those without a common word come last, in whatever blocks they are."""
+    from pyspark.sql import functions as F
+
+    asked = [(0, "red fox"), (1, "zebra"), (2, ""), (3, None)]
+    texts = [(f"k{i:02d}", ["red fox runs", "fox runs red", "blue sky", "red", "", "fox fox red"][i % 6]) for i in range(30)]
+    q = spark.createDataFrame(asked, "id int, t string").select("id", lexical.places(F.col("t"), 64).alias("places"))
+    items = spark.createDataFrame(texts, "id string, t string").select("id", lexical.places(F.col("t"), 64).alias("places")).repartition(3)
+
+    def told(df):
+        return sorted((r["query_id"], r["rank"], r["key_id"], r["score"]) for r in df.collect())
+
+    place = dict(spark.createDataFrame([(w,) for w in "red fox runs blue sky zebra".split()], "w string").select("w", lexical.places(F.col("w"), 64)[0]).collect())
+    vector = lambda t: np.bincount([place[w] for w in (t or "").split()], minlength=64)
+    want = []
+    for i, t in asked:
+        s = {k: float(vector(t) @ vector(x)) / (n if (n := np.linalg.norm(vector(t)) * np.linalg.norm(vector(x))) else 1) for k, x in texts}
+        low, high = min(s.values()), max(s.values())
+        s = {k: round((v - low) / (high - low), 9) if high > low else 1.0 for k, v in s.items()}
+        want += [(i, rank + 1, k, s[k]) for rank, k in enumerate(sorted(s, key=lambda k: (-s[k], k))[:8])]
+    few = told(lexical.best(q, items, 8, 64))
+    assert few == want
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lexical, "HELD", 8)
+        m.setattr(lexical, "BLOCK", 3)
+        m.setattr(lexical, "ROWS", 4)
+        assert told(lexical.best(q, items, 8, 64)) == want
+
+
+def test_no_query_makes_all_pairs_of_questions_and_texts(spark, monkeypatch):
+    """What dpr_passages writes does not hold a row for each question and passage."""
+    from quillgraph.plans import queries_retrieval
+    from quillgraph.plans.registry import QUERIES
+    from tests.conftest import SF
+
+    rows = []
+    real = shared.once
+    for module in (queries_retrieval, lexical):
+        monkeypatch.setattr(module, "once", lambda df, name: rows.append((out := real(df, name)).count()) or out)
+    n, pairs = QUERIES["dpr_passages"](spark, SF).count(), queries_retrieval.questions(spark, SF).count() * queries_retrieval.passages(spark, SF).count()
+    assert n < pairs and rows and max(rows) < pairs / 2
