@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillgraph.operators import lexical, openie
+from quillgraph.operators import lexical, markdown, openie
 from quillgraph.sources import shared
 
 
@@ -53,3 +53,22 @@ def test_no_query_makes_all_pairs_of_questions_and_texts(spark, monkeypatch):
         monkeypatch.setattr(module, "once", lambda df, name: rows.append((out := real(df, name)).count()) or out)
     n, pairs = QUERIES["dpr_passages"](spark, SF).count(), queries_retrieval.questions(spark, SF).count() * queries_retrieval.passages(spark, SF).count()
     assert n < pairs and rows and max(rows) < pairs / 2
+
+
+def test_structure_is_written_once_and_reads_no_text_again(spark):
+    """What the tables of a structure are made of does not shuffle any more; code that is all of a chunk's lines leaves it empty."""
+    code = "```\n" + "\n".join("abcdefg") + "\n```"
+    docs = spark.createDataFrame([(1, "a.md", f"# T\nline\n{code}\n## U\n" + "| x |\n" * 6 + "end"), (2, "b.md", code)], "doc_id long, path string, content string")
+    parts = markdown.structure(docs, 0)
+    for name in ("doc_chunks", "codes", "tables", "files"):
+        assert "Exchange" not in parts[name]._jdf.queryExecution().executedPlan().toString(), name
+    assert sorted((r["doc_id"], r["content"]) for r in parts["codes"].collect()) == [("1", code), ("2", code)]
+    assert [(r["doc_id"], r["content"]) for r in parts["tables"].collect()] == [("1", "\n".join(["| x |"] * 6))]
+    assert {(r["doc_id"], r["filter_content"]) for r in parts["doc_chunks"].collect()} == {(1, "# 1 T  \nline"), (1, "# 1 T  \n## 1.1 U  \nend"), (2, "")}
+
+
+def test_code_and_tables_with_lines_around_them(spark):
+    lines = [(1, i, x) for i, x in enumerate(["a", "b", "```", *"12345", "```", "c", "d", "e"])]
+    cut, rest = markdown.code_blocks(spark.createDataFrame(lines, "doc_id int, idx int, line string"), 2)
+    assert [r["content"].split("\n") for r in cut.collect()] == [["a", "b", "```", *"12345", "```", "c", "d"]]
+    assert sorted((r["idx"], r["line"]) for r in rest.collect()) == [(0, "a"), (1, "b"), (9, "c"), (10, "d"), (11, "e")]
