@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillgraph.operators import lexical, markdown, openie
+from quillgraph.operators import knn, lexical, markdown, openie
 from quillgraph.sources import shared
 
 
@@ -72,3 +72,21 @@ def test_code_and_tables_with_lines_around_them(spark):
     cut, rest = markdown.code_blocks(spark.createDataFrame(lines, "doc_id int, idx int, line string"), 2)
     assert [r["content"].split("\n") for r in cut.collect()] == [["a", "b", "```", *"12345", "```", "c", "d"]]
     assert sorted((r["idx"], r["line"]) for r in rest.collect()) == [(0, "a"), (1, "b"), (9, "c"), (10, "d"), (11, "e")]
+
+
+def test_all_pairs_are_handed_on_in_parts(spark, monkeypatch):
+    """A batch of keys and all queries are not one table."""
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "id long, embedding array<double>").coalesce(1)
+    monkeypatch.setattr(knn, "PAIRS", 600)
+    sizes, real = [], knn._in_blocks
+
+    def seen(queries, keys, work, schema, *how):
+        def counted(*a):
+            out = work(*a)
+            return out.assign(query_id=len(out))
+
+        return real(queries, keys, counted, schema, *how)
+
+    assert knn.all_scores(rows, rows).distinct().count() == 3600
+    monkeypatch.setattr(knn, "_in_blocks", seen)
+    assert knn.all_scores(rows, rows).agg({"query_id": "max"}).first()[0] == 600
