@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillgraph.operators import knn, lexical, markdown, openie
+from quillgraph.operators import evaluate, knn, lexical, markdown, openie
 from quillgraph.sources import shared
 
 
@@ -90,3 +90,14 @@ def test_all_pairs_are_handed_on_in_parts(spark, monkeypatch):
     assert knn.all_scores(rows, rows).distinct().count() == 3600
     monkeypatch.setattr(knn, "_in_blocks", seen)
     assert knn.all_scores(rows, rows).agg({"query_id": "max"}).first()[0] == 600
+
+
+def test_recall_in_classes_is_recall_with_all_pairs_of_a_class(spark):
+    label = [(i, "abc"[i % 3] if i % 7 else None) for i in range(30)] + [(30, "alone")]
+    docs = spark.createDataFrame(label, "doc long, label string")
+    asked = docs.where("doc % 2 = 0").withColumnRenamed("doc", "query_id")
+    near = spark.createDataFrame([(q, d, r + 1) for q in range(0, 31, 2) for r, d in enumerate([q, *range(q % 5, 31, 2)][:12])], "query_id long, doc long, rank int")
+    gold = asked.join(docs, "label").where("query_id <> doc").select("query_id", "doc")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    got = evaluate.recall_in_classes(near, asked, docs, (1, 3, 10))
+    assert told(got) == told(evaluate.recall_at_k(near, gold, (1, 3, 10))) and len(told(got)) == 3
