@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.config import Config
+from quillgraph.functions.text import packed, unpacked
 from quillgraph.operators import graph
 from quillgraph.operators.knn import knn
 from quillgraph.plans.registry import query
 from quillgraph.plans.tables import ENTITY, FACT, RELATIONS, TRIPLES, passages, relations, table, triples
+from quillgraph.sources.shared import once
 
 _E = ENTITY.format
 _EDGES = f"""fact_edges AS (SELECT src, dst, count(*)::DOUBLE AS weight, 'fact' AS kind FROM (SELECT {_E('s')} AS src, {_E('o')} AS dst FROM triples UNION ALL SELECT {_E('o')}, {_E('s')} FROM triples) GROUP BY src, dst),
@@ -138,8 +140,9 @@ _GONE = "gone AS (SELECT chunk_id FROM (SELECT chunk_id, lang FROM paragraphs JO
 def _gone(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.plans.tables import paragraphs
 
-    rows = paragraphs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return rows.groupBy("chunk_id").agg(F.min(F.coalesce(F.col("lang") == "de", F.lit(False)).cast("int")).alias("all")).where("all = 1").select("chunk_id")
+    rows = paragraphs(spark, sf_dir).select("doc_id", packed(F.col("chunk_id")).alias("c")).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    all_de = rows.groupBy("c").agg(F.min(F.coalesce(F.col("lang") == "de", F.lit(False)).cast("int")).alias("all")).where("all = 1")
+    return once(all_de.select(unpacked(F.col("c")).alias("chunk_id")), "gone")
 
 
 _DEL = f"""f AS (SELECT DISTINCT 'fact-' || md5({FACT}) AS fact_id, s, o, chunk_id FROM triples),
