@@ -51,3 +51,20 @@ def test_deletes_join_packed_ids(spark):
     left, rest = graph.delete_vertices(v, graph.edges_of(t), ids)
     assert sorted(r["content"] for r in left.collect()) == ["b", "c", "d", "e", "y"]
     assert "c1" not in {x for r in rest.collect() for x in (r["src"], r["dst"])} and rest.count() == 4 + 4
+
+
+def test_ranks_are_shuffled_by_numbers(spark, monkeypatch):
+    """No table that a walk writes for its steps holds text ids; ids of any kind come back."""
+    from quillgraph.operators import ppr as module
+
+    kinds, real = {}, module.written
+    monkeypatch.setattr(module, "written", lambda df, path: kinds.update({path.rpartition("/")[2]: dict(df.dtypes)}) or real(df, path))
+    ids = {"a": f"chunk-{HEX}", "b": f"entity-{HEX}", "c": "other"}
+    arcs = [("a", "b", 2.0), ("b", "a", 2.0), ("b", "c", 1.0), ("c", "b", 1.0)]
+    reset = [(7, "a", 1.0), (7, "lone", 1.0), (8, "c", 3.0)]
+    text = module.ppr(spark.createDataFrame([(ids[x], ids[y], w) for x, y, w in arcs], "src string, dst string, weight double"), spark.createDataFrame([(q, ids.get(n, n), w) for q, n, w in reset], "query_id int, node string, reset double"), iterations=6)
+    assert kinds["transitions"]["src"] == kinds["transitions"]["dst"] == kinds["rank6"]["node"] == "bigint"
+    number = {"a": 1, "b": 2, "c": 3, "lone": 4}
+    longs = module.ppr(spark.createDataFrame([(number[x], number[y], w) for x, y, w in arcs], "src long, dst long, weight double"), spark.createDataFrame([(q, number[n], w) for q, n, w in reset], "query_id int, node long, reset double"), iterations=6)
+    back = {i: number[n] for n, i in (ids | {"lone": "lone"}).items()}
+    assert sorted((r["query_id"], back[r["node"]], round(r["rank"], 12)) for r in text.collect()) == sorted((r["query_id"], r["node"], round(r["rank"], 12)) for r in longs.collect())
