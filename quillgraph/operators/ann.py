@@ -22,6 +22,8 @@ from quillgraph.sources.shared import once, remove, written
 SAMPLE, ASKED = 8192, 256
 #: So many codes are read for each that a task gives.
 READ = 64
+#: Copies of queries that a task hands on at once, however many lists a query is sent to.
+SENT = 16_384
 
 
 def _nearest(v: np.ndarray, middle: np.ndarray) -> np.ndarray:
@@ -186,9 +188,12 @@ class Index:
             for b in batches:
                 if len(b):
                     v = _matrix(b["embedding"], True)
-                    at = _routes(v, told.value.lists, probes)
-                    row = np.repeat(np.arange(len(v)), at.shape[1])
-                    yield pd.DataFrame({"id": b["id"].to_numpy()[row], "list": at.ravel().astype(np.int32), "embedding": list(v[row])})
+                    ids, step = b["id"].to_numpy(), max(1, SENT // probes)
+                    for first in range(0, len(v), step):
+                        part = v[first : first + step]
+                        at = _routes(part, told.value.lists, probes)
+                        row = np.repeat(np.arange(len(part)), at.shape[1])
+                        yield pd.DataFrame({"id": ids[first + row], "list": at.ravel().astype(np.int32), "embedding": list(part[row])})
 
         q = queries.mapInPandas(routed, f"id {ask}, list int, embedding array<double>")
         asked = {r["list"]: r["n"] for r in q.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
