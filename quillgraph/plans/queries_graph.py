@@ -125,7 +125,7 @@ def knn_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'vec' || query_id AS src, 'vec' || key_id AS dst, round(score, 6) AS weight, 'synonym' AS kind FROM n WHERE rank <= 101 AND query_id >= 0""")
 def synonym_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    near = knn(v, v, 2047, least=0.3)
+    near = knn(v, v, 2047, least=0.3).where("rank <= 102")  # the 101 that stay, and the vector itself; no other row is left out before they are ranked again
     # over a hundred numbers of two digits and more pass the rule that names have three letters or digits
     names = v.select(F.col("id").alias("entity_id"), F.concat(F.lit("vec"), F.col("id").cast("string")).alias("content"))
     got = graph.synonym_edges(near.drop("rank"), names, 0.3, 101)
